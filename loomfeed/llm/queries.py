@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
-from . import capping, site_lines, survivor
+from ..runtime import spread, table
+from . import capping, site_lines, stuffing, survivor, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +24,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.found_lines(table(spark, sf_dir, "article"))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p8_ids, p10_found)}
 
 _P6 = """
 WITH a AS (
