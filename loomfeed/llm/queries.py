@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import spread, table
-from . import capping, site_lines, stuffing, survivor, tokenizer
+from . import capping, leakage, site_lines, stuffing, survivor, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +28,16 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.leaked(documents, table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 _P6 = """
 WITH a AS (
