@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import spread, table
-from . import capping, leakage, site_lines, stuffing, survivor, tokenizer
+from . import capping, leakage, residue, site_lines, stuffing, survivor, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "duplicate_group"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_articles(table(spark, sf_dir, "article"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.excess_articles(table(spark, sf_dir, "article"))
 
@@ -37,7 +41,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 _P6 = """
 WITH a AS (
