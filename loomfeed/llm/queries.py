@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import spread, table
-from . import capping, history, leakage, residue, site_lines, stuffing, survivor, tokenizer
+from . import boilerplate, capping, history, leakage, residue, site_lines, stuffing, survivor, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeated_items(table(spark, sf_dir, "article"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.page_frames(table(spark, sf_dir, "article"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "duplicate_group"))
 
@@ -45,7 +49,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 _P6 = """
 WITH a AS (
