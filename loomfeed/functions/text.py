@@ -27,3 +27,108 @@ def fold(c: Column) -> Column:
 def letters(c: Column) -> Column:
     """A value reduced to its letters, without regard to case."""
     return F.regexp_replace(fold(c), "[^\\p{L}]+", "")
+
+
+def collapse(c: Column) -> Column:
+    """White space runs of any kind to one space, trimmed."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def truncate(c: Column, limit: int) -> Column:
+    """At most ``limit`` code points, the last an ellipsis where something was cut; no limit if it isn't positive."""
+    if limit <= 0:
+        return c
+    cut = F.regexp_replace(F.substring(c, 1, limit - 1), f"{SPACE}+$", "")
+    return F.when(F.length(c) > limit, F.concat(cut, F.lit("…"))).otherwise(c)
+
+
+def optional(c: Column) -> Column:
+    """Null for null and blank values, else the value with white space collapsed."""
+    return F.nullif(collapse(c), F.lit(""))
+
+
+def inline_spaces(c: Column) -> Column:
+    """Runs of spaces, tabs, form feeds and vertical tabs to one space; line breaks survive."""
+    return strip(F.regexp_replace(c, "[ \\t\\f\\x0B]+", " "))
+
+
+def word_count(c: Column) -> Column:
+    """Number of white-space separated tokens; 0 for null and blank values."""
+    return F.coalesce(F.size(F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")), F.lit(0))
+
+
+def contains_term(text: Column, term: str) -> Column:
+    """Whether a folded text holds a folded term that no letter, digit or underscore touches.
+
+    The cheap substring test comes first and spares most rows the pattern.
+    """
+    word = term.replace("\\E", "\\E\\\\E\\Q")
+    return text.contains(term) & text.rlike(f"(?<![\\p{{L}}\\p{{N}}_])\\Q{word}\\E(?![\\p{{L}}\\p{{N}}_])")
+
+
+def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    for a, b in pairs:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def escape_markdown(c: Column) -> Column:
+    """Backslash before backslash, brackets, asterisk, underscore, backtick and hash."""
+    return _replaced(c, [(x, "\\" + x) for x in "\\[]*_`#"])
+
+
+def escape_markdown_cell(c: Column) -> Column:
+    """Safe in a table cell: backslash and bar escaped, line breaks to spaces."""
+    return F.regexp_replace(_replaced(c, [("\\", "\\\\"), ("|", "\\|")]), "\\r\\n?|\\n", " ")
+
+
+def escape_markdown_link(c: Column) -> Column:
+    """Safe as a link target: closing parentheses percent-encoded."""
+    return F.replace(c, F.lit(")"), F.lit("%29"))
+
+
+def escape_html(c: Column) -> Column:
+    return _replaced(c, [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")])
+
+
+def humanise(c: Column, default: str = "Other") -> Column:
+    """A category id as a label: underscores to spaces, words capitalised; the default for null and blank."""
+    return F.coalesce(F.nullif(F.initcap(collapse(F.replace(c, F.lit("_"), F.lit(" ")))), F.lit("")), F.lit(default))
+
+
+def slug(c: Column, *, ascii_only: bool = False, default: str = "section") -> Column:
+    """Lower case with runs of other characters to single hyphens."""
+    keep = "[^a-z0-9]+" if ascii_only else "[^\\p{L}\\p{N}]+"
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(c), keep, "-"), "^-+|-+$", ""), F.lit("")), F.lit(default))
+
+
+def pluralise(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, noun).otherwise(noun + "s"))
+
+
+def without_control_characters(c: Column) -> Column:
+    """Without the characters that XML 1.0 doesn't allow."""
+    return F.regexp_replace(c, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]", "")
+
+
+def paragraphs(c: Column) -> Column:
+    """Blocks between blank lines, stripped, without empty ones."""
+    parts = F.split(F.regexp_replace(c, "\\r\\n?", "\n"), "\n[ \\t]*\n")
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
+
+
+def media_type(c: Column) -> Column:
+    """The type before any parameters in lower case; null for blank."""
+    return F.nullif(F.lower(strip(F.substring_index(c, ";", 1))), F.lit(""))
+
+
+def is_slug_id(c: Column) -> Column:
+    """Lower case letters and digits with underscores between."""
+    return F.coalesce((c == F.lower(c)) & F.regexp_replace(c, "_", "").rlike("^[\\p{L}\\p{N}]+$"), F.lit(False))
+
+
+def author_of(c: Column) -> Column:
+    """The name after "by", up to a date or the end; null if there is none."""
+    months = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+    name = F.regexp_extract(collapse(c), f"(?i)\\bby\\s+(.+?)(?=\\s+(?:(?:{months})[a-z]*\\.?\\s+\\d{{1,2}},\\s*\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})|$)", 1)
+    return F.nullif(F.regexp_replace(name, "^[\\s,|·–—-]+|[\\s,|·–—-]+$", ""), F.lit(""))

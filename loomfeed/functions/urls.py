@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +58,19 @@ def page_key(url: Column) -> Column:
     c = F.regexp_replace(c, "^https?://(?:(?:www\\d?|m|mobile|amp)\\.)*", "")
     c = F.regexp_replace(c, "/(?:index|default)\\.(?:html?|php)(?=\\?|$)|/(?=\\?|$)", "")
     return F.coalesce(F.try_url_decode(c), c)
+
+
+def is_http_url(c: Column) -> Column:
+    """An absolute http(s) URL with a host."""
+    return F.coalesce(strip(c).rlike("^(?i)https?://[^/?#\\s]+"), F.lit(False))
+
+
+def origin(c: Column) -> Column:
+    """``scheme://host/`` of an http(s) URL, else null."""
+    return F.when(is_http_url(c), F.concat(F.regexp_extract(strip(c), "^([^/]+//[^/?#]+)", 1), F.lit("/")))
+
+
+@F.pandas_udf("string")
+def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
+    """A link as an absolute URL; the link itself where there is no base, null for a null link."""
+    return pd.Series([None if x is None else urljoin(b or "", x.strip()) for b, x in zip(base, link, strict=True)], dtype=object)

@@ -1,21 +1,280 @@
-"""Registry of the core queries and their SQL oracles."""
+"""Registry of the core queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text, times, urls
+from ..operators import aggregates, dedup, editions, history, quality, ranking, selection, timewindow
 from ..operators.timestamps import restated_timestamps
 from ..runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Parameters of the queries.
+NOW = "2026-02-01 00:00:00"
+LOOKBACK_HOURS = 24 * 60
+MAX_ARTICLES = 40
+SCORING = ranking.Scoring(
+    high_keywords=ranking.keyword_list(["compiler", "kernel", "firmware", "tokenizer", "notes", "brings", "inside", "Übersetzer", "câble"]),
+    low_keywords=ranking.keyword_list(["weekly", "workshop", "roundup"]),
+)
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restated_timestamps(table(spark, sf_dir, "article"), table(spark, sf_dir, "source_clock"), "article_id", ["published_at", "updated_at"])
+QUERIES: dict[str, Query] = {}
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = p1_found
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return restated_timestamps(table(spark, d, "article"), table(spark, d, "source_clock"), "article_id", ["published_at", "updated_at"])
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    return timewindow.classify_by_time(table(spark, d, "article"), LOOKBACK_HOURS, now=NOW)
+
+
+def _unique(spark: SparkSession, d: str) -> DataFrame:
+    kept = _classified(spark, d).where("time_status = 'kept'").drop("event_ts", "time_status")
+    return dedup.deduplicate(kept, "article_id").where("dedup_status = 'kept'")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    weighted = ranking.with_weights(_unique(spark, d), table(spark, d, "category_profile"))
+    return ranking.score(weighted, NOW, SCORING)
+
+
+@query
+def time_window_status(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).select("article_id", "time_status")
+
+
+@query
+def time_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return timewindow.status_counts(_classified(spark, d))
+
+
+@query
+def iso_instants(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article")
+    return a.select("article_id", times.to_iso_z(times.iso_instant(F.col("published_at"))).alias("published_utc"))
+
+
+@query
+def freshness_bands(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article").withColumn("t", times.event_instant(F.col("published_at"), F.col("updated_at")))
+    a = a.withColumn("s", times.freshness_seconds(F.col("t"), NOW))
+    return a.select("article_id", F.floor("s").alias("age_seconds"), ranking.freshness_points(F.col("s")).alias("points"))
+
+
+@query
+def url_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "article").select("article_id", urls.canonical_url(F.col("url")).alias("canonical_url"))
+
+
+@query
+def url_dedup_best(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.deduplicate(table(spark, d, "article"), "article_id").select("article_id", "dedup_status", "group_ordinal")
+
+
+@query
+def url_dedup_kept(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_best_windowed(table(spark, d, "article"), "article_id").select("article_id", "canonical_url")
+
+
+@query
+def dedup_summary(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.dedup_summary(dedup.deduplicate(table(spark, d, "article"), "article_id"))
+
+
+@query
+def category_join_weight(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.with_weights(table(spark, d, "article"), table(spark, d, "category_profile")).select("article_id", "category_weight")
+
+
+@query
+def keyword_score(spark: SparkSession, d: str) -> DataFrame:
+    weighted = ranking.with_weights(table(spark, d, "article"), table(spark, d, "category_profile"))
+    s = ranking.score(weighted, NOW, SCORING)
+    return s.select("article_id", "score", F.size("matched_high_priority_keywords").alias("high_hits"), F.size("matched_low_priority_keywords").alias("low_hits"))
+
+
+@query
+def score_reasons(spark: SparkSession, d: str) -> DataFrame:
+    weighted = ranking.with_weights(table(spark, d, "article"), table(spark, d, "category_profile"))
+    return ranking.score(weighted, NOW, SCORING).select("article_id", F.array_join("score_reasons", "; ").alias("reasons"))
+
+
+@query
+def ranking_order(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.ranked(_scored(spark, d), "article_id").select("article_id", "score", F.col("rank_index").cast("long").alias("rank_index"))
+
+
+def _selected(spark: SparkSession, d: str, fill: bool) -> DataFrame:
+    ranked = ranking.ranked(_scored(spark, d), "article_id")
+    return selection.select_by_quota(ranked, table(spark, d, "category_profile"), max_articles=MAX_ARTICLES, fill_unused_slots=fill)
+
+
+@query
+def quota_select(spark: SparkSession, d: str) -> DataFrame:
+    return _selected(spark, d, True).select("article_id", "category", F.col("rank_index").cast("long").alias("rank_index"), "within_quota")
+
+
+@query
+def quota_select_nofill(spark: SparkSession, d: str) -> DataFrame:
+    return _selected(spark, d, False).select("article_id", "category", F.col("rank_index").cast("long").alias("rank_index"))
+
+
+@query
+def selection_counts_zero_fill(spark: SparkSession, d: str) -> DataFrame:
+    return selection.category_counts(_selected(spark, d, True), table(spark, d, "category_profile"))
+
+
+@query
+def deferred_except(spark: SparkSession, d: str) -> DataFrame:
+    ranked = ranking.ranked(_scored(spark, d), "article_id")
+    picked = selection.select_by_quota(ranked, table(spark, d, "category_profile"), max_articles=MAX_ARTICLES)
+    return selection.deferred(ranked, picked).select("article_id")
+
+
+@query
+def union_sections(spark: SparkSession, d: str) -> DataFrame:
+    lessons = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"))
+    news = table(spark, d, "article").select(F.col("article_id").alias("item_id"), "title")
+    return editions.union_sections(news=news, lessons=lessons)
+
+
+@query
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.report_status_counts(table(spark, d, "source_report"))
+
+
+@query
+def enrichment_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.enrichment_counts(table(spark, d, "enrichment_record"))
+
+
+@query
+def origin_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.origin_counts(table(spark, d, "enrichment_record"))
+
+
+@query
+def enrichment_problems(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.problems(table(spark, d, "enrichment_record")).groupBy(F.lower(text.strip(F.col("status"))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def group_sorted_list(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.sources_by_category(table(spark, d, "feed_source"))
+
+
+@query
+def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.duplicate_keys(table(spark, d, "article").where("external_id IS NOT NULL"), "external_id")
+
+
+@query
+def unknown_category_anti(spark: SparkSession, d: str) -> DataFrame:
+    profile = table(spark, d, "category_profile").where("weight >= 5")
+    return ranking.unknown_categories(table(spark, d, "feed_source"), profile).select("id", "category")
+
+
+@query
+def source_violations(spark: SparkSession, d: str) -> DataFrame:
+    return quality.source_violations(table(spark, d, "feed_source").withColumn("priority", F.col("priority") + 2))
+
+
+@query
+def reconcile_checks(spark: SparkSession, d: str) -> DataFrame:
+    return quality.enrichment_checks(table(spark, d, "enrichment_record"))
+
+
+@query
+def report_article_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article").select("category")
+    r = table(spark, d, "source_report").select("category")
+    return quality.same_rows(a, r, "category")
+
+
+@query
+def asof_previous(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    buys = e.where("event_type = 'purchase'")
+    return history.asof_previous(e, buys, "user_id", "ts", "event_id", "previous_purchase").select("event_id", "previous_purchase")
+
+
+@query
+def history_previous_lesson(spark: SparkSession, d: str) -> DataFrame:
+    made = table(spark, d, "source_report").groupBy(F.substring("started_at", 1, 10).alias("date")).agg(F.sort_array(F.collect_set("source_id")).alias("lesson_ids"))
+    rows = made.withColumn("path", F.concat(F.lit("editions/"), "date"))
+    lessons = table(spark, d, "feed_source").where("enabled").select("id")
+    return history.previous_lesson(rows, lessons, NOW[:10]).select("date", "lesson_id")
+
+
+@query
+def rotation_next(spark: SparkSession, d: str) -> DataFrame:
+    lessons = table(spark, d, "feed_source").select("id", "enabled", F.col("priority").alias("order"))
+    last = "willow_wire"
+    return history.rotate(lessons, last, 7).select("id", F.col("pick").cast("int").alias("pick"), "cycle_reset")
+
+
+@query
+def edition_upsert(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").cast("string").alias("date"), "o_orderkey")
+    old = o.groupBy("date").agg(F.min("o_orderkey").alias("article_count"), F.lit("old").alias("version"))
+    new = o.where("date >= '1996-01-01'").groupBy("date").agg(F.max("o_orderkey").alias("article_count"), F.lit("new").alias("version"))
+    return editions.upsert(old, new, "date")
+
+
+@query
+def redact_public(spark: SparkSession, d: str) -> DataFrame:
+    return editions.redact(table(spark, d, "article")).select("article_id", "title", "content_html", "content_text", "content_status")
+
+
+@query
+def word_count(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"))
+
+
+@query
+def truncate_ellipsis(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "article").select("article_id", text.truncate(F.col("summary"), 80).alias("short"))
+
+
+@query
+def local_date_label(spark: SparkSession, d: str) -> DataFrame:
+    t = times.iso_instant(F.col("fetched_at"))
+    return table(spark, d, "article").select("article_id", times.local_date(t, "Asia/Ho_Chi_Minh").alias("local_date"), times.local_label(t, "Asia/Ho_Chi_Minh").alias("label"))
+
+
+@query
+def text_escapes(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return table(spark, d, "article").select("article_id", text.escape_markdown(t).alias("md"), text.escape_html(t).alias("html"), text.slug(t, ascii_only=True).alias("slug"), text.collapse(t).alias("plain"))
+
+
+@query
+def category_labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "article").groupBy(text.humanise(F.col("category")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def props_json_extract(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query
+def tag_membership(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article")
+    return a.select("article_id", F.array_contains("source_tags", "compiler").alias("has_compiler"), F.size(F.filter("source_tags", lambda t: t.startswith("c"))).alias("c_tags"), F.array_join("source_tags", " ").alias("tags"))
+
+
+FLAGSHIP = quota_select
