@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .queries import LOOKBACK_HOURS, MAX_ARTICLES, NOW, SCORING
 
-_ISO = r"^(\d{4})(-?)(\d{2})(-?)(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(?:([+-])(\d{2}):?(\d{2})?|([Zz]))?)?$"
+_ISO = r"^(\d{4})(-?)(\d{2})(-?)(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(?:[+-]\d{2}(?::?\d{2})?|[Zz])?)?$"
+_OFFSET = r"([+-])(\d{2}):?(\d{2})?$"
 
 
 def _strip(c: str) -> str:
@@ -22,15 +23,17 @@ def _iso(c: str) -> str:
     two = lambda i: f"CASE WHEN {g(i)} = '' THEN '00' ELSE {g(i)} END"
     micros = f"rpad(substr(CASE WHEN {g(9)} = '' THEN '0' ELSE {g(9)} END, 1, 6), 6, '0')"
     local = f"try_cast({g(1)} || '-' || {g(3)} || '-' || {g(5)} || ' ' || {two(6)} || ':' || {two(7)} || ':' || {two(8)} || '.' || {micros} AS TIMESTAMP)"
-    sign = f"(CASE WHEN {g(10)} = '-' THEN -1 ELSE 1 END)"
-    return f"CASE WHEN regexp_matches({s}, '{_ISO}') AND {g(2)} = {g(4)} AND {n(6)} <= 23 THEN {local} - to_minutes({sign} * ({n(11)} * 60 + {n(12)})) END"
+    o = lambda i: f"regexp_extract(substr({s}, 9), '{_OFFSET}', {i})"
+    m = lambda i: f"coalesce(try_cast(nullif({o(i)}, '') AS INT), 0)"
+    sign = f"(CASE WHEN {o(1)} = '-' THEN -1 ELSE 1 END)"
+    return f"CASE WHEN regexp_matches({s}, '{_ISO}') AND {g(2)} = {g(4)} AND {n(6)} <= 23 THEN {local} - to_minutes({sign} * ({m(2)} * 60 + {m(3)})) END"
 
 
 _T = f"""
 t AS (SELECT *, coalesce({_iso('published_at')}, {_iso('updated_at')}) AS ts,
-  NOT ({_blank('published_at')} AND {_blank('updated_at')}) AS some FROM article)
+  NOT ({_blank('published_at')} AND {_blank('updated_at')}) AS dated FROM article)
 """
-_STATUS = f"""CASE WHEN NOT some THEN 'missing' WHEN ts IS NULL THEN 'invalid'
+_STATUS = f"""CASE WHEN NOT dated THEN 'missing' WHEN ts IS NULL THEN 'invalid'
   WHEN ts < TIMESTAMP '{NOW}' - to_hours({LOOKBACK_HOURS}) THEN 'too_old'
   WHEN ts > TIMESTAMP '{NOW}' + to_minutes(15) THEN 'future' ELSE 'kept' END"""
 
@@ -123,9 +126,9 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"count(*) FILTER (WHERE s = '{x}') AS {x}" for x in ("kept", "missing", "invalid", "too_old", "future"))
     + ", count(*) AS total FROM c",
     "iso_instants": f"WITH i AS (SELECT article_id, {_iso('published_at')} AS ts FROM article) SELECT article_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_utc FROM i",
-    "freshness_bands": f"WITH {_T} SELECT article_id, CAST({_AGE} // 1000000 AS BIGINT) AS age_seconds, {_POINTS} AS points FROM t",
+    "freshness_bands": f"WITH {_T} SELECT article_id, CASE WHEN ts IS NULL THEN -1 ELSE CAST({_AGE} // 1000000 AS BIGINT) END AS age_seconds, {_POINTS} AS points FROM t",
     "url_canonical": f"SELECT article_id, {_canonical('url')} AS canonical_url FROM article",
-    "url_dedup_best": f"WITH {_DEDUP.replace('{base}', 'article')} SELECT article_id, dedup_status, group_ordinal FROM dd",
+    "url_dedup_best": f"WITH {_DEDUP.replace('{base}', 'article')} SELECT article_id, dedup_status, coalesce(group_ordinal, -1) AS group_ordinal FROM dd",
     "url_dedup_kept": f"WITH {_DEDUP.replace('{base}', 'article')} SELECT article_id, canon AS canonical_url FROM dd WHERE dedup_status = 'kept'",
     "dedup_summary": f"""WITH {_DEDUP.replace('{base}', 'article')} SELECT count(*) AS total, count(*) FILTER (WHERE dedup_status = 'kept') AS unique_count,
       count(*) FILTER (WHERE dedup_status = 'duplicate') AS duplicate_count, count(*) FILTER (WHERE dedup_status = 'invalid_url') AS invalid_count,
@@ -164,7 +167,7 @@ ORACLES: dict[str, str] = {
       SELECT 'status_known' AS check_name, a = 0 AS passed, a AS failing FROM c UNION ALL SELECT 'origin_allowed', b = 0, b FROM c UNION ALL SELECT 'word_count_not_negative', w = 0, w FROM c""",
     "report_article_mismatch": """SELECT category, coalesce(a.n, 0) AS left_n, coalesce(b.n, 0) AS right_n FROM (SELECT category, count(*) AS n FROM article GROUP BY 1) a
       FULL JOIN (SELECT category, count(*) AS n FROM source_report GROUP BY 1) b USING (category) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
-    "asof_previous": "SELECT e.event_id, (SELECT max_by(p.event_id, p.ts) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts < e.ts) AS previous_purchase FROM events e",
+    "asof_previous": "WITH p AS (SELECT user_id, ts, event_id AS pid FROM events WHERE event_type = 'purchase') SELECT e.event_id, coalesce(p.pid, -1) AS previous_purchase FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts > p.ts",
     "history_previous_lesson": f"""WITH h AS (SELECT substr(started_at, 1, 10) AS date, list_sort(list(DISTINCT source_id)) AS ids FROM source_report GROUP BY 1),
       x AS (SELECT date, unnest(ids) AS lesson_id, generate_subscripts(ids, 1) AS pos FROM h WHERE date < '{NOW[:10]}')
       SELECT date, lesson_id FROM x WHERE lesson_id IN (SELECT id FROM feed_source WHERE enabled) ORDER BY date DESC, pos DESC LIMIT 1""",

@@ -70,7 +70,7 @@ def iso_instants(spark: SparkSession, d: str) -> DataFrame:
 def freshness_bands(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "article").withColumn("t", times.event_instant(F.col("published_at"), F.col("updated_at")))
     a = a.withColumn("s", times.freshness_seconds(F.col("t"), NOW))
-    return a.select("article_id", F.floor("s").alias("age_seconds"), ranking.freshness_points(F.col("s")).alias("points"))
+    return a.select("article_id", F.coalesce(F.floor("s"), F.lit(-1)).alias("age_seconds"), ranking.freshness_points(F.col("s")).alias("points"))
 
 
 @query
@@ -80,7 +80,7 @@ def url_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def url_dedup_best(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.deduplicate(table(spark, d, "article"), "article_id").select("article_id", "dedup_status", "group_ordinal")
+    return dedup.deduplicate(table(spark, d, "article"), "article_id").select("article_id", "dedup_status", F.coalesce("group_ordinal", F.lit(-1)).alias("group_ordinal"))
 
 
 @query
@@ -207,7 +207,7 @@ def report_article_mismatch(spark: SparkSession, d: str) -> DataFrame:
 def asof_previous(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     buys = e.where("event_type = 'purchase'")
-    return history.asof_previous(e, buys, "user_id", "ts", "event_id", "previous_purchase").select("event_id", "previous_purchase")
+    return history.asof_previous(e, buys, "user_id", "ts", "event_id", "previous_purchase").select("event_id", F.coalesce("previous_purchase", F.lit(-1)).alias("previous_purchase"))
 
 
 @query
