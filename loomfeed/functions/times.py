@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -89,7 +90,7 @@ def freshness_seconds(instant: Column, now: str) -> Column:
     return F.when(instant.isNotNull(), F.greatest(us / F.lit(1e6), F.lit(0.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def freshness_hours(seconds: pd.Series) -> pd.Series:
     """Hours to three places, rounded on the binary value."""
     return pd.Series([None if pd.isna(s) else round(s / 3600, 3) for s in seconds], dtype="float64")

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -70,7 +71,7 @@ def origin(c: Column) -> Column:
     return F.when(is_http_url(c), F.concat(F.regexp_extract(strip(c), "^([^/]+//[^/?#]+)", 1), F.lit("/")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def join_url(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link as an absolute URL; the link itself where there is no base, null for a null link."""
     return pd.Series([None if x is None else urljoin(b or "", x.strip()) for b, x in zip(base, link, strict=True)], dtype=object)

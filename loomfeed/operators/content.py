@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dom
 from ..functions.text import is_blank, media_type
 from ..functions.urls import is_http_url
 
-CONTENT_SCHEMA = "struct<content_html:string,content_text:string,status:string,selector:string,word_count:int>"
+CONTENT_SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n == "word_count" else T.StringType()) for n in ("content_html", "content_text", "status", "selector", "word_count")])
 
 
 def extract_content(minimum: int = 400, maximum: int = 120_000):
@@ -28,19 +29,19 @@ def extract_content(minimum: int = 400, maximum: int = 120_000):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_html(html: pd.Series) -> pd.Series:
     """Text of markup with white space collapsed."""
     return html.map(dom.visible_text, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(text: pd.Series) -> pd.Series:
     """Entities resolved, white space of any kind collapsed."""
     return text.map(lambda t: re.sub(r"\s+", " ", html_module.unescape(t)).strip(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding; ``functions.text.fold`` is the native form for common scripts."""
     return text.map(str.casefold, na_action="ignore")
