@@ -21,7 +21,7 @@ def is_blank(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case with the foldings that ``lower`` alone misses (sharp s, final sigma)."""
-    return F.regexp_replace(F.lower(F.upper(c)), "ς", "σ")
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def letters(c: Column) -> Column:

@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,17 +86,21 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     """``path, member, size, text, error`` of the archives under a path; a broken archive is one row with an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "path string, member string, size long, text string, error string"
+    arrow = schemas.arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p, content in b.itertuples(index=False):
+            out: list[dict] = []
+            for row in b.to_pylist():
+                p, content = row["path"], row["content"]
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         if bad := z.testzip():
                             raise zipfile.BadZipFile(bad)
-                        out += [(p, m.filename, m.file_size, z.read(m).decode("utf-8", "replace"), None) for m in z.infolist()]
+                        out += [{"path": p, "member": m.filename, "size": m.file_size, "text": z.read(m).decode("utf-8", "replace")} for m in z.infolist()]
                 except zipfile.BadZipFile as e:
-                    out.append((p, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "member", "size", "text", "error"]).astype({"size": "Int64"})
+                    out.append({"path": p, "error": str(e)})
+            yield from schemas.batches(out, arrow)
 
-    return files.mapInPandas(run, "path string, member string, size long, text string, error string")
+    return files.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from email.utils import parsedate_to_datetime
 from html import unescape
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schemas
@@ -151,18 +151,18 @@ def feed_articles(payloads: DataFrame, fetched_at: str, *, max_summary: int = 20
     so one bad source never stops the others.
     """
     schema = f"{schemas.ORDINAL}, feed_format string, feed_title string, error string, {schemas.ARTICLE}"
-    columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    arrow = schemas.arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
+            for row in b.to_pylist():
                 try:
                     kind, title, entries = read_feed(bytes(row["body"] or b""))
                 except ValueError as e:
                     out.append({"source_pos": row["source_pos"], "error": str(e), "source_id": row["id"]})
                     continue
                 out += [to_record(x, row, fetched_at, max_summary) | {"source_pos": row["source_pos"], "entry_pos": i, "feed_format": kind, "feed_title": title} for i, x in enumerate(entries)]
-            yield pd.DataFrame(out, columns=columns).astype({"source_pos": "Int32", "entry_pos": "Int32", "source_priority": "Int32"})
+            yield from schemas.batches(out, arrow)
 
-    return payloads.mapInPandas(run, schema)
+    return payloads.mapInArrow(run, schema)

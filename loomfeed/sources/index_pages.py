@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schemas
@@ -83,15 +83,15 @@ def read_index(html: bytes | str, base_url: str, max_summary: int = 2000) -> lis
 def index_articles(payloads: DataFrame, fetched_at: str, *, max_summary: int = 2000) -> DataFrame:
     """Articles of staged index pages; columns as of ``feed_articles`` payloads."""
     schema = f"{schemas.ORDINAL}, {schemas.ARTICLE}"
-    columns = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    arrow = schemas.arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for row in b.to_dict("records"):
+            for row in b.to_pylist():
                 for i, card in enumerate(read_index(bytes(row["body"] or b""), row["url"], max_summary)):
                     common = {"source_id": row["id"], "source_name": row["name"], "category": row["category"], "source_priority": row["priority"], "source_tags": list(row["tags"]) if row["tags"] is not None else []}
                     out.append(common | card | {"fetched_at": fetched_at, "content_html": "", "content_text": "", "content_status": "not_requested", "source_pos": row["source_pos"], "entry_pos": i})
-            yield pd.DataFrame(out, columns=columns).astype({"source_pos": "Int32", "entry_pos": "Int32", "source_priority": "Int32"})
+            yield from schemas.batches(out, arrow)
 
-    return payloads.mapInPandas(run, schema)
+    return payloads.mapInArrow(run, schema)

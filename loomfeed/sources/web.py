@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -94,19 +94,16 @@ def fetch(url: str, seconds: float = 20, most_bytes: int = 5_000_000, transport:
     return {"url": url, "http_status": answer.status, "content_type": answer.content_type, "body": None if error else answer.body, "final_url": answer.final_url or url, "error": error, "retry_count": retries, "request_profile": profile}
 
 
-def _rows(out: list[dict]) -> pd.DataFrame:
-    columns = [c.split(" ")[0] for c in schemas.PAGE.split(", ")]
-    return pd.DataFrame(out, columns=columns).astype({"http_status": "Int32", "retry_count": "Int32"})
-
-
 def fetch_pages(urls: DataFrame, *, seconds: float = 20, most_bytes: int = 5_000_000, transport: Transport = over_http) -> DataFrame:
     """Fetch each distinct ``url``; tasks fetch in parallel, one answer per row, errors as data."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = schemas.arrow_schema(schemas.PAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _rows([fetch(u, seconds, most_bytes, transport) for u in b["url"]])
+            yield from schemas.batches([fetch(u, seconds, most_bytes, transport) for u in b.column(0).to_pylist()], arrow)
 
-    return urls.select("url").where("url IS NOT NULL").distinct().mapInPandas(run, schemas.PAGE)
+    return urls.select("url").where("url IS NOT NULL").distinct().mapInArrow(run, schemas.PAGE)
 
 
 def collect(sources: DataFrame, fetched_at: str, *, seconds: float = 20, max_summary: int = 2000, transport: Transport = over_http) -> tuple[DataFrame, DataFrame]:
