@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: All Unicode white space and invisible blanks as a Java character class.
 SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
 
+#: The same characters, for trimming.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def strip(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def lit_map(entries: dict) -> Column:
+    """A literal map in one expression (a call per entry would take seconds for long tables)."""
+    show = lambda x: str(x) if isinstance(x, int) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{show(k)}, {show(v)}" for k, v in entries.items()) + ")")
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Append columns whose expressions stay where they are.
+
+    Catalyst pushes a filter through projections and copies into it every
+    expression that it refers to, again for each reference. It can't push one
+    below the generator whose output it reads, so a one-element explode keeps
+    a long chain of parsing steps from being multiplied.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_b")
+    return df.select("*", made).select(*(F.col(f"`{c}`") for c in df.columns), *(F.col("_b")[n].alias(n) for n in columns))
 
 
 def is_blank(c: Column) -> Column:

@@ -26,11 +26,20 @@ def _n(c: Column) -> Column:
 
 def iso_instant(value: Column) -> Column:
     """UTC instant of an ISO 8601 text; a text without an offset is UTC; null if it isn't one."""
+    return first_instant(value)
+
+
+def first_instant(*values: Column) -> Column:
+    """The first readable of some ISO texts. The parser is one lambda over all of them, so it is built and planned once."""
+    made = F.filter(F.transform(F.array(*values), _parsed), lambda t: t.isNotNull())
+    return F.try_element_at(made, F.lit(1))
+
+
+def _parsed(value: Column) -> Column:
     s = strip(value)
     to = "$1|$3|$4|$5|$6|$7|$8|$9|$10|$11"
     f = F.split(F.coalesce(F.when(s.rlike(_ISO), F.concat(F.lit("d|"), F.regexp_replace(s, _ISO, to))), F.when(s.rlike(_WEEK), F.concat(F.lit("w|"), F.regexp_replace(s, _WEEK, to)))), "\\|", -1)
-    made = F.transform(F.array(f), lambda x: _assembled(x))
-    return made[0]
+    return F.transform(F.array(f), _assembled)[0]
 
 
 def _assembled(f: Column) -> Column:
@@ -52,7 +61,7 @@ def _assembled(f: Column) -> Column:
 
 def event_instant(published: Column, updated: Column) -> Column:
     """The first readable of two ISO texts."""
-    return F.coalesce(iso_instant(published), iso_instant(updated))
+    return first_instant(published, updated)
 
 
 def to_iso_z(ntz: Column) -> Column:

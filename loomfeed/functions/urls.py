@@ -42,7 +42,11 @@ def canonical_url(url: Column) -> Column:
     trailing slash, no tracking parameters, the other parameters in order.
     Percent-encoding is left as it is.
     """
-    p = url_parts(url)
+    # The lambda binds the parts once; as a plain expression the match would be copied into each use.
+    return F.transform(F.array(url_parts(url)), _respelled)[0]
+
+
+def _respelled(p: Column) -> Column:
     scheme, host, port = F.lower(p[0]), F.regexp_replace(F.lower(p[1]), "\\.+$", ""), p[2]
     number = F.when(port == "", F.lit(-1)).otherwise(port.try_cast("int"))
     default = (port == "") | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, strip
+from ..functions.text import bound, is_blank, strip
 from ..functions.urls import canonical_url
 
 QUALITY = ["_has_published", "_has_updated", "_has_summary", "_summary_length", "_has_author", "_priority"]
@@ -30,7 +30,7 @@ def deduplicate(articles: DataFrame, ordinal: str) -> DataFrame:
     group comes from a map-side combined aggregation instead of a sort of the
     group, and a hot URL costs a row per task.
     """
-    df = articles.withColumn("canonical_url", canonical_url(F.col("url"))).withColumns(quality_columns())
+    df = bound(articles, canonical_url=canonical_url(F.col("url")), **quality_columns())
     rank = F.struct(*QUALITY, (-F.col(ordinal)).alias("_first"))
     best = df.where(F.col("canonical_url").isNotNull()).groupBy("canonical_url").agg(F.max(rank).alias("_best"), F.min(ordinal).alias("group_ordinal"))
     status = F.when(F.col("canonical_url").isNull(), "invalid_url").when(F.col("_best._first") == -F.col(ordinal), "kept").otherwise("duplicate")
@@ -60,6 +60,6 @@ def dedup_summary(deduplicated: DataFrame) -> DataFrame:
 
 def keep_best_windowed(articles: DataFrame, ordinal: str) -> DataFrame:
     """The kept rows only, by a ranking window (plans as WindowGroupLimit); for callers that need no other status."""
-    df = articles.withColumn("canonical_url", canonical_url(F.col("url"))).where(F.col("canonical_url").isNotNull()).withColumns(quality_columns())
+    df = bound(articles, canonical_url=canonical_url(F.col("url")), **quality_columns()).where(F.col("canonical_url").isNotNull())
     w = Window.partitionBy("canonical_url").orderBy(*(F.col(c).desc() for c in QUALITY), F.col(ordinal))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *QUALITY)

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_term, fold
+from ..functions.text import bound, contains_term, fold
 from ..functions.times import event_instant, freshness_seconds
+from ..runtime import checkpoint, shuffle_width
 
 
 @dataclass(frozen=True)
@@ -54,13 +55,16 @@ def unknown_categories(sources: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def score(weighted: DataFrame, now: str, scoring: Scoring) -> DataFrame:
-    """Append score, freshness, matched keywords and the ordered reasons.
+    """Append score, freshness, matched keywords and the ordered reasons (and ``event_ts`` where it isn't there yet).
 
     Keywords are literals, one pattern each, so overlapping hits all count;
     the folded texts are computed once per row.
     """
     support = F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.array_join(F.coalesce("source_tags", F.array().cast("array<string>")), " "))
-    df = weighted.withColumns({"_title": fold(F.coalesce("title", F.lit(""))), "_support": fold(support), "event_ts": event_instant(F.col("published_at"), F.col("updated_at"))})
+    made = {"_title": fold(F.coalesce("title", F.lit(""))), "_support": fold(support)}
+    if "event_ts" not in weighted.columns:
+        made["event_ts"] = event_instant(F.col("published_at"), F.col("updated_at"))
+    df = bound(weighted, **made)
     df = df.withColumn("freshness_seconds", freshness_seconds(F.col("event_ts"), now))
     title, both = F.col("_title"), F.concat_ws(" ", "_title", "_support")
     high = [F.when(contains_term(title, k), F.struct(F.lit(k).alias("k"), F.lit(scoring.in_title).alias("p"))).when(contains_term(F.col("_support"), k), F.struct(F.lit(k).alias("k"), F.lit(scoring.in_support).alias("p"))) for k in scoring.high_keywords]
@@ -106,16 +110,16 @@ def top_ranked(scored: DataFrame, ordinal: str, n: int) -> DataFrame:
 def ranked(scored: DataFrame, ordinal: str) -> DataFrame:
     """All rows with their global ``rank_index``, without a one-task window.
 
-    Rows are range-partitioned by the keys and numbered inside their
-    partition; the partitions' sizes, one number each, give the offsets.
+    Rows are written once, as finding range bounds and partitioning each read
+    them; give it narrow rows. They are range-partitioned by the keys and
+    numbered inside their partition; the partitions' sizes, one number each,
+    give the offsets.
     """
-    spark = scored.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from ..runtime import checkpoint
-
+    n = shuffle_width(scored.sparkSession)
+    scored = checkpoint(scored)
     keyed = scored.withColumns({f"_k{i}": c for i, c in enumerate([F.col("score"), F.col("event_ts"), F.coalesce("source_priority", F.lit(0)), fold(F.col("title")), F.col("url"), F.col(ordinal)])})
     order = [F.col("_k0").desc(), F.col("_k1").desc_nulls_last(), F.col("_k2").desc(), F.col("_k3"), F.col("_k4"), F.col("_k5")]
-    parts = checkpoint(keyed.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    parts = checkpoint(keyed.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))  # ids and rows must not move apart
     w = Window.partitionBy("_part").orderBy(*order)
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACE, bound, lit_map, strip
+
 # Month names in English, German, French and Spanish.
 MONTHS = {
     1: "january jan januar jänner janvier janv enero ene",
@@ -51,7 +53,7 @@ ABBREVIATIONS = {
     "aest": 600, "aedt": 660, "acst": 570, "acdt": 630, "awst": 480, "nzst": 720, "nzdt": 780,
 }
 
-_SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_SPACE = SPACE
 _MONTH = "(" + "|".join(sorted((n for names in MONTHS.values() for n in names.split()), key=len, reverse=True)) + ")\\.?"
 _WEEKDAY = "(?:\\p{L}{2,10}\\.?,? )?"
 _OFFSET = "(?:utc|gmt)?[+-]\\d{1,2}(?::?\\d{2})?"
@@ -71,7 +73,9 @@ CASCADE: list[tuple[str, str, str]] = [
 
 def _known_zones(spark: SparkSession) -> list[str]:
     """All zone ids of the JVM's zone database (a list of fixed size, about 600)."""
-    return sorted(z for z in spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds() if "/" in z and not z.startswith("SystemV"))
+    jvm = spark.sparkContext._jvm
+    names = jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",")
+    return sorted(z for z in names if "/" in z and not z.startswith("SystemV"))
 
 
 def _int(c: Column) -> Column:
@@ -95,7 +99,7 @@ def epoch_seconds(s: Column) -> Column:
 
 
 def _offset_minutes(zone: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in ABBREVIATIONS.items() for x in kv))
+    table = lit_map(ABBREVIATIONS)
     m = F.regexp_replace(zone, "^(?:utc|gmt)?([+-])(\\d{1,2}):?(\\d{2})?$", "$1|$2|$3")
     p = F.split(m, "\\|", -1)
     h, mi = _int(p[1]), F.coalesce(_int(p[2]), F.lit(0))
@@ -103,18 +107,6 @@ def _offset_minutes(zone: Column) -> Column:
     return F.when(zone.rlike(f"^{_OFFSET}$"), numeric).otherwise(F.try_element_at(table, zone))
 
 
-def bound(df: DataFrame, **columns: Column) -> DataFrame:
-    """Append columns whose expressions stay where they are.
-
-    Catalyst pushes a filter through projections and copies into it every
-    expression that it refers to, again for each reference. It can't push one
-    below the generator whose output it reads, so a one-element explode keeps
-    a long chain of parsing steps from being multiplied.
-    """
-    made = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_b")
-    return df.select("*", made).select(*(F.col(f"`{c}`") for c in df.columns), *(F.col("_b")[n].alias(n) for n in columns))
-
-
 def with_utc(df: DataFrame, column: str, out: str, zones: list[str], tz: str = "_tz", day_first: str = "_day_first") -> DataFrame:
     """Append ``out``: TIMESTAMP_NTZ of the instant in UTC, or null.
 
@@ -122,8 +114,8 @@ def with_utc(df: DataFrame, column: str, out: str, zones: list[str], tz: str = "
     expression is copied into the next and the generated code stays small.
     """
     s, f = F.col("_tidy"), F.col("_f")
-    names = F.create_map(*(F.lit(x) for k, v in MONTHS.items() for n in v.split() for x in (n, k)))
-    ids = F.create_map(*(F.lit(x) for z in zones for x in (z.lower(), z)))
+    names = lit_map({n: k for k, v in MONTHS.items() for n in v.split()})
+    ids = lit_map({z.lower(): z for z in zones})
     number = lambda i: _int(F.get(f, F.lit(i)))
     step1 = bound(df, _tidy=tidy(F.col(column))).withColumns({"_f": local_fields(s), "_epoch": epoch_seconds(s)})
     step2 = step1.withColumns({
@@ -166,7 +158,7 @@ def iso_z(ntz: Column) -> Column:
 
 def source_key(c: Column) -> Column:
     """A source id without regard to letter case and surrounding spaces."""
-    return F.lower(F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", ""))
+    return F.lower(strip(c))
 
 
 def clock_table(clock: DataFrame) -> DataFrame:
@@ -174,7 +166,7 @@ def clock_table(clock: DataFrame) -> DataFrame:
 
     Repeated rows of a source collapse to the first zone in name order.
     """
-    ids = F.create_map(*(F.lit(x) for z in [*_known_zones(clock.sparkSession), "UTC"] for x in (z.lower(), z)))
+    ids = lit_map({z.lower(): z for z in [*_known_zones(clock.sparkSession), "UTC"]})
     return (
         clock.groupBy(source_key(F.col("source_id")).alias("_clock_source"))
         .agg(F.min(F.struct("tz_name", "day_first")).alias("_c"))

@@ -7,8 +7,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
-from ..functions.times import iso_instant
+from ..functions.text import bound, is_blank
+from ..functions.times import event_instant
 
 STATUSES = ["kept", "missing", "invalid", "too_old", "future"]
 
@@ -41,8 +41,7 @@ def classify_by_time(articles: DataFrame, lookback_hours: float, *, now: str | d
     """Append ``event_ts`` (UTC) and ``time_status``. The five outcomes are filters on the one status: one scan."""
     check_window(lookback_hours, future_tolerance_minutes)
     some = ~is_blank(F.col("published_at")) | ~is_blank(F.col("updated_at"))
-    df = articles.withColumns({"_p": iso_instant(F.col("published_at")), "_u": iso_instant(F.col("updated_at"))})
-    df = df.withColumn("event_ts", F.coalesce("_p", "_u")).drop("_p", "_u")
+    df = bound(articles, event_ts=event_instant(F.col("published_at"), F.col("updated_at")))
     return df.withColumn("time_status", window_status(F.col("event_ts"), some, now, lookback_hours, future_tolerance_minutes))
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import dedup, editions, ranking, selection, timewindow
 from ..runtime import checkpoint
@@ -29,14 +30,18 @@ def edition(articles: DataFrame, categories: DataFrame, now: str, settings: Edit
     Only what the window keeps is deduplicated, only unique records are
     scored, only scored rows are ranked; the scored rows are written once
     (checkpoint inside the ranking) and every later step reads them there.
+    Contents stay out of all of that: they join the selected rows, at most
+    ``max_articles``, at the end.
     """
-    classified = timewindow.classify_by_time(articles, settings.lookback_hours, now=now)
-    kept = classified.where("time_status = 'kept'").drop("event_ts", "time_status")
+    heavy = [c for c in ("content_html", "content_text") if c in articles.columns]
+    classified = timewindow.classify_by_time(articles.drop(*heavy), settings.lookback_hours, now=now)
+    kept = classified.where("time_status = 'kept'").drop("time_status")
     unique = dedup.deduplicate(kept, ordinal)
     scored = ranking.score(ranking.with_weights(unique.where("dedup_status = 'kept'"), categories), now, settings.scoring)
     ranked = ranking.ranked(scored, ordinal)
     room = settings.max_articles if capacity is None else capacity
-    selected = checkpoint(selection.select_by_quota(ranked, categories, max_articles=room, fill_unused_slots=settings.fill_unused_slots))
+    picked = checkpoint(selection.select_by_quota(ranked, categories, max_articles=room, fill_unused_slots=settings.fill_unused_slots))
+    selected = checkpoint(articles.select(ordinal, *heavy).join(F.broadcast(picked), ordinal)) if heavy else picked
     combined = selected if lessons is None else editions.union_sections(news=selected, lessons=lessons)
     return {"classified": classified, "unique": unique, "ranked": ranked, "selected": selected, "combined": combined}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times, urls
 from ..operators import aggregates, dedup, editions, history, quality, ranking, selection, timewindow
 from ..operators.timestamps import restated_timestamps
-from ..runtime import table
+from ..runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +33,8 @@ def query(f: Query) -> Query:
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return restated_timestamps(table(spark, d, "article"), table(spark, d, "source_clock"), "article_id", ["published_at", "updated_at"])
+    a = spread(table(spark, d, "article").select("article_id", "source_id", "published_at", "updated_at"))
+    return restated_timestamps(a, table(spark, d, "source_clock"), "article_id", ["published_at", "updated_at"])
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +42,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unique(spark: SparkSession, d: str) -> DataFrame:
-    kept = _classified(spark, d).where("time_status = 'kept'").drop("event_ts", "time_status")
+    kept = _classified(spark, d).where("time_status = 'kept'").drop("time_status", "content_html", "content_text")
     return dedup.deduplicate(kept, "article_id").where("dedup_status = 'kept'")
 
 
