@@ -34,6 +34,8 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _INLINE = re.compile("[ \t\f\v]+")
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _ENDS_P = frozenset("div ul ol table section article aside nav footer header main pre h1 h2 h3 h4 h5 h6 blockquote form li tr td th figure p".split())
+#: Nesting beyond this is flattened, so no page exhausts the stack.
+DEEPEST = 200
 _WALL = frozenset("table ul ol dl div article section main body".split())
 
 
@@ -81,6 +83,8 @@ class _Builder(HTMLParser):
     def __init__(self, drop: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("[root]")
+        self.depth = 0
+        self.flat: dict[str, int] = {}
         self.drop = drop
         self.dropping: list[str] = []
 
@@ -90,10 +94,19 @@ class _Builder(HTMLParser):
                 self.dropping.append(tag)
             return
         self._close_implied(tag)
+        if tag not in _VOID and self.depth >= DEEPEST + 50 * (tag in BLOCKS):
+            self.flat[tag] = self.flat.get(tag, 0) + 1
+            return
         node = Node(tag, {k: v or "" for k, v in attrs}, parent=self.at)
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
+            self.depth += 1
+
+    def _rise(self, to: Node) -> None:
+        while self.at is not to:
+            self.at = self.at.parent
+            self.depth -= 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if not self.dropping and tag not in self.drop:
@@ -109,7 +122,7 @@ class _Builder(HTMLParser):
                 break
             node = node.parent
         if last is not None:
-            self.at = last.parent
+            self._rise(last.parent)
 
     def handle_endtag(self, tag: str) -> None:
         if self.dropping:
@@ -117,10 +130,13 @@ class _Builder(HTMLParser):
                 while self.dropping.pop() != tag:
                     pass
             return
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
         node = self.at
         while node.parent is not None:
             if node.tag == tag:
-                self.at = node.parent
+                self._rise(node.parent)
                 return
             node = node.parent
 

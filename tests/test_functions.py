@@ -85,3 +85,8 @@ def test_extraction():
 @pytest.mark.parametrize("name, noise", [("ad-box", True), ("ad", True), ("big ad", False), ("side-bar", False), ("my_sidebar", True), ("shared", False)])
 def test_noise_names(name, noise):
     assert dom.is_noise(dom.Node("div", {"class": name})) is noise
+
+
+def test_deep_pages_are_flattened():
+    r = dom.extract("<main>" + "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>after</p></main>", None, minimum=1)
+    assert r["status"] == "extracted" and "deep" in r["content_text"] and "after" in r["content_text"]
