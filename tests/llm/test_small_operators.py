@@ -76,6 +76,11 @@ def test_site_lines_against_brute_force(spark, articles):
     assert site_lines.found_lines(df.limit(0)).count() == 0
 
 
+def test_exactly_a_tenth_counts(articles):
+    df = articles(*({"content_text": f"{'Shared words' if i < 7 else 'x'}\n{'abcdefghij'[i % 10] * (i + 1)}"} for i in range(70)))
+    assert {r.article_id for r in site_lines.found_lines(df).where("line_no = 1").collect()} >= set(range(1, 8))
+
+
 def test_copies_are_one_cluster(articles):
     df = articles(*({"content_text": "same\nbody"} for _ in range(5)), {"content_text": "other\nbody"})
     assert site_lines.found_lines(df, least_clusters=2).count() == 6
@@ -234,6 +239,18 @@ def test_frames(articles):
     assert boilerplate.page_frames(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark, articles):
+    from pyspark.sql import functions as F
+
+    row = {"article_id": 1, "title": BASE, "url": "https://a.example/x", "content_text": "Alpha line.\nBeta line.", "content_html": "<p>Alpha line.</p>", "external_id": "e"}
+    names = ["_source", "_line", "_lines", "_key", "_batch", "_kept", "_t", "_nums", "id", "k", "p", "page", "external", "headline", "text", "flags", "words", "share", "ids", "line_no", "first_id", "_titles", "v", "ts_utc", "field"]
+    df = articles(row, row, {**row, "article_id": 2}).withColumns({n: F.lit("x") for n in names})
+    assert {r.dup_id: r.first_id for r in history.repeated_items(df).collect()} == {2: 1}
+    assert site_lines.found_lines(df).count() == 6
+    assert len(ids(capping.excess_articles(df))) == 2
+    assert residue.residue_articles(df).count() == 0 and boilerplate.page_frames(df).count() >= 0
+
+
 def test_entry_without_this_subpackage(monkeypatch):
     import builtins
     import importlib
