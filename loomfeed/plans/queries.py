@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times, urls
-from ..operators import aggregates, dedup, editions, history, quality, ranking, selection, timewindow
+from ..operators import aggregates, content, dedup, editions, history, quality, ranking, selection, timewindow
 from ..operators.timestamps import restated_timestamps
 from ..runtime import spread, table
 
@@ -278,4 +278,17 @@ def tag_membership(spark: SparkSession, d: str) -> DataFrame:
     return a.select("article_id", F.array_contains("source_tags", "compiler").alias("has_compiler"), F.size(F.filter("source_tags", lambda t: t.startswith("c"))).alias("c_tags"), F.array_join("source_tags", " ").alias("tags"))
 
 
+@query
+def html_extract(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "article").where(~text.is_blank(F.col("content_html"))).select("article_id", "url", "content_html")
+    x = pages.select("article_id", content.extract_content(250)(F.col("content_html"), F.when(urls.is_http_url(F.col("url")), F.col("url"))).alias("x"))
+    return x.select("article_id", "x.status", "x.selector", "x.word_count")
+
+
+@query
+def html_visible_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "article").where(~text.is_blank(F.col("content_html")))
+    return pages.select("article_id", F.length(content.clean_html(F.col("content_html"))).alias("visible_chars"))
+
+
 FLAGSHIP = quota_select
