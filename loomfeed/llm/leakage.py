@@ -36,8 +36,10 @@ GAP, STRETCH = 2, 3
 INSTRUCTION_WORDS = 12
 
 _TAGS = re.compile(r"<[^<>]{0,300}>")
-_JOIN = re.compile(r"(?<=\w)['’ʼ](?=\w)|(?<=\d)[.,](?=\d)|­|(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
-_WORD = re.compile(r"[^\W_]+")
+_SPLIT = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
+#: Letters and digits, with apostrophes inside words and separators inside numbers.
+_WORD = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+|(?<=\d)[.,]\d+)*")
+_INNER = str.maketrans("", "", "'’ʼ.,")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -48,7 +50,11 @@ def words_of(text: str | None) -> list[str]:
         text = _TAGS.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    return _WORD.findall(_JOIN.sub("", text.casefold()))
+    if "\xad" in text:
+        text = text.replace("\xad", "")
+    if "-\n" in text or "-\r" in text or "- " in text:
+        text = _SPLIT.sub("", text)
+    return [w if w.isalnum() else w.translate(_INNER) for w in _WORD.findall(text.casefold())]
 
 
 def passage_of(text: str | None) -> list[str]:
@@ -136,13 +142,28 @@ class Items:
                 yield d, k, best
 
     def _agreeing(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray, diagonal: np.ndarray, least: int) -> np.ndarray:
-        """Whether some ``least`` words in a row agree in enough places along the diagonal (a shift may hide half of them)."""
-        at = diagonal[:, None] + np.arange(self.padded.shape[1])
-        inside = (at >= 0) & (at < size[:, None])
-        same = np.where(inside, flat[np.clip(start[:, None] + at, 0, flat.size - 1)], -1) == self.padded[item]
-        total = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-        width = min(least, total.shape[1] - 1)
-        return (total[:, width:] - total[:, :-width]).max(axis=1) >= 0.4 * least
+        """Whether some ``least`` words in a row agree in enough places: on the diagonal, where a shift may hide half of them, and with the diagonals beside it."""
+        places = np.arange(self.padded.shape[1])
+        width = min(least, places.size)
+
+        def most(same: np.ndarray) -> np.ndarray:
+            total = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+            return (total[:, width:] - total[:, :-width]).max(axis=1)
+
+        def equal(rows: np.ndarray, shift: int) -> np.ndarray:
+            at = diagonal[rows, None] + shift + places
+            inside = (at >= 0) & (at < size[rows, None])
+            return np.where(inside, flat[np.clip(start[rows, None] + at, 0, flat.size - 1)], -1) == self.padded[item[rows]]
+
+        good = np.zeros(diagonal.size, bool)
+        rows = np.flatnonzero(most(on := equal(np.arange(diagonal.size), 0)) >= 0.4 * least)
+        if rows.size:
+            near = on[rows]
+            for shift in (*range(-GAP, 0), *range(1, GAP + 1)):
+                near |= equal(rows, shift)
+            # Chains of the shortest stretches with the widest gaps agree in this part of their words.
+            good[rows] = most(near) >= STRETCH / (STRETCH + GAP) * least
+        return good
 
     @staticmethod
     def _aligned(item: np.ndarray, doc: np.ndarray, diagonal: int) -> int:
