@@ -1,8 +1,9 @@
 """Detect template residue, filler and error-page text in place of articles.
 
-Lines that a source repeats under its texts are set aside first. The rest is
-matched, line by line, with one multi-pattern automaton over error, filler and
+Each line is matched with one multi-pattern automaton over error, filler and
 script notices in several languages and the delimiters of template languages.
+Lines that a source repeats under differing texts are set aside, but never
+those that matches cover: an error page that floods a source is no footer.
 A line is residue if matches cover most of it. A text is residue if residue
 lines hold most of its characters. Articles that merely mention such phrases
 have a low coverage, whatever any status says.
@@ -11,7 +12,7 @@ have a low coverage, whatever any status says.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -133,39 +134,43 @@ def covered(line: str) -> float:
     return sum(hit[i] for i in solid) / len(solid) if solid else 0.0
 
 
-def coverage(text: str | None, site: str | None = None) -> float:
-    """Part of a text's characters in residue lines; 0 for null and blank texts. The site's own name counts for neither side."""
+def coverage(text: str | None, site: str | None = None, aside: Sequence[bool] | None = None) -> float:
+    """Part of a text's characters in residue lines; 0 for null and blank texts. The site's own name counts for neither side.
+
+    ``aside`` marks the lines (those that ``\\n`` separates) that count only if they are residue.
+    """
     total = bad = 0
     name = re.compile(re.escape(site.strip()), re.I) if site and site.strip() else None
-    for line in (text or "").splitlines():
-        bare = _BULLET.sub("", line).strip()
-        if name is not None:
-            bare = name.sub("", bare).strip()
-        if bare and bare.lower() not in NEUTRAL:
-            total += len(bare)
-            bad += len(bare) * (covered(bare) >= LINE_SHARE)
+    for n, whole in enumerate((text or "").split("\n")):
+        for line in whole.splitlines():
+            bare = _BULLET.sub("", line).strip()
+            if name is not None:
+                bare = name.sub("", bare).strip()
+            if bare and bare.lower() not in NEUTRAL:
+                residue = covered(bare) >= LINE_SHARE
+                bad += len(bare) * residue
+                total += len(bare) * (residue or aside is None or not aside[n])
     return bad / total if total else 0.0
 
 
 def residue_articles(articles: DataFrame, *, share: float = TEXT_SHARE) -> DataFrame:
     """``article_id`` of each article whose text is residue.
 
-    Null and blank texts, and texts of nothing but their source's lines, are
-    no cases. Repeated rows are judged each, a null source is a source of its
+    Null and blank texts, and texts of nothing but lines set aside, are no
+    cases. Repeated rows are judged each, a null source is a source of its
     own; other columns are not read; an empty table gives an empty result.
     """
     narrow = articles.select("article_id", "source_id", "source_name", "published_at", "content_text")
-    # A line in all of a source's few texts says nothing, so a line must recur in five at least.
-    lines = checkpoint(recurring_lines(narrow, least=5, share=0.05).select("_source", "_line"))
+    # A line in all of a source's few texts says nothing, nor do copies, so a line must recur in five differing texts at least.
+    lines = checkpoint(recurring_lines(narrow, least=5, share=0.05, least_clusters=5, differing=True).select("_source", "_line"))
     listed = lines.groupBy("_source").agg(F.collect_set("_line").alias("_lines"))  # a share of 1/20 bounds a source's set to 20 texts' lines
     few = F.broadcast(listed) if lines.count() <= BROADCAST_LINES else listed
     keyed = narrow.where(~is_blank(F.col("content_text"))).select("article_id", "content_text", "source_name", F.coalesce(source_key(F.col("source_id")), F.lit("")).alias("_source"))
-    zipped = F.arrays_zip(F.split("content_text", "\n", -1).alias("t"), line_keys(F.col("content_text")).alias("k"))
-    kept = F.filter(zipped, lambda x: x["k"].isNull() | F.col("_lines").isNull() | ~F.array_contains("_lines", x["k"]))
-    rest = keyed.join(few, "_source", "left").select("article_id", "source_name", F.array_join(F.transform(kept, lambda x: x["t"]), "\n").alias("text"))
+    marks = F.transform(line_keys(F.col("content_text")), lambda k: F.coalesce(F.array_contains("_lines", k), F.lit(False)))
+    marked = keyed.join(few, "_source", "left").select("article_id", "source_name", F.col("content_text").alias("text"), F.when(F.col("_lines").isNotNull(), marks).alias("aside"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[coverage(t, s) >= share for t, s in zip(b["text"], b["source_name"], strict=True)], ["article_id"]]
+            yield b.loc[[coverage(t, s, a) >= share for t, s, a in zip(b["text"], b["source_name"], b["aside"], strict=True)], ["article_id"]]
 
-    return spread(rest).mapInPandas(run, "article_id long")
+    return spread(marked).mapInPandas(run, "article_id long")

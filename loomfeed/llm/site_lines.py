@@ -39,25 +39,32 @@ def _documents(articles: DataFrame, day: Column | None) -> DataFrame:
     )
 
 
-def recurring_lines(articles: DataFrame, *, least: int = 3, share: float = 0.1, least_clusters: int = 1, least_days: int = 0) -> DataFrame:
+def recurring_lines(articles: DataFrame, *, least: int = 3, share: float = 0.1, least_clusters: int = 1, least_days: int = 0, differing: bool = False) -> DataFrame:
     """``_source, _line`` (the hash) with ``articles, clusters, days`` of each line that recurs within its source.
 
     A line recurs if it is in at least ``least`` documents, ``least_clusters``
     clusters of equal texts, ``least_days`` publication days and a ``share``
-    of the source's documents with text.
+    of the source's documents with text. With ``differing``, a cluster is the
+    texts whose lines have the same letters, and the share is one of the
+    source's clusters: copies add nothing, and a line in several clusters
+    stands beside lines that differ.
     """
     docs = _documents(articles, F.substring("published_at", 1, 10))
     keys = F.filter(F.array_distinct(line_keys(F.col("content_text"))), lambda x: x.isNotNull())
-    lines = docs.select("_source", "_cluster", "_day", F.explode(keys).alias("_line"))
+    docs = docs.select("_source", "_cluster", "_day", keys.alias("_keys"))
+    if differing:
+        docs = docs.withColumn("_cluster", F.xxhash64(F.array_sort("_keys")))
+    lines = docs.select("_source", "_cluster", "_day", F.explode("_keys").alias("_line"))
     by_cluster = lines.groupBy("_source", "_line", "_cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("_day").alias("_day"))
     counted = by_cluster.groupBy("_source", "_line").agg(
         F.sum("_n").alias("articles"),
         F.count(F.lit(1)).alias("clusters"),
         (F.approx_count_distinct("_day") if least_days else F.lit(0)).alias("days"),
     )
-    sizes = docs.groupBy("_source").agg(F.count(F.lit(1)).alias("_docs"))
+    sizes = docs.groupBy("_source").agg((F.count_distinct("_cluster") if differing else F.count(F.lit(1))).alias("_docs"))
+    held = F.col("clusters" if differing else "articles")
     found = (F.col("articles") >= least) & (F.col("clusters") >= least_clusters) & (F.col("days") >= least_days)
-    return counted.where(found).join(sizes, "_source").where(F.col("articles") >= F.round(F.col("_docs") * F.lit(share), 9)).drop("_docs")
+    return counted.where(found).join(sizes, "_source").where(held >= F.round(F.col("_docs") * F.lit(share), 9)).drop("_docs")
 
 
 def mark_lines(articles: DataFrame, recurring: DataFrame) -> DataFrame:

@@ -166,6 +166,21 @@ def test_residue(articles):
     assert residue.residue_articles(df.limit(0)).count() == 0
 
 
+def test_floods_of_residue(articles):
+    foot = "Opinions on Alpha belong to their authors, not to those who pay for any of their work."
+    notice = "Please enable JavaScript to continue."
+    body = [{"content_text": f"The team moved module {'abcdefghij'[i % 10] * (i + 1)} to another host.\n{foot}"} for i in range(90)]
+    copied = "A long enough piece about heading slots in relay files.\nIt has its own second line.\n{{ cluster.title }}"
+    rows = [
+        *body, *({"content_text": notice} for _ in range(10)), {"content_text": f"{notice}\n{foot}"},
+        *({"content_text": notice, "source_id": "walled"} for _ in range(30)),
+        *({"content_text": copied, "source_id": "copies"} for _ in range(12)), *({"content_text": f"Text {'abcdefgh'[i] * 9} of it.", "source_id": "copies"} for i in range(8)),
+        *({"content_text": "502 Bad Gateway", "source_id": "down"} for _ in range(300)), *({**b, "source_id": "down"} for b in body[:6]), {"content_text": f"404 Not Found\n{foot}", "source_id": "down"},
+    ]
+    want = [i for i, r in enumerate(rows, 1) if r["content_text"].split("\n")[0] in (notice, "502 Bad Gateway", "404 Not Found")]
+    assert ids(residue.residue_articles(articles(*rows))) == want
+
+
 # --- leakage
 
 def test_leaks(spark):
