@@ -219,6 +219,24 @@ def test_stuffing(spark):
     assert stuffing.stuffed_documents(df.limit(0)).count() == 0
 
 
+def test_long_runs_of_stuffing():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10)))
+    few, many = [word() for _ in range(60)], [word() for _ in range(4000)]
+    listed = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    prose = lambda n: ". ".join(f"The {listed(many, 3)} of the {listed(many, 2)} is not in a {listed(many, 4)}" for _ in range(n)) + "."
+    for n in (300, 5_000, 150_000):
+        assert stuffing.stuffed_share(listed(few, n), "en") > 0.9
+    assert stuffing.stuffed_share("\n".join(listed(few, 12) for _ in range(12_000)), "en") > 0.9
+    assert stuffing.stuffed_share(prose(12_000), "en") < 0.05
+    assert stuffing.stuffed_share("\n".join(listed(many, 30) for _ in range(4_000)), "en") < 0.05
+    half = stuffing.stuffed_share(prose(3_000) + " " + listed(few, 60_000), "en")  # one line, a bit over half of it stuffing
+    assert 0.5 < half < 0.8
+    lines = ["ab " * 50, "x" * 250, "", "y", "z " * 30]
+    blocks = stuffing._cut(lines, 40)
+    assert "".join(x for b in blocks for x in b) == "".join(lines) and max(sum(map(len, b)) for b in blocks) <= 40
+
+
 # --- boilerplate
 
 def brute_cut(n, terminal, edges):
