@@ -142,7 +142,7 @@ class Items:
                 yield d, k, best
 
     def _agreeing(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray, diagonal: np.ndarray, least: int) -> np.ndarray:
-        """Whether some ``least`` words in a row agree in enough places: on the diagonal, where a shift may hide half of them, and with the diagonals beside it."""
+        """Whether some ``least`` words in a row agree in enough places: the shortest stretch on the diagonal, since shifts may hide all others, and the rest with the diagonals beside it."""
         places = np.arange(self.padded.shape[1])
         width = min(least, places.size)
 
@@ -156,7 +156,7 @@ class Items:
             return np.where(inside, flat[np.clip(start[rows, None] + at, 0, flat.size - 1)], -1) == self.padded[item[rows]]
 
         good = np.zeros(diagonal.size, bool)
-        rows = np.flatnonzero(most(on := equal(np.arange(diagonal.size), 0)) >= 0.4 * least)
+        rows = np.flatnonzero(most(on := equal(np.arange(diagonal.size), 0)) >= STRETCH)
         if rows.size:
             near = on[rows]
             for shift in (*range(-GAP, 0), *range(1, GAP + 1)):

@@ -203,6 +203,19 @@ def test_leaks(spark):
     assert leakage.leaked(df.limit(0), items).count() == 0 and leakage.leaked(df, items.limit(0)).count() == 0
 
 
+def test_passages_spread_over_diagonals(spark):
+    rng = random.Random(12)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    passage = rng.sample(words, 60)
+    fill = lambda n: [rng.choice(words) for _ in range(n)]
+    added = [[*passage[k : k + 7], "added"] for k in range(14, 35, 7)]
+    dropped = [passage[k : k + 7] for k in range(10, 34, 8)]
+    docs = [(1, fill(40) + sum(added, []) + fill(40)), (2, fill(40) + sum(dropped, []) + fill(40)), (3, fill(40) + sum(added[:2], []) + fill(40))]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    assert sorted(r.doc_id for r in leakage.leaked(df, items).collect()) == [1, 2]
+
+
 # --- stuffing
 
 def test_stuffing(spark):
