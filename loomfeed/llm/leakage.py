@@ -67,10 +67,11 @@ def passage_of(text: str | None) -> list[str]:
 class Items:
     """Test items as term numbers, with the anchors of each."""
 
-    def __init__(self, passages: dict[int, list[str]], frequency: dict[str, int] | None = None, least: int = 20):
-        self.term = {w: i for i, w in enumerate(sorted({w for p in passages.values() for w in p}))}
-        self.ids = [i for i, p in passages.items() if len(p) >= least]
-        self.words = [np.array([self.term[w] for w in passages[i]], np.int32) for i in self.ids]
+    def __init__(self, passages: list[tuple[int, list[str]]], frequency: dict[str, int] | None = None, least: int = 20):
+        self.term = {w: i for i, w in enumerate(sorted({w for _, p in passages for w in p}))}
+        long = [(i, p) for i, p in passages if len(p) >= least]
+        self.ids = [i for i, _ in long]  # an id comes once for each of its texts
+        self.words = [np.array([self.term[w] for w in p], np.int32) for _, p in long]
         self.frequency = np.zeros(len(self.term), np.int64)
         for w, n in (frequency or {}).items():
             self.frequency[self.term[w]] = n
@@ -185,19 +186,19 @@ class Items:
         return best
 
 
-def _blocks(items: DataFrame) -> Iterator[dict[int, list[str]]]:
-    """The items in blocks of a fixed size, in order of their id."""
-    block: dict[int, list[str]] = {}
-    for row in items.select("item_id", "text").where("item_id IS NOT NULL").orderBy("item_id").toLocalIterator():
-        block[row.item_id] = passage_of(row.text)
-        if len(block) == ITEM_BLOCK:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items in blocks of a fixed size, in order of their id; the differing texts of one id stay in one block."""
+    block: list[tuple[int, list[str]]] = []
+    for row in items.select("item_id", "text").where("item_id IS NOT NULL").distinct().orderBy("item_id").toLocalIterator():
+        if len(block) >= ITEM_BLOCK and block[-1][0] != row.item_id:
             yield block
-            block = {}
+            block = []
+        block.append((row.item_id, passage_of(row.text)))
     if block:
         yield block
 
 
-def term_frequencies(documents: DataFrame, passages: dict[int, list[str]]) -> dict[str, int]:
+def term_frequencies(documents: DataFrame, passages: list[tuple[int, list[str]]]) -> dict[str, int]:
     """In how many documents each term of the passages is; summed in the tasks first."""
     shared = documents.sparkSession.sparkContext.broadcast(Items(passages, least=0).term)
 
@@ -218,7 +219,9 @@ def leaked(documents: DataFrame, items: DataFrame, *, least: int = 20) -> DataFr
 
     Passages shorter than ``least`` words can't be found. Null and blank texts
     hold nothing and null item ids name nothing; rows repeated under one id
-    give a row each. Other columns are not read. Empty tables give an empty result.
+    give a row each. Items repeated under one id are searched each, and count
+    as one item with the most words that any of them finds. Other columns are
+    not read. Empty tables give an empty result.
     """
     out = None
     for passages in _blocks(items):
@@ -227,11 +230,13 @@ def leaked(documents: DataFrame, items: DataFrame, *, least: int = 20) -> DataFr
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value
             for b in batches:
-                found = list(own.matches(own.postings(b["text"].tolist()), least))
+                most: dict[tuple[int, int], int] = {}
+                for d, k, n in own.matches(own.postings(b["text"].tolist()), least):
+                    most[d, own.ids[k]] = max(n, most.get((d, own.ids[k]), 0))
                 yield pd.DataFrame({
-                    "doc_id": b["doc_id"].to_numpy()[[d for d, _, _ in found]],
-                    "item_id": np.array([own.ids[k] for _, k, _ in found], np.int64),
-                    "words": np.array([n for _, _, n in found], np.int32),
+                    "doc_id": b["doc_id"].to_numpy()[[d for d, _ in most]],
+                    "item_id": np.array([i for _, i in most], np.int64),
+                    "words": np.array(list(most.values()), np.int32),
                 })
 
         made = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, words int")

@@ -216,6 +216,16 @@ def test_passages_spread_over_diagonals(spark):
     assert sorted(r.doc_id for r in leakage.leaked(df, items).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("block", [2000, 1])
+def test_items_repeated_under_one_id(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", block)
+    one, two, three = (" ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)) for c in "xyz")
+    items = spark.createDataFrame([(1, one), (1, two), (1, one), (1, " ".join(one.split()[:25])), (2, three)], "item_id long, text string")
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"{two} and {one}"), (3, f"{two} and {one}"), (4, three)], "doc_id long, text string").coalesce(1)
+    got = sorted(map(tuple, leakage.leaked(df, items).collect()))
+    assert got == [(1, 1, 40), (2, 1, 40), (3, 1, 40), (3, 1, 40), (4, 2, 40)]
+
+
 # --- stuffing
 
 def test_stuffing(spark):
