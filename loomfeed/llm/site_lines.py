@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, is_blank
-from ..operators.timestamps import source_key
+from ..operators.timestamps import normalise_timestamps, source_key
 from ..runtime import checkpoint
 
 #: Most recurring lines that are broadcast (24 bytes each).
@@ -34,12 +34,12 @@ def _documents(articles: DataFrame, day: Column | None) -> DataFrame:
         F.col("article_id"),
         F.coalesce(source_key(F.col("source_id")), F.lit("")).alias("_source"),
         F.xxhash64("content_text").alias("_cluster"),
-        (F.lit(None).cast("string") if day is None else day).alias("_day"),
+        (F.lit(None).cast("date") if day is None else day).alias("_day"),
         F.col("content_text"),
     )
 
 
-def recurring_lines(articles: DataFrame, *, least: int = 3, share: float = 0.1, least_clusters: int = 1, least_days: int = 0, differing: bool = False) -> DataFrame:
+def recurring_lines(articles: DataFrame, *, least: int = 3, share: float = 0.1, least_clusters: int = 1, least_days: int = 0, differing: bool = False, clock: DataFrame | None = None) -> DataFrame:
     """``_source, _line`` (the hash) with ``articles, clusters, days`` of each line that recurs within its source.
 
     A line recurs if it is in at least ``least`` documents, ``least_clusters``
@@ -48,19 +48,32 @@ def recurring_lines(articles: DataFrame, *, least: int = 3, share: float = 0.1,
     texts whose lines have the same letters, and the share is one of the
     source's clusters: copies add nothing, and a line in several clusters
     stands beside lines that differ.
+
+    Days are counted, exactly, only if ``least_days`` is set; else ``days`` is
+    0. A day is that of ``published_at`` in UTC, read with the sources' wall
+    clocks (``clock`` as in ``normalise_timestamps``; none: UTC, month before
+    day). Dates that can't be read are no days.
     """
-    docs = _documents(articles, F.substring("published_at", 1, 10))
+    day = None
+    if least_days:
+        clock = articles.sparkSession.createDataFrame([], "source_id string, tz_name string, day_first boolean") if clock is None else clock
+        articles = normalise_timestamps(articles.select("article_id", "source_id", "published_at", "content_text"), clock, ["published_at"])
+        day = F.to_date("published_at_utc")
+    docs = _documents(articles, day)
     keys = F.filter(F.array_distinct(line_keys(F.col("content_text"))), lambda x: x.isNotNull())
     docs = docs.select("_source", "_cluster", "_day", keys.alias("_keys"))
     if differing:
         docs = docs.withColumn("_cluster", F.xxhash64(F.array_sort("_keys")))
     lines = docs.select("_source", "_cluster", "_day", F.explode("_keys").alias("_line"))
-    by_cluster = lines.groupBy("_source", "_line", "_cluster").agg(F.count(F.lit(1)).alias("_n"), F.min("_day").alias("_day"))
+    by_cluster = lines.groupBy("_source", "_line", "_cluster").agg(F.count(F.lit(1)).alias("_n"))
     counted = by_cluster.groupBy("_source", "_line").agg(
         F.sum("_n").alias("articles"),
         F.count(F.lit(1)).alias("clusters"),
-        (F.approx_count_distinct("_day") if least_days else F.lit(0)).alias("days"),
+        F.lit(0).cast("long").alias("days"),
     )
+    if least_days:
+        by_day = lines.where(F.col("_day").isNotNull()).select("_source", "_line", "_day").distinct()
+        counted = counted.drop("days").join(by_day.groupBy("_source", "_line").agg(F.count(F.lit(1)).alias("days")), ["_source", "_line"])
     sizes = docs.groupBy("_source").agg((F.count_distinct("_cluster") if differing else F.count(F.lit(1))).alias("_docs"))
     held = F.col("clusters" if differing else "articles")
     found = (F.col("articles") >= least) & (F.col("clusters") >= least_clusters) & (F.col("days") >= least_days)

@@ -86,6 +86,19 @@ def test_copies_are_one_cluster(articles):
     assert site_lines.found_lines(df, least_clusters=2).count() == 6
 
 
+def test_days_are_counted_exactly(spark, articles):
+    one_day = ["2026-03-03T10:00:00Z", "Tue, 03 Mar 2026 12:00:00 GMT", "1772539200", "2026-03-04T01:00:00+05:00", None, "soon"]
+    rows = [*({"content_text": "shared line", "published_at": t} for t in one_day), *({"content_text": "other line", "published_at": f"{d} Mar 2026"} for d in (1, 2, 3, 3))]
+    days = lambda df, **x: {r.articles: r.days for r in site_lines.recurring_lines(df, share=0, **x).collect()}
+    assert days(articles(*rows), least_days=1) == {6: 1, 4: 3}
+    assert days(articles(*rows), least_days=2) == {4: 3}
+    clock = spark.createDataFrame([("alpha", "Asia/Tokyo", True)], "source_id string, tz_name string, day_first boolean")
+    local = articles(*({"content_text": "shared line", "published_at": t} for t in ("2026-03-03T23:00:00", "2026-03-04T01:00:00", "04/03/2026 02:00")))
+    assert days(local, least_days=1, clock=clock) == {3: 1}
+    many = articles(*({"content_text": "shared line", "published_at": f"{2000 + i // 336}-{i // 28 % 12 + 1:02}-{i % 28 + 1:02}"} for i in range(3000)))
+    assert days(many, least_days=3000) == {3000: 3000}
+
+
 # --- survivor
 
 def member(i, p, **x):
