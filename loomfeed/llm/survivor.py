@@ -1,9 +1,9 @@
 """Build one surviving record per duplicate group, field by field.
 
-Each row's members are reduced to the best candidate per field inside the row
-(no shuffle, however large the group), then a window picks the best candidate
-per group and field over the rows of that group, normally one. The order is
-trust (priority), recency (fetch time), then the smaller record id.
+The usable candidates of each group and field are ranked by a window. Its limit
+is applied in each task first, so that of a group, however large, a task sends
+one candidate per field. The order is trust (priority), recency (fetch time),
+then the smaller record id.
 """
 
 from __future__ import annotations
@@ -71,6 +71,5 @@ def survivors(groups: DataFrame) -> DataFrame:
     )
     order = F.struct(F.coalesce("source_priority", F.lit(-(1 << 31))).alias("p"), F.col("_fetched").alias("f"), (-F.col("record_id")).alias("r"))
     candidates = dated.where(usable).select("group_id", "record_id", order.alias("_order"), "field")
-    best = candidates.groupBy("group_id", "field").agg(F.max(F.struct("_order", "record_id")).alias("_best"))
-    w = Window.partitionBy("group_id", "field").orderBy(F.col("_best._order").desc())
-    return best.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select("group_id", "field", F.col("_best.record_id").alias("record_id"))
+    w = Window.partitionBy("group_id", "field").orderBy(F.col("_order").desc())
+    return candidates.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").select("group_id", "field", "record_id")

@@ -123,6 +123,15 @@ def test_survivors(spark):
     assert survivor.survivors(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_a_window_ranks_the_candidates(spark):
+    from loomfeed.runtime import table
+
+    got = survivor.survivors(table(spark, "/root/testdata/sf0.001", "duplicate_group"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Aggregate" not in plan
+    assert got.select("group_id", "field").distinct().count() == got.count() > 0
+
+
 # --- history
 
 BASE = "Why we patched Oskyelithyor beyond external batches: public adapter lessons from Olacael"
