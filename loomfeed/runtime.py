@@ -1,11 +1,16 @@
-"""Session-level helpers: table access, sizes, checkpoints."""
+"""Session-level helpers: table access, sizes, checkpoints, bucketed tables, hot keys."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key that holds more than this part of all rows is hot; fewer than 1 / HOT keys can be.
+HOT = 1e-4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    ``spark.checkpoint.dir`` wins. Only where it is unset (tests, a single
-    machine) a temporary folder is used.
+    ``spark.checkpoint.dir`` wins. Where it is unset, a local session (tests, a
+    single machine) uses a temporary folder; a cluster has none that all its
+    executors can read, so there it is an error.
     """
     sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can read")
     sc.setCheckpointDir(there or os.path.join(tempfile.gettempdir(), "loomfeed-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -43,7 +51,95 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan of a few small files may yield fewer partitions than there are
     cores. At scale a scan has far more splits than cores, and nothing is
-    shuffled.
+    shuffled. Meant for scans and narrow plans over them: it asks for the
+    files' sizes only, and runs nothing.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    total = sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)
+    opening = _bytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    split = min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")), max(opening, (total + len(files) * opening) // cores))
+    return df if total >= split * (cores // 2) else df.repartition(cores)
+
+
+def _bytes(size: str) -> int:
+    """A size such as 128MB, 16m or 134217728b in bytes."""
+    digits = size.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(digits[-1:])
+    return int(digits[:-1]) << unit if unit else int(digits)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for tables of one run."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Bucketed:
+    """A parquet table at a path, bucketed by key columns: a join on them moves none of its rows.
+
+    The catalog entry is the session's; the data and its layout are the
+    path's. ``buckets`` must be the same each time a path is opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int) -> None:
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+        self.name = "loomfeed_" + uuid.uuid5(uuid.NAMESPACE_URL, f"{path}|{buckets}|{keys}").hex
+
+    def exists(self) -> bool:
+        return self.spark.catalog.tableExists(self.name)
+
+    def append(self, df: DataFrame) -> None:
+        """One file per bucket and append: rows are dealt to the buckets first."""
+        dealt = df.repartition(self.buckets, *self.keys)
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", self.path).saveAsTable(self.name)
+
+    def open(self, schema: str) -> None:
+        """Register a path written by an earlier session."""
+        at = self.path.replace("'", "\\'")
+        keys = ", ".join(self.keys)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str, count: str = "n", *, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined to a ``lookup`` that has one row per key and the key's number of rows in ``count``.
+
+    Keys that hold more than ``HOT`` of all rows are fewer than 1 / ``HOT``, so
+    their lookup rows are broadcast; only the rest is shuffled, and no key of it
+    can swamp a task. Rows with a null key are never shuffled: they meet
+    nothing, and stay (with nulls) in a left join only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    if total is None:
+        total = lookup.agg(F.sum(count)).first()[0] or 0
+    least = max(total * HOT, 10_000)
+    payload = [c for c in lookup.columns if c != key]
+    hot = lookup.where(F.col(count) > least)
+    if not hot.limit(1).count():
+        if how == "inner":
+            return rows.join(lookup, key)
+        empty = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in payload))
+        return rows.where(F.col(key).isNotNull()).join(lookup, key, how).unionByName(empty)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    near = marked.where("_hot").drop("_hot")
+    rest = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *payload).join(lookup.where(F.col(count) <= least), key, how)
+    out = near.unionByName(rest)
+    if how != "inner":
+        out = out.unionByName(marked.where(F.col(key).isNull()).drop("_hot"))
+    return out
