@@ -1,46 +1,62 @@
 """Find held-out test passages, whole or in part, inside a training corpus.
 
-A positional inverted index, partitioned by document: each batch of documents
-becomes postings (term, document, position) over the terms of the test items.
-A first pass counts in how many documents each term is. The rarest terms of
-every few words of each item are its anchors. A second pass intersects the
-postings of the anchors, adjusted by their offsets in the item, so that the
-anchors of one passage agree on a diagonal; where enough agree, the passage is
-aligned word by word, and stretches of agreeing words, with the odd word
-changed, added or left out, are chained.
-
-Only the items (a held-out set, taken in blocks of a fixed size) and the
-document counts of their terms are shared; postings never leave their task.
+A positional inverted index is stored once per corpus, and any number of test
+items is searched in it with one pass:
+
+1. ``index_corpus`` writes the postings of every token: one row per term and
+   segment (an Arrow batch of documents), with the documents, the positions
+   and one byte for each neighbour word. Rows are bucketed by term and by a
+   part of the segments, so that the lists of a frequent term lie in many
+   buckets.
+2. The rarest of every three successive terms of an item is an anchor. The
+   anchors are joined to the postings of their terms. A posting counts if the
+   word before or after it agrees too; adjusted by its offset in the item, it
+   lies on a diagonal of document and item.
+3. A document and an item with four anchors in a band of diagonals are a
+   candidate. Any chain of agreeing stretches that is long enough has four in
+   one band (``least_anchors``, ``drift``), so nothing is lost here.
+4. The candidates' documents alone are read again, and aligned word by word:
+   stretches of agreeing words, with the odd word changed, added or left out
+   between them, are chained; the longest chain counts.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of an item among which its rarest terms become anchors, and how many of them.
-ANCHOR_SPAN, ANCHORS = 6, 2
-#: Items that are searched together; more are searched block after block.
-ITEM_BLOCK = 2000
-#: Words that may differ between two agreeing stretches, and the least agreeing stretch.
-GAP, STRETCH = 2, 3
-#: A first line of at most so many words, before more lines, is an instruction.
-INSTRUCTION_WORDS = 12
-
-_TAGS = re.compile(r"<[^<>]{0,300}>")
-_SPLIT = re.compile(r"(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
+from ..runtime import Bucketed, checkpoint, scratch, shuffle_width
+
+#: Successive terms of an item of which the rarest is an anchor: the shortest agreeing stretch.
+STRETCH = 3
+#: Words that may differ between two agreeing stretches.
+GAP = 2
+#: Parts of the segments over which the lists of one term are dealt.
+PARTS = 16
+#: Anchors (one row each) up to which they are broadcast to the index; beyond it they are shuffled to its buckets.
+BROADCAST_ANCHORS = 1_000_000
+
+_TAGS = re.compile(r"<[^<>]*>")
+_HYPHEN = re.compile(r"(?<=\w)-[^\S\r\n]*(?:\r\n?|\n)\s*(?=\w)")
 #: Letters and digits, with apostrophes inside words and separators inside numbers.
 _WORD = re.compile(r"[^\W_]+(?:['’ʼ][^\W_]+|(?<=\d)[.,]\d+)*")
 _INNER = str.maketrans("", "", "'’ʼ.,")
 
+#: Candidate documents up to which their ids are broadcast to the texts.
+BROADCAST_IDS = 1_000_000
+#: Bands of diagonals that are aligned at once; the next ones overlap them.
+SPAN = 64
+
+INDEX = "term string, part int, docs array<long>, positions array<int>, neighbours array<int>, documents int"
+
 
 def words_of(text: str | None) -> list[str]:
     """Words of a text without letter case, punctuation, spacing, line breaks and markup; none for null."""
@@ -52,193 +68,296 @@ def words_of(text: str | None) -> list[str]:
         text = html.unescape(text)
     if "\xad" in text:
         text = text.replace("\xad", "")
-    if "-\n" in text or "-\r" in text or "- " in text:
-        text = _SPLIT.sub("", text)
+    if "-" in text and ("\n" in text or "\r" in text):
+        text = _HYPHEN.sub("", text)
     return [w if w.isalnum() else w.translate(_INNER) for w in _WORD.findall(text.casefold())]
 
 
-def passage_of(text: str | None) -> list[str]:
-    """Words of an item's passage, without an instruction line."""
-    head, _, rest = (text or "").strip().partition("\n")
-    first = words_of(head)
-    return words_of(rest) if rest.strip() and len(first) <= INSTRUCTION_WORDS else words_of(text)
-
-
-class Items:
-    """Test items as term numbers, with the anchors of each."""
-
-    def __init__(self, passages: list[tuple[int, list[str]]], frequency: dict[str, int] | None = None, least: int = 20):
-        self.term = {w: i for i, w in enumerate(sorted({w for _, p in passages for w in p}))}
-        long = [(i, p) for i, p in passages if len(p) >= least]
-        self.ids = [i for i, _ in long]  # an id comes once for each of its texts
-        self.words = [np.array([self.term[w] for w in p], np.int32) for _, p in long]
-        self.frequency = np.zeros(len(self.term), np.int64)
-        for w, n in (frequency or {}).items():
-            self.frequency[self.term[w]] = n
-        spots: defaultdict[int, set[tuple[int, int]]] = defaultdict(set)
-        for k, words in enumerate(self.words):
-            for start in range(0, max(1, len(words) - ANCHOR_SPAN + 1)):
-                span = range(start, min(start + ANCHOR_SPAN, len(words)))
-                for q in sorted(span, key=lambda q: (self.frequency[words[q]], q))[:ANCHORS]:  # noqa: B023
-                    spots[int(words[q])].add((k, q))
-        self.padded = np.full((len(self.words), max((w.size for w in self.words), default=1)), -2, np.int32)
-        for k, words in enumerate(self.words):
-            self.padded[k, : words.size] = words
-        order = sorted(spots)
-        self.anchor = np.zeros(len(self.term) + 1, bool)
-        self.anchor[order] = True
-        many = np.zeros(len(self.term) + 1, np.int64)
-        many[order] = [len(spots[t]) for t in order]
-        self.first = np.cumsum(many) - many
-        self.many = many
-        pairs = [x for t in order for x in sorted(spots[t])]
-        self.spot_item = np.array([k for k, _ in pairs], np.int64)
-        self.spot_at = np.array([q for _, q in pairs], np.int64)
-
-    def postings(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Term numbers of each text (-1 for terms of no item)."""
-        get = self.term.get
-        return [np.array([get(w, -1) for w in words_of(t)], np.int32) for t in texts]
-
-    def matches(self, docs: list[np.ndarray], least: int) -> Iterator[tuple[int, int, int]]:
-        """``(document, item, words)`` of each document that holds at least ``least`` successive words of an item."""
-        sizes = np.array([d.size for d in docs], np.int64)
-        if not sizes.sum():
-            return
-        flat = np.concatenate(docs).astype(np.int64)
-        hits = np.flatnonzero(self.anchor[flat])  # -1 reads the last, false
-        start = np.cumsum(sizes) - sizes
-        doc = np.searchsorted(start + sizes, hits, side="right")
-        n = self.many[flat[hits]]
-        if not n.sum():
-            return
-        index = np.repeat(self.first[flat[hits]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, at = self.spot_item[index], self.spot_at[index]
-        diagonal = np.repeat(hits - start[doc], n) - at
-        owner = np.repeat(doc, n)
-        key = (owner * len(self.ids) + item) * (1 << 24) + (diagonal + (1 << 22))  # a text holds fewer than 2**23 words
-        if flat.size >= 1 << 23:
-            key = np.unique(np.stack([owner, item, diagonal]), axis=1, return_inverse=True)[1].reshape(-1)
-        order = np.lexsort((at, key))
-        key, o, i, g, a = key[order], owner[order], item[order], diagonal[order], at[order]
-        # Two anchors, close to each other, on one diagonal.
-        pair = np.flatnonzero((key[1:] == key[:-1]) & (a[1:] != a[:-1]) & (a[1:] - a[:-1] <= 2 * ANCHOR_SPAN))
-        pair = pair[np.unique(key[pair], return_index=True)[1]]
-        seen: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for cut in range(0, pair.size, 20_000):
-            c = pair[cut : cut + 20_000]
-            for x in c[self._agreeing(flat, start[o[c]], sizes[o[c]], i[c], g[c], least)].tolist():
-                seen[int(o[x]), int(i[x])].append(int(g[x]))
-        for (d, k), diagonals in seen.items():
-            best = 0
-            done: list[int] = []
-            for g0 in sorted(set(diagonals)):
-                if done and g0 - done[-1] <= GAP:
-                    continue
-                done.append(g0)
-                best = max(best, self._aligned(self.words[k], docs[d], g0))
-                if best >= len(self.words[k]):
-                    break
-            if best >= least:
-                yield d, k, best
-
-    def _agreeing(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray, diagonal: np.ndarray, least: int) -> np.ndarray:
-        """Whether some ``least`` words in a row agree in enough places: the shortest stretch on the diagonal, since shifts may hide all others, and the rest with the diagonals beside it."""
-        places = np.arange(self.padded.shape[1])
-        width = min(least, places.size)
-
-        def most(same: np.ndarray) -> np.ndarray:
-            total = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-            return (total[:, width:] - total[:, :-width]).max(axis=1)
-
-        def equal(rows: np.ndarray, shift: int) -> np.ndarray:
-            at = diagonal[rows, None] + shift + places
-            inside = (at >= 0) & (at < size[rows, None])
-            return np.where(inside, flat[np.clip(start[rows, None] + at, 0, flat.size - 1)], -1) == self.padded[item[rows]]
-
-        good = np.zeros(diagonal.size, bool)
-        rows = np.flatnonzero(most(on := equal(np.arange(diagonal.size), 0)) >= STRETCH)
-        if rows.size:
-            near = on[rows]
-            for shift in (*range(-GAP, 0), *range(1, GAP + 1)):
-                near |= equal(rows, shift)
-            # Chains of the shortest stretches with the widest gaps agree in this part of their words.
-            good[rows] = most(near) >= STRETCH / (STRETCH + GAP) * least
-        return good
-
-    @staticmethod
-    def _aligned(item: np.ndarray, doc: np.ndarray, diagonal: int) -> int:
-        """Words of the item in the longest chain of agreeing stretches near a diagonal."""
-        lo, hi = max(0, diagonal - 2 * GAP), min(doc.size, diagonal + item.size + 3 * GAP)
-        window = doc[lo:hi].tolist()
-        words = item.tolist()
-        best = run = 0
-        end_a = end_b = None
-        for a, b, n in SequenceMatcher(None, words, window, autojunk=False).get_matching_blocks():
-            if n < STRETCH:
-                continue
-            if end_a is not None and a - end_a <= GAP and b - end_b <= GAP:
-                run += a - end_a + n
-            else:
-                run = n
-            end_a, end_b = a + n, b + n
-            best = max(best, run)
-        return best
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of a fixed size, in order of their id; the differing texts of one id stay in one block."""
-    block: list[tuple[int, list[str]]] = []
-    for row in items.select("item_id", "text").where("item_id IS NOT NULL").distinct().orderBy("item_id").toLocalIterator():
-        if len(block) >= ITEM_BLOCK and block[-1][0] != row.item_id:
-            yield block
-            block = []
-        block.append((row.item_id, passage_of(row.text)))
-    if block:
-        yield block
-
-
-def term_frequencies(documents: DataFrame, passages: list[tuple[int, list[str]]]) -> dict[str, int]:
-    """In how many documents each term of the passages is; summed in the tasks first."""
-    shared = documents.sparkSession.sparkContext.broadcast(Items(passages, least=0).term)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = shared.value
-        counts: Counter[str] = Counter()
-        for b in batches:
-            for text in b["text"]:
-                counts.update(terms.keys() & set(words_of(text)))
-        yield pd.DataFrame({"term": list(counts.keys()), "n": list(counts.values())})
+def least_anchors(least: int) -> int:
+    """Anchors that every chain of ``least`` words has at least.
+
+    A stretch of n words (three at least) holds the anchors of n // 3 disjoint
+    spans; k stretches with gaps of two between them have least - 2 (k - 1)
+    words or more. The least over all k and all ways to share the words.
+    """
+    best = None
+    for k in range(1, least + 1):
+        words = max(STRETCH * k, least - GAP * (k - 1))
+        spare = words - STRETCH * k  # words beyond three a stretch; two of them in each stretch make no further anchor
+        n = k + max(0, spare - (STRETCH - 1) * k + STRETCH - 1) // STRETCH
+        best = n if best is None else min(best, n)
+    return best or 1
+
+
+def drift(least: int) -> int:
+    """Diagonals over which the anchors that must be there are spread at most.
+
+    Each gap shifts by two at most. A chain of fewer stretches than
+    ``least_anchors`` has all its anchors within fewer gaps than that; of a
+    longer one, the first so many stretches have an anchor each.
+    """
+    return GAP * (least_anchors(least) - 1)
+
 
-    rows = documents.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r.term: r.n for r in rows.collect()}  # one row per term of the held-out items
+def _sum_byte(word: str) -> int:
+    return zlib.crc32(word.encode()) & 0xFF
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, least: int = 20) -> DataFrame:
-    """``doc_id, item_id, words``: each document with at least ``least`` successive words of an item's passage.
+def postings(ids: Sequence[int], texts: Sequence[str | None]) -> dict[str, list]:
+    """The inverted lists of some documents: ``term, docs, positions, neighbours, documents`` as offsets and flat arrays.
+
+    A neighbour pair is 257 times the sum byte of the word before the posting plus that of the word after it; 256 is none.
+    """
+    number: dict[str, int] = {}
+    sums: list[int] = []
+    flat: list[int] = []
+    sizes = []
+    for text in texts:
+        words = words_of(text)
+        sizes.append(len(words))
+        for w in words:
+            t = number.get(w)
+            if t is None:
+                t = number[w] = len(number)
+                sums.append(_sum_byte(w))
+            flat.append(t)
+    terms = np.array(flat, np.int64)
+    size = np.array(sizes, np.int64)
+    start = np.cumsum(size) - size
+    byte = np.array([*sums, 256], np.int64)[terms]
+    before, after = np.full(terms.size, 256), np.full(terms.size, 256)
+    before[1:], after[:-1] = byte[:-1], byte[1:]
+    filled = size > 0
+    before[start[filled]] = 256
+    after[(start + size - 1)[filled]] = 256
+    doc = np.repeat(np.asarray(ids, np.int64), size)
+    at = np.arange(terms.size) - np.repeat(start, size)
+    order = np.argsort(terms, kind="stable")
+    many = np.bincount(terms, minlength=len(number))
+    edge = np.concatenate([[0], np.cumsum(many)])
+    sorted_docs = doc[order]
+    fresh = np.ones(order.size, np.int64)
+    if order.size:
+        fresh[1:] = (sorted_docs[1:] != sorted_docs[:-1]) | (terms[order][1:] != terms[order][:-1])
+    held = np.add.reduceat(fresh, edge[:-1]) if len(number) else np.zeros(0, np.int64)
+    return {"term": list(number), "edge": edge, "docs": sorted_docs, "positions": at[order].astype(np.int32), "neighbours": (before * 257 + after)[order].astype(np.int32), "documents": held}
+
+
+def index_corpus(documents: DataFrame, path: str, buckets: int | None = None) -> Bucketed:
+    """Write the positional index of ``documents`` (``doc_id``, ``text``) to ``path``, bucketed by term and part.
+
+    Every token of every text is posted. Null ids have no postings; texts
+    under one id share their postings.
+    """
+    spark = documents.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part = context.partitionId() if context else 0
+        for b in batches:
+            part += 1
+            x = postings(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist())
+            edge = pa.array(x["edge"], pa.int32())
+            listed = lambda values, kind: pa.ListArray.from_arrays(edge, pa.array(values, kind))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x["term"], pa.string()), pa.array(np.full(len(x["term"]), part % PARTS, np.int32)), listed(x["docs"], pa.int64()),
+                    listed(x["positions"], pa.int32()), listed(x["neighbours"], pa.int32()), pa.array(x["documents"], pa.int32()),
+                ],
+                ["term", "part", "docs", "positions", "neighbours", "documents"],
+            )
+
+    index = Bucketed(spark, path, ["term", "part"], buckets or shuffle_width(spark))
+    index.append(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX))
+    return index
+
+
+def passages(items: DataFrame) -> DataFrame:
+    """``passage, item_id, words``: the words of each differing text of an item, without an instruction line.
+
+    A first line is an instruction if the items of several other passages open
+    with it too; a line that one item alone has is passage. ``passage`` is a
+    hash of item and text. Null ids and texts without words have no row.
+    """
+    texts = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads, rests = [], []
+            for text in b.column(1).to_pylist():
+                head, _, rest = text.strip().partition("\n")
+                rest = words_of(rest)
+                heads.append(words_of(head) if rest else [])
+                rests.append(rest or words_of(text))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(heads, pa.list_(pa.string())), pa.array(rests, pa.list_(pa.string()))], ["item_id", "passage", "head", "rest"])
+
+    made = checkpoint(texts.select("item_id", "text", F.xxhash64("item_id", "text").alias("passage")).mapInArrow(run, "item_id long, passage long, head array<string>, rest array<string>"))
+    key = F.array_join("head", " ")
+    shared = made.where(F.size("head") > 0).groupBy(key.alias("_head")).agg(F.count_distinct("rest").alias("_n")).where("_n > 1")
+    words = F.when(F.col("_n").isNull(), F.concat("head", "rest")).otherwise(F.col("rest"))
+    return made.join(shared, key == F.col("_head"), "left").select("passage", "item_id", words.alias("words")).where(F.size("words") > 0)
+
+
+def anchors(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """``term, passage, place, neighbours``: the rarest of every three successive words of each passage, with its neighbours' sum bytes."""
+    at = wanted.select("passage", F.size("words").alias("_n"), F.posexplode("words").alias("place", "term"))
+    terms = at.select("term").distinct()
+    frequency = index.select("term", "documents").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("documents").alias("_df"))
+    known = at.join(frequency, "term", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    one = Window.partitionBy("passage").orderBy("place")
+    byte = lambda c: F.coalesce(F.crc32(c.cast("binary")).bitwiseAND(F.lit(0xFF)), F.lit(256)).cast("int")
+    each = known.withColumns({
+        "_least": F.min(F.struct("_df", "place", "term")).over(one.rowsBetween(0, STRETCH - 1)),
+        "_before": byte(F.lag("term").over(one)),
+        "_after": byte(F.lead("term").over(one)),
+    })
+    chosen = each.where(F.col("place") <= F.greatest(F.col("_n") - STRETCH, F.lit(0))).select("passage", F.col("_least.place").alias("place")).distinct()
+    return each.join(chosen, ["passage", "place"], "left_semi").where("_df > 0").select("term", "passage", "place", (F.col("_before") * 257 + F.col("_after")).cast("int").alias("neighbours"))
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Postings of a term against the spots of its anchors: what agrees with a neighbour too, as document, passage, place and band.
+
+    Bands are twice ``width`` wide and begin at its multiples, so that diagonals that differ by ``width`` or less share one.
+    """
+    for b in batches:
+        docs, positions, near, spots = (b.column(i) for i in range(4))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for i in range(b.num_rows):
+            d, p, c = (x.slice(i, 1).flatten().to_numpy(zero_copy_only=False) for x in (docs, positions, near))
+            s = spots.slice(i, 1).flatten()
+            passage, place, around = (s.field(n).to_numpy(zero_copy_only=False) for n in range(3))
+            left, right = c // 257, c % 257
+            pairs = [_meet(left, around // 257), _meet(right, around % 257)]
+            one, two = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
+            if one.size:
+                both = np.unique(one * place.size + two)
+                one, two = both // place.size, both % place.size
+                for k, x in enumerate((d[one], passage[two], place[two], p[one] - place[two])):
+                    out[k].append(x)
+        if out[0]:
+            doc, passage, place, diagonal = (np.concatenate(x) for x in out)
+            band = diagonal // width
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([doc, doc])), pa.array(np.concatenate([passage, passage])), pa.array(np.concatenate([band, band - 1]).astype(np.int32)), pa.array(np.concatenate([place, place]).astype(np.int32))],
+                ["doc_id", "passage", "band", "place"],
+            )
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all pairs with equal values that aren't "none"."""
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    n = np.where(a == 256, 0, high - low)
+    one = np.repeat(np.arange(a.size), n)
+    return one, order[np.repeat(low, n) + np.arange(one.size) - np.repeat(np.cumsum(n) - n, n)] if one.size else one
+
+
+def candidates(wanted: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """``doc_id, passage, bands``: documents and passages with enough anchors in one band of diagonals."""
+    found = checkpoint(anchors(wanted, index))
+    spots = found.groupBy("term").agg(F.collect_list(F.struct("passage", "place", "neighbours")).alias("spots"))  # bounded by the held-out set
+    if found.count() <= BROADCAST_ANCHORS:
+        joined = index.join(F.broadcast(spots), "term")
+    else:
+        joined = index.join(spots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["term", "part"])
+    width = max(1, drift(least))
+    hits = joined.select("docs", "positions", "neighbours", "spots").mapInArrow(lambda b: _agreeing(b, width), "doc_id long, passage long, band int, place int")
+    places = hits.groupBy("doc_id", "passage", "band").agg(F.count_distinct("place").alias("_n")).where(F.col("_n") >= least_anchors(least))
+    return places.groupBy("doc_id", "passage").agg(F.collect_list("band").alias("bands"))  # of one document and passage: bounded by the text
+
+
+def aligned(item: Sequence[str], document: Sequence[str], low: int, high: int) -> tuple[int, int]:
+    """Words of the item in the longest chain, and in the longest single stretch, on diagonals from ``low`` to ``high``.
+
+    A chain is a row of stretches of at least three agreeing words, between
+    which at most two words of either side stand.
+    """
+    first, last = max(0, low), min(len(document), high + len(item))
+    if first >= last:
+        return 0, 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    a = np.array([number[w] for w in item])
+    b = np.array([number.get(w, -1) for w in document[first:last]])
+    same = np.zeros((a.size + 1, b.size + 1), np.int32)
+    equal = a[:, None] == b[None, :]
+    runs = []
+    for i in range(a.size):
+        row = np.where(equal[i], same[i, :-1] + 1, 0)
+        same[i + 1, 1:] = row
+    ends = same.copy()
+    ends[:-1, :-1][same[1:, 1:] > 0] = 0
+    for i, j in zip(*np.nonzero(ends >= STRETCH), strict=True):
+        n = int(same[i, j])
+        if low <= first + (j - n) - (i - n) <= high:
+            runs.append((int(i) - n, int(j) - n, n))
+    if not runs:
+        return 0, 0
+    x, y, n = np.array(sorted(runs)).T
+    begun = x.copy()
+    for k in range(1, x.size):
+        u, v, w = x[:k] + n[:k], y[:k] + n[:k], begun[:k]  # ends of the earlier stretches, and where their chains begin
+        cut = np.maximum(np.maximum(x[k], u), x[k] + v - y[k])  # where this stretch may begin, if an earlier overlaps it
+        good = (x[k] + n[k] - cut >= STRETCH) & (cut - u <= GAP) & (cut + (y[k] - x[k]) - v <= GAP)
+        if good.any():
+            begun[k] = min(begun[k], w[good].min())
+    return int((x + n - begun).max()), int(n.max())
+
+
+def leaked(documents: DataFrame, items: DataFrame, *, least: int = 20, index: Bucketed | None = None) -> DataFrame:
+    """``doc_id, item_id, words, exact``: each document with at least ``least`` successive words of an item's passage.
+
+    ``words`` counts the words of the longest match, in which the odd word may
+    differ; ``exact`` tells whether it holds a phrase of ``least`` equal words.
+    Without an ``index`` (of ``index_corpus``, over the same documents) one is
+    written below the shared folder and removed when it was searched.
 
     Passages shorter than ``least`` words can't be found. Null and blank texts
-    hold nothing and null item ids name nothing; rows repeated under one id
-    give a row each. Items repeated under one id are searched each, and count
-    as one item with the most words that any of them finds. Other columns are
-    not read. Empty tables give an empty result.
+    hold nothing and null ids name nothing; rows repeated under one id give a
+    row each. Items repeated under one id are searched each, and count as one
+    item with the most words that any of them finds. Other columns are not
+    read. Empty tables give an empty result.
     """
-    out = None
-    for passages in _blocks(items):
-        shared = documents.sparkSession.sparkContext.broadcast(Items(passages, term_frequencies(documents, passages), least))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            for b in batches:
-                most: dict[tuple[int, int], int] = {}
-                for d, k, n in own.matches(own.postings(b["text"].tolist()), least):
-                    most[d, own.ids[k]] = max(n, most.get((d, own.ids[k]), 0))
-                yield pd.DataFrame({
-                    "doc_id": b["doc_id"].to_numpy()[[d for d, _ in most]],
-                    "item_id": np.array([i for _, i in most], np.int64),
-                    "words": np.array(list(most.values()), np.int32),
-                })
-
-        made = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, words int")
-        out = made if out is None else out.unionAll(made)
-    return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, words int") if out is None else out
+    spark = documents.sparkSession
+    wanted = checkpoint(passages(items).where(F.size("words") >= least))
+    own = index is None
+    index = index_corpus(documents, scratch(spark, "postings")) if index is None else index
+    pairs = checkpoint(candidates(wanted, index.read(), least))
+    if own:
+        index.drop()
+    asked = pairs.join(wanted, "passage").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "bands")).alias("_asked"))
+    texts = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    ids = pairs.select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:  # else texts that aren't candidates would be shuffled too
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = texts.join(asked, "doc_id")
+    width = max(1, drift(least))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple[int, int, int, bool]] = []
+            for doc_id, text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = words_of(text)
+                most: defaultdict[int, tuple[int, int]] = defaultdict(lambda: (0, 0))
+                for x in asked:
+                    for low, high in _spans(x["bands"], width):
+                        got = aligned(x["words"], words, low, high)
+                        most[x["item_id"]] = tuple(map(max, most[x["item_id"]], got))
+                rows += [(doc_id, i, n, s >= least) for i, (n, s) in most.items() if n >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["doc_id", "item_id", "words", "exact"])
+
+    return texts.mapInArrow(run, "doc_id long, item_id long, words int, exact boolean")
+
+
+def _spans(bands: Sequence[int], width: int) -> list[tuple[int, int]]:
+    """Ranges of diagonals that cover the bands and some more; joined where they touch, up to ``SPAN`` bands."""
+    out: list[tuple[int, int]] = []
+    for band in sorted(bands):
+        low, high = (band - 1) * width, (band + 3) * width
+        if out and low <= out[-1][1] and high - out[-1][0] <= SPAN * width:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out

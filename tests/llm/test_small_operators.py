@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 pytest.importorskip("loomfeed.llm")
-from loomfeed.llm import boilerplate, capping, history, leakage, residue, site_lines, stuffing, survivor  # noqa: E402
+from loomfeed.llm import boilerplate, capping, history, residue, site_lines, stuffing, survivor  # noqa: E402
 
 
 def ids(df, c="article_id"):
@@ -203,51 +203,6 @@ def test_floods_of_residue(articles):
     assert ids(residue.residue_articles(articles(*rows))) == want
 
 
-# --- leakage
-
-def test_leaks(spark):
-    rng = random.Random(6)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
-    passage = [rng.choice(words) for _ in range(60)]
-    other = [rng.choice(words) for _ in range(60)]
-    fill = lambda n: [rng.choice(words) for _ in range(n)]
-    changed = passage[5:30]
-    changed[12] = "changed"
-    dropped = passage[5:18] + passage[19:32]
-    docs = [
-        (1, " ".join(fill(50) + passage + fill(50))), (2, " ".join(fill(30) + passage[10:30] + fill(9))), (3, " ".join(fill(30) + passage[10:29] + fill(9))), (4, " ".join(fill(9) + changed + fill(9))),
-        (5, "<p>" + "</p>\n<b>".join(w.upper() + "," for w in passage[:25])), (6, None), (7, ""), (8, " ".join(fill(20_000) + other[:22])), (9, "Answer using only the passage."), (10, " ".join(dropped)), (1, " ".join(passage)), (None, " ".join(passage)),
-    ]
-    items = spark.createDataFrame([(1, "Answer using only the passage.\n" + " ".join(passage)), (2, " ".join(other)), (3, None), (4, "too short"), (None, "x")], "item_id long, text string")
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in leakage.leaked(df, items).collect())
-    assert got == [(1, 1), (1, 1), (2, 1), (4, 1), (5, 1), (8, 2), (10, 1)]
-    assert leakage.leaked(df.limit(0), items).count() == 0 and leakage.leaked(df, items.limit(0)).count() == 0
-
-
-def test_passages_spread_over_diagonals(spark):
-    rng = random.Random(12)
-    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
-    passage = rng.sample(words, 60)
-    fill = lambda n: [rng.choice(words) for _ in range(n)]
-    added = [[*passage[k : k + 7], "added"] for k in range(14, 35, 7)]
-    dropped = [passage[k : k + 7] for k in range(10, 34, 8)]
-    docs = [(1, fill(40) + sum(added, []) + fill(40)), (2, fill(40) + sum(dropped, []) + fill(40)), (3, fill(40) + sum(added[:2], []) + fill(40))]
-    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string").coalesce(1)
-    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
-    assert sorted(r.doc_id for r in leakage.leaked(df, items).collect()) == [1, 2]
-
-
-@pytest.mark.parametrize("block", [2000, 1])
-def test_items_repeated_under_one_id(spark, monkeypatch, block):
-    monkeypatch.setattr(leakage, "ITEM_BLOCK", block)
-    one, two, three = (" ".join(f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)) for c in "xyz")
-    items = spark.createDataFrame([(1, one), (1, two), (1, one), (1, " ".join(one.split()[:25])), (2, three)], "item_id long, text string")
-    df = spark.createDataFrame([(1, one), (2, two), (3, f"{two} and {one}"), (3, f"{two} and {one}"), (4, three)], "doc_id long, text string").coalesce(1)
-    got = sorted(map(tuple, leakage.leaked(df, items).collect()))
-    assert got == [(1, 1, 40), (2, 1, 40), (3, 1, 40), (3, 1, 40), (4, 2, 40)]
-
-
 # --- stuffing
 
 def test_stuffing(spark):
@@ -330,19 +285,13 @@ def test_clashing_columns_and_repeated_rows(spark, articles):
 
 
 def test_entry_without_this_subpackage(monkeypatch):
-    import builtins
     import importlib
+    import importlib.util
 
     import __spark_entry__ as entry
 
-    real = builtins.__import__
-
-    def no_llm(name, *a, **k):
-        if "llm" in name or (len(a) > 2 and a[2] and "queries" in a[2] and name.endswith("llm")):
-            raise ImportError(name)
-        return real(name, *a, **k)
-
-    monkeypatch.setattr(builtins, "__import__", no_llm)
+    real = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name == "loomfeed.llm" else real(name, *a))
     assert "p2_found" not in importlib.reload(entry).queries()
     monkeypatch.undo()
     assert "p2_found" in importlib.reload(entry).queries()
