@@ -132,6 +132,24 @@ def test_a_window_ranks_the_candidates(spark):
     assert got.select("group_id", "field").distinct().count() == got.count() > 0
 
 
+def test_large_groups_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        struct = ", ".join(f"{k}:{'bigint' if k == 'record_id' else 'int' if k == 'source_priority' else 'array<string>' if k == 'source_tags' else 'string'}" for k in member(1, 1))
+        each = [member(i, i % 9, title=f"A title of some length, number {i}", summary=f"A summary that says more about number {i} of them all than a title.", author=f"Ann Lee {i}", published_at="2026-01-01") for i in range(n)]
+        df = spark.createDataFrame([(1, each[0], each[1:])], f"group_id long, kept_article struct<{struct}>, duplicate_articles array<struct<{struct}>>").repartition(1)
+        df.count()
+        began = time.perf_counter()
+        best = max((x["source_priority"], x["fetched_at"], -x["record_id"]) for x in each)
+        assert {(r.field, r.record_id) for r in survivor.survivors(df).collect()} == {(f, -best[2]) for f in ("title", "summary", "author", "published_at")}
+        return time.perf_counter() - began
+
+    seconds(50)
+    small, large = seconds(400), seconds(3200)
+    assert large < 8 * small + 2
+
+
 # --- history
 
 BASE = "Why we patched Oskyelithyor beyond external batches: public adapter lessons from Olacael"
