@@ -99,10 +99,11 @@ class Bucketed:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, compression: str = "snappy") -> None:
         """One file per bucket and append: rows are dealt to the buckets first."""
         dealt = df.repartition(self.buckets, *self.keys)
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("path", self.path).saveAsTable(self.name)
+        made = dealt.write.mode("append").format("parquet").option("compression", compression).option("path", self.path)
+        made.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).saveAsTable(self.name)
 
     def open(self, schema: str) -> None:
         """Register a path written by an earlier session."""
