@@ -5,13 +5,13 @@ items is searched in it with one pass:
 
 1. ``index_corpus`` writes the postings of every token: one row per term and
    segment (an Arrow batch of documents), with the documents, the positions
-   and one byte for each neighbour word. Rows are bucketed by term and by a
-   part of the segments, so that the lists of a frequent term lie in many
-   buckets.
+   and six bits for each of the two words before and after. Rows are bucketed
+   by term and by a part of the segments, so that the lists of a frequent term
+   lie in many buckets.
 2. The rarest of every three successive terms of an item is an anchor. The
-   anchors are joined to the postings of their terms. A posting counts if the
-   word before or after it agrees too; adjusted by its offset in the item, it
-   lies on a diagonal of document and item.
+   anchors are joined to the postings of their terms. A posting counts if it
+   stands in three words that agree, by its neighbours; adjusted by its offset
+   in the item, it lies on a diagonal of document and item.
 3. A document and an item with four anchors in a band of diagonals are a
    candidate. Any chain of agreeing stretches that is long enough has four in
    one band (``least_anchors``, ``drift``), so nothing is lost here.
@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,10 @@ BROADCAST_IDS = 1_000_000
 #: Bands of diagonals that are aligned at once; the next ones overlap them.
 SPAN = 64
 
-INDEX = "term string, part int, docs array<long>, positions array<int>, neighbours array<int>, documents int"
+#: ``postings`` has eight bytes for each: documents since the last (2), position (3), neighbours (4 times six bits). The
+#: row of a segment without a term has its document ids (8 bytes each) in place of postings.
+INDEX = "term string, part int, segment long, documents int, postings binary"
+RECORD, WRAP, NONE, MOST_DOCS = 8, 1 << 24, 63, 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -99,78 +104,100 @@ def drift(least: int) -> int:
     return GAP * (least_anchors(least) - 1)
 
 
-def _sum_byte(word: str) -> int:
-    return zlib.crc32(word.encode()) & 0xFF
+def _code(word: str) -> int:
+    """Six bits of a word; one value is kept for "no word"."""
+    return zlib.crc32(word.encode()) % NONE
 
 
-def postings(ids: Sequence[int], texts: Sequence[str | None]) -> dict[str, list]:
-    """The inverted lists of some documents: ``term, docs, positions, neighbours, documents`` as offsets and flat arrays.
+def _neighbours(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The codes of the two words before and the two after each word of texts laid end to end, as one number."""
+    total = codes.size
+    text = np.repeat(np.arange(size.size), size)
+    low, high = start[text], (start + size)[text]
+    at = np.arange(total)
+    out = np.zeros(total, np.int64)
+    for shift in (-2, -1, 1, 2):
+        there = at + shift
+        inside = (there >= low) & (there < high)
+        out = out * 64 + np.where(inside, codes[np.clip(there, 0, max(total - 1, 0))] if total else 0, NONE)
+    return out
 
-    A neighbour pair is 257 times the sum byte of the word before the posting plus that of the word after it; 256 is none.
-    """
+
+def postings(texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The inverted lists of some texts: terms, where the list of each begins (and the last ends), in how many texts each is, and the records."""
     number: dict[str, int] = {}
-    sums: list[int] = []
     flat: list[int] = []
     sizes = []
     for text in texts:
         words = words_of(text)
         sizes.append(len(words))
-        for w in words:
-            t = number.get(w)
-            if t is None:
-                t = number[w] = len(number)
-                sums.append(_sum_byte(w))
-            flat.append(t)
-    terms = np.array(flat, np.int64)
-    size = np.array(sizes, np.int64)
+        flat += [number.setdefault(w, len(number)) for w in words]
+    terms, size = np.array(flat, np.int64), np.array(sizes, np.int64)
     start = np.cumsum(size) - size
-    byte = np.array([*sums, 256], np.int64)[terms]
-    before, after = np.full(terms.size, 256), np.full(terms.size, 256)
-    before[1:], after[:-1] = byte[:-1], byte[1:]
-    filled = size > 0
-    before[start[filled]] = 256
-    after[(start + size - 1)[filled]] = 256
-    doc = np.repeat(np.asarray(ids, np.int64), size)
-    at = np.arange(terms.size) - np.repeat(start, size)
+    codes = np.array([_code(w) for w in number], np.int64)
+    around = _neighbours(codes[terms], start, size)
+    doc = np.repeat(np.arange(size.size), size)
+    at = (np.arange(terms.size) - np.repeat(start, size)) % WRAP
     order = np.argsort(terms, kind="stable")
-    many = np.bincount(terms, minlength=len(number))
-    edge = np.concatenate([[0], np.cumsum(many)])
-    sorted_docs = doc[order]
-    fresh = np.ones(order.size, np.int64)
-    if order.size:
-        fresh[1:] = (sorted_docs[1:] != sorted_docs[:-1]) | (terms[order][1:] != terms[order][:-1])
-    held = np.add.reduceat(fresh, edge[:-1]) if len(number) else np.zeros(0, np.int64)
-    return {"term": list(number), "edge": edge, "docs": sorted_docs, "positions": at[order].astype(np.int32), "neighbours": (before * 257 + after)[order].astype(np.int32), "documents": held}
+    edge = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(number)))])
+    doc, at, around = doc[order], at[order], around[order]
+    since = doc.copy()
+    since[1:] -= doc[:-1]
+    since[edge[:-1]] = doc[edge[:-1]]
+    fresh = since > 0
+    fresh[edge[:-1]] = True
+    records = np.empty((terms.size, RECORD), np.uint8)
+    records[:, :2] = since.astype("<u2").view(np.uint8).reshape(-1, 2)
+    records[:, 2:5] = at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    records[:, 5:] = around.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return list(number), edge, np.add.reduceat(fresh.astype(np.int32), edge[:-1]) if len(number) else np.zeros(0, np.int32), records
+
+
+def read_postings(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents (by their place in the segment), positions and neighbours of a list."""
+    records = np.frombuffer(data, np.uint8).reshape(-1, RECORD).astype(np.int64)
+    whole = lambda k, n: sum(records[:, k + i] << (8 * i) for i in range(n))
+    return np.cumsum(whole(0, 2)), whole(2, 3), whole(5, 3)
 
 
 def index_corpus(documents: DataFrame, path: str, buckets: int | None = None) -> Bucketed:
     """Write the positional index of ``documents`` (``doc_id``, ``text``) to ``path``, bucketed by term and part.
 
     Every token of every text is posted. Null ids have no postings; texts
-    under one id share their postings.
+    under one id are found under it. More documents can be appended by
+    another call.
     """
     spark = documents.sparkSession
+    base = uuid.uuid4().int & ((1 << 22) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        for b in batches:
-            part += 1
-            x = postings(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist())
-            edge = pa.array(x["edge"], pa.int32())
-            listed = lambda values, kind: pa.ListArray.from_arrays(edge, pa.array(values, kind))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(x["term"], pa.string()), pa.array(np.full(len(x["term"]), part % PARTS, np.int32)), listed(x["docs"], pa.int64()),
-                    listed(x["positions"], pa.int32()), listed(x["neighbours"], pa.int32()), pa.array(x["documents"], pa.int32()),
-                ],
-                ["term", "part", "docs", "positions", "neighbours", "documents"],
-            )
+        number = 0
+        for whole in batches:
+            for cut in range(0, whole.num_rows, MOST_DOCS):
+                b = whole.slice(cut, MOST_DOCS)
+                segment = base << 41 | part << 20 | number
+                terms, edge, held, records = postings(b.column(1).to_pylist())
+                n = len(terms)
+                offsets = pa.array(edge * RECORD, pa.int32()) if edge[-1] * RECORD < 1 << 31 else None
+                if offsets is None:
+                    lists = pa.array([records[edge[i] : edge[i + 1]].tobytes() for i in range(n)], pa.binary())
+                else:
+                    lists = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(records)])
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+                row = lambda terms, held, lists: pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), *(pa.array(np.full(len(terms), x, k)) for x, k in (((part + number) % PARTS, np.int32), (segment, np.int64))), pa.array(held, pa.int32()), lists],  # noqa: B023
+                    ["term", "part", "segment", "documents", "postings"],
+                )
+                yield row([None], [b.num_rows], pa.array([ids], pa.binary()))
+                yield row(terms, held, lists)
+                number += 1
 
     index = Bucketed(spark, path, ["term", "part"], buckets or shuffle_width(spark))
-    index.append(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX))
+    index.append(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX), compression="zstd")
     return index
 
 
@@ -201,72 +228,99 @@ def passages(items: DataFrame) -> DataFrame:
 
 
 def anchors(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """``term, passage, place, neighbours``: the rarest of every three successive words of each passage, with its neighbours' sum bytes."""
+    """``term, passage, place, neighbours``: the rarest of every three successive words of each passage, with its neighbours' codes."""
     at = wanted.select("passage", F.size("words").alias("_n"), F.posexplode("words").alias("place", "term"))
     terms = at.select("term").distinct()
-    frequency = index.select("term", "documents").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("documents").alias("_df"))
+    frequency = index.where("term IS NOT NULL").select("term", "documents").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("documents").alias("_df"))
     known = at.join(frequency, "term", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
     one = Window.partitionBy("passage").orderBy("place")
-    byte = lambda c: F.coalesce(F.crc32(c.cast("binary")).bitwiseAND(F.lit(0xFF)), F.lit(256)).cast("int")
+    code = lambda c: F.coalesce(F.crc32(c.cast("binary")) % NONE, F.lit(NONE))
+    around = [code(f("term", n).over(one)) for f, n in ((F.lag, 2), (F.lag, 1), (F.lead, 1), (F.lead, 2))]
     each = known.withColumns({
-        "_least": F.min(F.struct("_df", "place", "term")).over(one.rowsBetween(0, STRETCH - 1)),
-        "_before": byte(F.lag("term").over(one)),
-        "_after": byte(F.lead("term").over(one)),
+        "_least": F.min(F.struct("_df", "place")).over(one.rowsBetween(0, STRETCH - 1)),
+        "neighbours": reduce(lambda x, c: x * 64 + c, around).cast("int"),
     })
     chosen = each.where(F.col("place") <= F.greatest(F.col("_n") - STRETCH, F.lit(0))).select("passage", F.col("_least.place").alias("place")).distinct()
-    return each.join(chosen, ["passage", "place"], "left_semi").where("_df > 0").select("term", "passage", "place", (F.col("_before") * 257 + F.col("_after")).cast("int").alias("neighbours"))
+    return each.join(chosen, ["passage", "place"], "left_semi").where("_df > 0").select("term", "passage", "place", "neighbours")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Postings of a term against the spots of its anchors: what agrees with a neighbour too, as document, passage, place and band.
-
-    Bands are twice ``width`` wide and begin at its multiples, so that diagonals that differ by ``width`` or less share one.
-    """
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings against the spots of their term's anchors: which stand in three words that agree, as document, passage, place and diagonal."""
     for b in batches:
-        docs, positions, near, spots = (b.column(i) for i in range(4))
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        segment = b.column(0).to_numpy(zero_copy_only=False)
+        lists, spots = b.column(1), b.column(2)
+        out: list[tuple[np.ndarray, ...]] = []
         for i in range(b.num_rows):
-            d, p, c = (x.slice(i, 1).flatten().to_numpy(zero_copy_only=False) for x in (docs, positions, near))
-            s = spots.slice(i, 1).flatten()
-            passage, place, around = (s.field(n).to_numpy(zero_copy_only=False) for n in range(3))
-            left, right = c // 257, c % 257
-            pairs = [_meet(left, around // 257), _meet(right, around % 257)]
-            one, two = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
+            doc, at, around = read_postings(lists[i].as_py())
+            passage, place, wanted = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spots.slice(i, 1).flatten().flatten())
+            one, two = _meet(around, wanted)
             if one.size:
-                both = np.unique(one * place.size + two)
-                one, two = both // place.size, both % place.size
-                for k, x in enumerate((d[one], passage[two], place[two], p[one] - place[two])):
-                    out[k].append(x)
-        if out[0]:
-            doc, passage, place, diagonal = (np.concatenate(x) for x in out)
-            band = diagonal // width
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([doc, doc])), pa.array(np.concatenate([passage, passage])), pa.array(np.concatenate([band, band - 1]).astype(np.int32)), pa.array(np.concatenate([place, place]).astype(np.int32))],
-                ["doc_id", "passage", "band", "place"],
-            )
+                out.append((np.full(one.size, segment[i]), doc[one], passage[two], place[two], at[one] - place[two]))
+        if out:
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["segment", "doc", "passage", "place", "diagonal"])
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of all pairs with equal values that aren't "none"."""
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = np.where(a == 256, 0, high - low)
-    one = np.repeat(np.arange(a.size), n)
-    return one, order[np.repeat(low, n) + np.arange(one.size) - np.repeat(np.cumsum(n) - n, n)] if one.size else one
+    """Indexes of all pairs of neighbour numbers that agree in the two words before, the two after, or one of each."""
+    found = []
+    for first in (12, 6, 0):  # bits of the lower of two neighbouring codes
+        x, y = a >> first & 0xFFF, b >> first & 0xFFF
+        real = (x >> 6 != NONE) & (x & 63 != NONE)
+        order = np.argsort(y, kind="stable")
+        low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+        n = np.where(real, high - low, 0)
+        one = np.repeat(np.arange(a.size), n)
+        if one.size:
+            found.append(one * b.size + order[np.repeat(low, n) + np.arange(one.size) - np.repeat(np.cumsum(n) - n, n)])
+    both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return both // max(b.size, 1), both % max(b.size, 1)
+
+
+def _banded(batches: Iterator[pa.RecordBatch], need: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Of each document and passage, the bands (twice ``width`` wide, at its multiples) with at least ``need`` anchors; rows without one are left out."""
+    for b in batches:
+        hits = b.column(3)
+        row = np.repeat(np.arange(b.num_rows), hits.value_lengths().to_numpy(zero_copy_only=False))
+        place, diagonal = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in hits.flatten().flatten())
+        band = diagonal // width
+        once = np.unique(np.stack([np.tile(row, 2), np.concatenate([band, band - 1]), np.tile(place, 2)]), axis=1)
+        keys, n = np.unique(once[:2], axis=1, return_counts=True)
+        keys = keys[:, n >= need]
+        rows, first = np.unique(keys[0], return_index=True)
+        edge = pa.array([*first, keys.shape[1]], pa.int32())
+        made = pa.ListArray.from_arrays(edge, pa.array(keys[1].astype(np.int32)))
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), made], ["segment", "doc", "passage", "bands"])
 
 
 def candidates(wanted: DataFrame, index: DataFrame, least: int) -> DataFrame:
     """``doc_id, passage, bands``: documents and passages with enough anchors in one band of diagonals."""
     found = checkpoint(anchors(wanted, index))
     spots = found.groupBy("term").agg(F.collect_list(F.struct("passage", "place", "neighbours")).alias("spots"))  # bounded by the held-out set
+    lists = index.where("term IS NOT NULL")
     if found.count() <= BROADCAST_ANCHORS:
-        joined = index.join(F.broadcast(spots), "term")
+        joined = lists.join(F.broadcast(spots), "term")
     else:
-        joined = index.join(spots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["term", "part"])
-    width = max(1, drift(least))
-    hits = joined.select("docs", "positions", "neighbours", "spots").mapInArrow(lambda b: _agreeing(b, width), "doc_id long, passage long, band int, place int")
-    places = hits.groupBy("doc_id", "passage", "band").agg(F.count_distinct("place").alias("_n")).where(F.col("_n") >= least_anchors(least))
-    return places.groupBy("doc_id", "passage").agg(F.collect_list("band").alias("bands"))  # of one document and passage: bounded by the text
+        joined = lists.join(spots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["term", "part"])
+    hits = joined.select("segment", "postings", "spots").mapInArrow(_agreeing, "segment long, doc int, passage long, place int, diagonal int")
+    # A group is a text's hits of one passage: no longer than the text.
+    grouped = hits.groupBy("segment", "doc", "passage").agg(F.collect_list(F.struct("place", "diagonal")).alias("hits")).where(F.size("hits") >= least_anchors(least))
+    need, width = least_anchors(least), max(1, drift(least))
+    close = checkpoint(grouped.mapInArrow(lambda b: _banded(b, need, width), "segment long, doc int, passage long, bands array<int>"))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
+            sizes = [x.size for x in listed]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])), pa.array(np.concatenate(listed))], ["segment", "doc", "doc_id"]
+            )
+
+    named = index.where("term IS NULL").select("segment", "postings").mapInArrow(ids, "segment long, doc int, doc_id long")
+    bands = close.join(named, ["segment", "doc"]).groupBy("doc_id", "passage").agg(F.array_distinct(F.flatten(F.collect_list("bands"))).alias("bands"))
+    return bands
 
 
 def aligned(item: Sequence[str], document: Sequence[str], low: int, high: int) -> tuple[int, int]:
@@ -342,7 +396,8 @@ def leaked(documents: DataFrame, items: DataFrame, *, least: int = 20, index: Bu
                 words = words_of(text)
                 most: defaultdict[int, tuple[int, int]] = defaultdict(lambda: (0, 0))
                 for x in asked:
-                    for low, high in _spans(x["bands"], width):
+                    wraps = range(0, len(words) + 1, WRAP)  # positions in the index are remainders
+                    for low, high in _spans([band + w // width for w in wraps for band in x["bands"]], width):
                         got = aligned(x["words"], words, low, high)
                         most[x["item_id"]] = tuple(map(max, most[x["item_id"]], got))
                 rows += [(doc_id, i, n, s >= least) for i, (n, s) in most.items() if n >= least]

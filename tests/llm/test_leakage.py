@@ -1,7 +1,9 @@
 """Passages of test items in documents: planted cases, and random edits against brute force."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("loomfeed.llm")
@@ -124,16 +126,39 @@ def test_one_stored_index_serves_many_items(spark, tmp_path):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()] + [(None, "x"), (99, None), (98, "")], "doc_id long, text string")
     index = leakage.index_corpus(df, str(tmp_path / "index"), 3)
     stored = index.read()
-    assert {r.term: r.n for r in stored.selectExpr("term", "size(docs) AS n").groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {w: sum(x.count(w) for x in docs.values()) for x in docs.values() for w in x}
+    have = Counter()
+    for r in stored.where("term IS NOT NULL").collect():
+        doc, at, _ = leakage.read_postings(r.postings)
+        assert len(set(doc)) == r.documents
+        have.update((r.segment, int(d), int(p), r.term) for d, p in zip(doc, at, strict=True))
+    names = {r.segment: np.frombuffer(r.postings, "<i8") for r in stored.where("term IS NULL").collect()}
+    assert sorted((int(names[s][d]), p, w) for s, d, p, w in have.elements()) == sorted((d, p, w) for d, x in docs.items() for p, w in enumerate(x))
     for least, k in ((20, 25), (12, 14)):
         items = spark.createDataFrame([(d, " ".join(w[10 : 10 + k])) for d, w in docs.items()], "item_id long, text string")
         got = sorted((r.doc_id, r.item_id) for r in leakage.leaked(df, items, least=least, index=index).collect())
         assert got == [(d, d) for d in range(60)]
-    plan = leakage.candidates(leakage.passages(items), stored, 12)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
     index.drop()
 
 
+def test_neighbours_meet():
+    code = lambda *c: np.array([((c[0] * 64 + c[1]) * 64 + c[2]) * 64 + c[3]])
+    met = lambda x, y: leakage._meet(x, y)[0].size
+    one = code(1, 2, 3, 4)
+    assert [met(one, code(*c)) for c in ((1, 2, 9, 9), (9, 2, 3, 9), (9, 9, 3, 4), (1, 9, 3, 9), (1, 9, 9, 4), (9, 2, 9, 4), (1, 2, 3, 4))] == [1, 1, 1, 0, 0, 0, 1]
+    assert met(code(63, 63, 3, 4), code(63, 63, 3, 5)) == 0 and met(code(63, 2, 3, 4), code(63, 2, 3, 63)) == 1
+
+
+def test_positions_wrap(spark, monkeypatch):
+    rng = random.Random(9)
+    words = rng.choices(WORDS, k=900)
+    monkeypatch.setattr(leakage, "WRAP", 120)
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    texts, edge, held, records = leakage.postings([" ".join(words)])
+    assert leakage.read_postings(records.tobytes())[1].max() == 119 and sum(held) == len(texts) == edge.size - 1
+    spans = leakage._spans([band + w // 6 for w in range(0, 901, 120) for band in [3]], 6)
+    assert any(low <= 738 <= high for low, high in spans) and df.count() == 1
+
+
 def test_shuffled_anchors_find_the_same(spark, monkeypatch):
     rng = random.Random(7)
     docs = [(d, " ".join(rng.choices(WORDS, k=60))) for d in range(40)]
