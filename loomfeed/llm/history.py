@@ -2,37 +2,50 @@
 
 Each record becomes a few 64-bit hashes of its normalised contents: the page
 its URL leads to, its id within its source, its headline. A headline also
-counts as a short paragraph text: the hashes of its parts (from the front and
-from the back, in two lengths each) are such that a small edit leaves at least
-one part whole, so near-copies share a part hash, and sharing is verified by
-edit distance. Hashes are kept in a table partitioned by hash bucket; a new
-batch is joined to it bucket by bucket and its new hashes are appended, so
-history isn't processed again.
-
-Parts that many headlines share are replaced by finer ones (all but a short
-window), which every near-copy pair shares just as surely. Copies never form
-pairs among each other: each key links its records to the first that had it,
-and links are contracted to components by alternating stars.
+counts as a short text of three parts: edits in two places leave at least one
+part whole, so near-copies share a part hash, and sharing is verified by edit
+distance. A stored headline has one hash per part; a new one asks with a few
+more, for the lengths and places that an edit may have moved a part to.
+
+The history is three bucketed tables: keys of whole contents, parts, and
+labels (the item of each repeated record). A batch is joined to them bucket by
+bucket, without moving a row of history, and its new hashes are appended; keys
+that history has already aren't stored again.
+
+A part that many headlines share is split: its headlines are told apart by the
+parts of what is left of them, again and again, so the search stays exact
+without comparing all that share a part. The hashes of a split part are
+written once, by the batch that made it crowded.
+
+Links are contracted to components by alternating stars, over the items that
+they touch and not over all history: the ends of new links are replaced by
+their items' labels first, so a batch that connects two items merges them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, fold, strip
 from ..functions.urls import page_key
 from ..operators.timestamps import source_key
-from ..runtime import checkpoint
+from ..runtime import Bucketed, checkpoint, join_hot, scratch, shuffle_width
 
 # Words that editors put before or after a headline.
 BEFORE = "update|updated|correction|corrected|icymi|repost|breaking|exclusive|korrektur|aktualisiert|mise à jour|correctif|actualización|corrección"
-#: Most edits (letters and digits) between near-copies of a headline.
+#: Letters that may be added or left out in one place, such as a short word.
 EDITS = 3
-#: Headlines per part beyond which its finer parts are used, and the grid of those.
-CROWDED, GRID = 64, 4
-#: Hash buckets of the stored tables.
-BUCKETS = 256
+#: Letters (and digits) from which a headline may differ by an edit, and from which by two.
+ONE_EDIT, TWO_EDITS = 12, 32
+#: Headlines per part beyond which the part is split.
+CROWDED = 64
+#: Lengths of parts are multiples of this.
+GRID = 4
+#: Batches of the one-table query are held against history in so many groups.
+ROUNDS = 4
 
 KEYS = ["page", "external", "headline"]
 
@@ -82,63 +95,162 @@ def keyed(articles: DataFrame) -> DataFrame:
     )
 
 
-def exact_links(keys: DataFrame) -> DataFrame:
-    """``a, b``: each later record of a key with the first record that had it."""
-    long = keys.select("id", F.explode(F.filter(F.array(*KEYS), lambda k: k.isNotNull())).alias("k"))
-    firsts = long.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return long.join(firsts, "k").where("id <> a").select("a", F.col("id").alias("b"))
+def _one_place(x: Column, y: Column) -> Column:
+    """Whether the longer of two texts is the other with up to ``EDITS`` letters more in one place."""
+    short, long = F.when(F.length(x) < F.length(y), x).otherwise(y), F.when(F.length(x) < F.length(y), y).otherwise(x)
+    more = F.length(long) - F.length(short)
+    whole = lambda p: F.concat(F.substring(long, F.lit(1), p), F.substring(long, p + more + 1, F.length(long))) == short
+    return (more > 0) & (more <= EDITS) & F.exists(F.sequence(F.lit(0), F.length(short)), whole)
 
 
 def is_near(x: Column, y: Column) -> Column:
-    """Whether two headlines (letters and digits) differ by a small edit only.
+    """Whether two headlines (letters and digits) differ by small edits only.
 
-    One letter changed, added or left out; two letters swapped; or up to
-    ``EDITS`` letters added or left out, such as a short word.
+    One letter changed, added or left out, or two neighbours swapped; in long
+    headlines two such edits; or up to ``EDITS`` letters more in one place,
+    such as a short word. Very short headlines are the same or they aren't.
     """
+    n = F.least(F.length(x), F.length(y))
     d = F.levenshtein(x, y, EDITS)
-    one_way = F.abs(F.length(x) - F.length(y)) == d
-    swapped = F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, ""))
-    return (d.between(0, 1)) | ((d > 0) & one_way) | ((d == 2) & swapped)
-
-
-def _parts(t: Column, nums: Column) -> Column:
-    """Hashes of the front and back parts of a headline: half its length, to a grid, in two steps."""
-    n = F.length(t)
-    grid = F.when(n < 32, 2).otherwise(4)
-    half = F.floor(n / 2 / grid) * grid
-    lengths = F.array_distinct(F.array(half, F.greatest(half - grid, F.lit(4))))
-    front = F.transform(lengths, lambda k: F.xxhash64(F.lit("front"), nums, k, F.substring(t, F.lit(1), k.cast("int"))))
-    back = F.transform(lengths, lambda k: F.xxhash64(F.lit("back"), nums, k, F.substring(t, (n - k + 1).cast("int"), k.cast("int"))))
-    return F.array_distinct(F.concat(front, back))
-
-
-def _fine_parts(t: Column, nums: Column) -> Column:
-    """Hashes of all but a short window, at each place of a grid; the back is measured from the end, in two steps."""
-    n = F.length(t)
-    places = F.sequence(F.lit(0), F.floor(n / GRID).cast("int"))
-    hashes = F.transform(places, lambda i: F.transform(F.array(F.lit(0), F.lit(1)), lambda less: F.xxhash64(
-        F.lit("fine"), nums, i, F.greatest(F.floor((n - (i + 2) * GRID) / GRID) - less, F.lit(0)),
-        F.substring(t, F.lit(1), (i * GRID).cast("int")),
-        F.reverse(F.substring(F.reverse(t), F.lit(1), (F.greatest(F.floor((n - (i + 2) * GRID) / GRID) - less, F.lit(0)) * GRID).cast("int"))),
+    swapped = (d == 2) & (F.array_sort(F.split(x, "")) == F.array_sort(F.split(y, "")))
+    small = (d <= 1) | ((n >= TWO_EDITS) & (d == 2)) | swapped | ((d == F.abs(F.length(x) - F.length(y))) & _one_place(x, y))
+    return (d == 0) | ((n >= ONE_EDIT) & (d > 0) & small)
+
+
+def _size(n: Column) -> Column:
+    """Length of each of the three parts of a text of ``n`` letters."""
+    return (F.floor(n / (3 * GRID)) * GRID).cast("int")
+
+
+def _cut(r: Column, at: Column, size: Column, name: str) -> Column:
+    """A part of ``r`` and what is left without it."""
+    left = F.concat(F.substring(r, F.lit(1), at), F.substring(r, at + size + 1, F.length(r)))
+    return F.struct(F.lit(name).alias("name"), size.alias("size"), F.substring(r, at + 1, size).alias("part"), left.alias("left"))
+
+
+def _stored(r: Column) -> Column:
+    """The three parts of a text."""
+    n, size = F.length(r), _size(F.length(r))
+    return F.array(_cut(r, F.lit(0), size, "front"), _cut(r, size, size, "middle"), _cut(r, n - size, size, "back"))
+
+
+def _asked(r: Column) -> Column:
+    """The parts that near-copies of a text may have in its place.
+
+    Their length is up to ``EDITS`` more or less. The front stays at the
+    front and the back at the back; the middle is asked for only if both have
+    an edit, and one edit before it moves it by one letter.
+    """
+    n = F.length(r)
+    sizes = F.filter(F.array_distinct(F.array(_size(n - EDITS), _size(n), _size(n + EDITS))), lambda s: s > 0)
+    return F.flatten(F.transform(sizes, lambda s: F.array(
+        _cut(r, F.lit(0), s, "front"), _cut(r, n - s, s, "back"), *(_cut(r, s + move, s, "middle") for move in (-1, 0, 1)),
     )))
-    return F.array_distinct(F.flatten(hashes))
-
-
-def near_links(keys: DataFrame) -> DataFrame:
-    """``a, b``: the first records of headlines that are near-copies of each other."""
-    titles = checkpoint(keys.where(F.col("headline").isNotNull()).groupBy("_t", "_nums").agg(F.min("id").alias("id")))
-    parts = checkpoint(titles.select("id", F.explode(_parts(F.col("_t"), F.col("_nums"))).alias("p")))
-    counts = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = checkpoint(parts.join(counts, "p"))
-    crowded = shared.where(F.col("n") > CROWDED).select("id").distinct()
-    few = shared.where(F.col("n") <= CROWDED).select("p", "id")
-    fine = titles.join(crowded, "id", "left_semi").select(F.explode(_fine_parts(F.col("_t"), F.col("_nums"))).alias("p"), "id")
-    both = few.unionAll(fine)
-    pairs = both.alias("x").join(both.alias("y"), F.col("x.p") == F.col("y.p")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    ta = titles.select(F.col("id").alias("a"), F.col("_t").alias("ta"))
-    tb = titles.select(F.col("id").alias("b"), F.col("_t").alias("tb"))
-    texts = pairs.join(ta, "a").join(tb, "b")
-    return texts.where(is_near(F.col("ta"), F.col("tb"))).select("a", "b")
+
+
+def _variants(r: Column) -> Column:
+    """A short text and all that is left of it without one, two and so on up to ``EDITS`` letters."""
+    less = lambda texts: F.array_distinct(F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))))
+    steps = [F.array(r)]
+    for _ in range(EDITS):
+        steps.append(less(steps[-1]))
+    rest = lambda t: F.struct(F.lit("rest").alias("name"), F.lit(0).alias("size"), t.alias("part"), F.lit("").alias("left"))
+    return F.transform(F.array_distinct(F.flatten(F.array(*steps))), rest)
+
+
+def _expand(rows: DataFrame, parts: Column) -> DataFrame:
+    """Each row once for each of the given parts of its ``r``: ``k`` names the parts so far, ``r`` is what is left."""
+    made = rows.select("*", F.explode(parts).alias("_e"))
+    return made.withColumns({"k": F.xxhash64("k", "_e.name", "_e.size", "_e.part"), "r": F.col("_e.left")}).drop("_e").distinct()
+
+
+def _split(rows: DataFrame, parts: Column, slack: int = 0) -> DataFrame:
+    """``_expand`` by parts, or by variants where too little is left for parts; who asks (with ``slack``) asks for what a text of another length has, too."""
+    n, least = F.length("r"), 3 * GRID
+    by_parts, by_variants = rows.where(n >= least - slack), rows.where((n > 0) & (n < least + slack))
+    return _expand(by_parts, parts).unionByName(_expand(by_variants, _variants(F.col("r"))))
+
+
+class History:
+    """The stored keys, parts and labels of all accepted records, below one path."""
+
+    WHOLE, PARTS, LABELS = "k long, id long", "k long, id long, t string, nums string, r string", "id long, first long"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        """``buckets`` must be the same each time a path is used (the shuffle partitions of the session if none are given)."""
+        n = buckets or shuffle_width(spark)
+        self.spark = spark
+        self.whole = Bucketed(spark, f"{path}/whole", ["k"], n)
+        self.parts = Bucketed(spark, f"{path}/parts", ["k"], n)
+        self.labels = Bucketed(spark, f"{path}/labels", ["id"], n)
+
+    def reopen(self) -> History:
+        """Register tables that an earlier session wrote."""
+        for table, schema in ((self.whole, self.WHOLE), (self.parts, self.PARTS), (self.labels, self.LABELS)):
+            table.open(schema)
+        return self
+
+    def drop(self) -> None:
+        for table in (self.whole, self.parts, self.labels):
+            table.drop()
+
+
+def _whole_links(keys: DataFrame, history: History) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` by whole contents, and ``k, id, t, nums`` of the keys that history doesn't have (texts for headlines only)."""
+    each = [F.struct(F.col(c).alias("k"), (F.col(f"_{c}") if c.startswith("t") else F.lit(None).cast("string")).alias("t")) for c in KEYS[:2]]
+    each.append(F.struct(F.col("headline").alias("k"), F.col("_t").alias("t")))
+    long = keys.select("id", "_nums", F.explode(F.filter(F.array(*each), lambda x: x["k"].isNotNull())).alias("e")).select("id", "e.k", "e.t", F.when(F.col("e.t").isNotNull(), F.col("_nums")).alias("nums"))
+    firsts = long.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.max("nums").alias("nums"))
+    if history.whole.exists():
+        firsts = firsts.join(history.whole.read().withColumnRenamed("id", "h"), "k", "left").groupBy("k").agg(*(F.first(c).alias(c) for c in ("a", "n", "t", "nums")), F.min("h").alias("h"))
+    else:
+        firsts = firsts.withColumn("h", F.lit(None).cast("long"))
+    known = checkpoint(firsts)
+    lookup = known.where((F.col("n") > 1) | F.col("h").isNotNull()).select("k", F.coalesce("h", "a").alias("a"), "n")
+    links = join_hot(long.select("k", "id"), lookup, "k").where("id <> a").select("a", F.col("id").alias("b"))
+    return links, known.where("h IS NULL").select("k", F.col("a").alias("id"), "t", "nums")
+
+
+def _near_links(titles: DataFrame, history: History) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links ``a, b`` of new headlines (``id, t, nums``) with near-copies, and the rows to store, level by level.
+
+    At each level the parts in use are few enough to compare what shares one;
+    the headlines of crowded parts go on to the next level.
+    """
+    base = titles.where(F.length("t") >= ONE_EDIT).select(F.xxhash64("nums").alias("k"), "id", "t", "nums", F.col("t").alias("r"))
+    stored = _expand(base.withColumn("old", F.lit(False)), _stored(F.col("r")))
+    asked = _expand(base, _asked(F.col("r")))
+    links, appended = [], []
+    while True:
+        stored, asked = checkpoint(stored), checkpoint(asked)
+        counts = stored.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        there = stored
+        if history.parts.exists():
+            wanted = counts.select("k").unionAll(asked.select("k")).distinct()
+            had = checkpoint(history.parts.read().join(wanted, "k", "left_semi").distinct().withColumn("old", F.lit(True)))
+            counts = counts.join(had.groupBy("k").agg(F.count(F.lit(1)).alias("h")), "k", "full").select("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit(0)).alias("h"))
+            there = stored.unionByName(had.select(*stored.columns))
+        else:
+            counts = counts.withColumn("h", F.lit(0).cast("long"))
+        crowded = checkpoint(counts.where(F.col("n") + F.col("h") > CROWDED).select("k", (F.col("h") > CROWDED).alias("split")))
+        last = not crowded.limit(1).count()
+        few = (lambda rows: rows) if last else (lambda rows: rows.join(crowded, "k", "left_anti"))
+        many = lambda rows: rows.join(crowded, "k")
+        x, y = few(there).alias("x"), few(asked).alias("y")
+        pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
+        links.append(pairs.where((F.col("x.nums") == F.col("y.nums")) & is_near(F.col("x.t"), F.col("y.t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        keep = stored if last else stored.join(crowded.where("split"), "k", "left_anti")
+        appended.append(keep.where("NOT old OR r <> t").select("k", "id", "t", "nums", "r"))
+        if last:
+            return links, appended
+        onward = many(there).where("NOT old OR NOT split").drop("split")
+        ending = onward.where(F.length("r") == 0), many(asked).drop("split").where(F.length("r") == 0)
+        # Nothing is left that tells them apart: at most EDITS letters each, so they are few; all are compared.
+        x, y = (rows.alias(n) for rows, n in zip(ending, "xy", strict=True))
+        rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
+        links.append(rest.where((F.col("x.nums") == F.col("y.nums")) & is_near(F.col("x.t"), F.col("y.t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        stored = _split(onward, _stored(F.col("r")))
+        asked = _split(many(asked).drop("split"), _asked(F.col("r")), EDITS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,47 +281,64 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("first"))
 
 
-def repeated_items(articles: DataFrame) -> DataFrame:
-    """``first_id, dup_id``: each record whose item an earlier one (by id) had brought, with the earliest.
-
-    Null or unusable URLs, external ids and titles take part in no link; rows
-    without an id are left out; a table of one row or none gives an empty
-    result; rows repeated under one id are one record.
-    """
-    keys = checkpoint(keyed(articles.select("article_id", "source_id", "source_name", "title", "url", "external_id")))
-    return components(exact_links(keys).unionAll(near_links(keys))).select(F.col("first").alias("first_id"), F.col("id").alias("dup_id"))
-
+def _items_of(ids: DataFrame, history: History) -> DataFrame:
+    """``id, item`` of the ids whose item is another record's: labels are followed, bucket by bucket, until they end."""
+    if not history.labels.exists():
+        return ids.select("id", F.col("id").alias("item")).limit(0)
+    labels = history.labels.read().groupBy("id").agg(F.min("first").alias("first"))
+    found = checkpoint(ids.join(labels, "id").select("id", F.col("first").alias("item")))
+    while True:
+        following = found.join(labels.select(F.col("id").alias("item"), F.col("first").alias("_next")), "item", "left")
+        moved = checkpoint(following.select("id", F.coalesce("_next", "item").alias("item"), F.col("_next").isNotNull().alias("_moved")))
+        found = moved.select("id", "item")
+        if not moved.where("_moved").limit(1).count():
+            return found
 
-def batch_keys(batch: DataFrame) -> DataFrame:
-    """What a batch stores: ``bucket, k, id, _t, _nums`` for each of its whole and part hashes (texts only beside part hashes)."""
-    keys = keyed(batch)
-    whole = keys.select("id", F.explode(F.filter(F.array(*KEYS), lambda k: k.isNotNull())).alias("k"), F.lit(None).cast("string").alias("_t"), F.lit(None).cast("string").alias("_nums"))
-    parts = keys.where(F.col("headline").isNotNull()).select("id", F.explode(F.array_union(_parts(F.col("_t"), F.col("_nums")), _fine_parts(F.col("_t"), F.col("_nums")))).alias("k"), "_t", "_nums")
-    return whole.unionAll(parts).withColumn("bucket", F.pmod("k", F.lit(BUCKETS)).cast("int"))
 
+def accept(batch: DataFrame, history: History) -> DataFrame:
+    """``first_id, dup_id`` of the batch's records whose item history or an earlier record of the batch had brought; the batch's keys are appended.
 
-def hold_against(batch: DataFrame, history: DataFrame | None) -> DataFrame:
-    """``first_id, dup_id`` of the batch's records whose item the stored keys, or an earlier record of the batch, had brought.
+    A batch that was appended and is held again, such as after a failure
+    between two appends, gives the same links; its keys are not stored twice.
+    """
+    keys = checkpoint(keyed(batch.select("article_id", "source_id", "source_name", "title", "url", "external_id")))
+    whole, fresh = _whole_links(keys, history)
+    near, parts = _near_links(fresh.where("t IS NOT NULL").select("id", "t", "nums"), history)
+    links = checkpoint(reduce(DataFrame.unionAll, near, whole).distinct())
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    items = _items_of(ends, history)
+    by = lambda c: items.select(F.col("id").alias(c), F.col("item").alias(f"_{c}"))
+    contracted = links.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    labels = checkpoint(components(contracted))
+    history.whole.append(fresh.select("k", "id"))
+    history.parts.append(reduce(DataFrame.unionAll, parts))
+    history.labels.append(labels)
+    again = items.join(labels.select(F.col("id").alias("item"), "first"), "item", "left").select("id", F.coalesce("first", "item").alias("first"))
+    told = labels.unionByName(again).join(keys.select("id").distinct(), "id", "left_semi")
+    return told.select(F.col("first").alias("first_id"), F.col("id").alias("dup_id"))
+
+
+def repeated_items(articles: DataFrame, *, rounds: int = ROUNDS, history: History | None = None) -> DataFrame:
+    """``first_id, dup_id``: each record whose item an earlier one (by id) had brought, with the earliest.
 
-    ``history`` has the columns of ``batch_keys``, partitioned by ``bucket``,
-    and holds for each item the id under which it was accepted.
+    The batches are held against history in order, in ``rounds`` groups of
+    successive batches with about as many rows; the groups don't change the
+    result. Null or unusable URLs, external ids and titles take part in no
+    link; rows without an id are left out, null batches come first; a table
+    of one row or none gives an empty result; rows repeated under one id are
+    one record.
     """
-    new = checkpoint(batch_keys(batch))
-    ids = new.select("id").distinct()
-    old = new.limit(0) if history is None else history.join(new.select("bucket", "k").distinct(), ["bucket", "k"], "left_semi")
-    stored = checkpoint(old.select(*new.columns).unionAll(new))
-    whole = stored.where("_t IS NULL")
-    firsts = whole.groupBy("k").agg(F.min("id").alias("a"))
-    exact = whole.join(firsts, "k").where("id <> a").select("a", F.col("id").alias("b"))
-    spelled = stored.where("_t IS NOT NULL").groupBy("k", "_nums", "_t").agg(F.min("id").alias("id"))
-    x, y = spelled.alias("x"), spelled.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x._nums") == F.col("y._nums")) & (F.col("x.id") < F.col("y.id")))
-    near = near.where(is_near(F.col("x._t"), F.col("y._t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    found = components(exact.unionAll(near))
-    return found.join(ids, "id", "left_semi").select(F.col("first").alias("first_id"), F.col("id").alias("dup_id"))
-
-
-def append_history(batch: DataFrame, duplicates: DataFrame, path: str) -> None:
-    """Append a batch's keys to the stored table; a duplicate's keys are stored under its item's first id."""
-    named = batch_keys(batch).join(duplicates.withColumnRenamed("dup_id", "id"), "id", "left").withColumn("id", F.coalesce("first_id", "id")).drop("first_id")
-    named.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    spark = articles.sparkSession
+    own = history is None
+    history = History(spark, scratch(spark, "history")) if own else history
+    number = F.coalesce("batch_no", F.lit(-(1 << 31)))
+    marks = articles.agg(F.percentile_approx(number, [i / rounds for i in range(1, rounds)] or [1.0])).first()[0] or []
+    edges = sorted(set(marks[: rounds - 1]))
+    for low, high in zip([None, *edges], [*edges, None], strict=True):
+        part = articles if low is None and high is None else articles.where(F.col("batch_no") > low) if high is None else articles.where(((F.col("batch_no") > low) if low is not None else F.col("batch_no").isNull() | F.lit(True)) & (number <= high))
+        accept(part, history)
+    settled = components(history.labels.read().select(F.col("first").alias("a"), F.col("id").alias("b")))
+    if own:
+        settled = checkpoint(settled)
+        history.drop()
+    return settled.select(F.col("first").alias("first_id"), F.col("id").alias("dup_id"))

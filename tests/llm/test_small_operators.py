@@ -150,48 +150,9 @@ def test_large_groups_in_linear_time(spark):
     assert large < 8 * small + 2
 
 
-# --- history
-
 BASE = "Why we patched Oskyelithyor beyond external batches: public adapter lessons from Olacael"
 
 
-def test_links_between_copies(articles):
-    df = articles(
-        {"title": BASE, "url": "https://a.example/x"}, {"title": "Other words about quite another thing here", "url": "http://www.A.example:80/x/?utm_source=q#c"},
-        {"title": "[Repost] " + BASE, "source_id": "b"}, {"title": BASE.replace("adapter", "adpater") + " - Alpha"}, {"title": BASE.upper() + "!", "source_id": "c"},
-        {"title": "Open thread"}, {"title": "Open thread"}, {"title": "Nimtor Loske notes #1"}, {"title": "Nimtor Loske notes #2"}, {"title": "Nimtor  Loske notes # 1"},
-        {"external_id": " k1"}, {"external_id": "k1 ", "source_id": " ALPHA"}, {"external_id": "k1", "source_id": "b"}, {"external_id": "", "url": "nope", "title": None},
-    )
-    got = {r.dup_id: r.first_id for r in history.repeated_items(df).collect()}
-    assert got == {2: 1, 3: 1, 4: 1, 5: 1, 10: 8, 12: 11}
-    assert history.repeated_items(df.limit(0)).count() == 0
-
-
-def test_crowded_parts_lose_nothing(articles, monkeypatch):
-    monkeypatch.setattr(history, "CROWDED", 1)
-    rows = [{"title": f"The very same long beginning of a headline about {w} things"} for w in ("red", "rde", "completely unrelated", "utterly different", "blue", "rid")]
-    assert {r.dup_id: r.first_id for r in history.repeated_items(articles(*rows)).collect()} == {2: 1, 6: 1}
-
-
-def test_components_of_chains(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
-    got = {r.id: r.first for r in history.components(links).collect()}
-    assert got == {**{i: 1 for i in range(2, 41)}, 100: 90, 95: 90}
-
-
-def test_batches_against_stored_history(spark, articles, tmp_path):
-    path = str(tmp_path / "history")
-    rows = [{"article_id": 1, "title": BASE}, {"article_id": 2, "url": "https://a.example/y"}, {"article_id": 3, "url": "https://m.a.example/y"}, {"article_id": 4, "title": BASE.replace("batches", "bathces"), "url": "https://a.example/z"}, {"article_id": 5, "url": "http://a.example/z/"}]
-    found = {}
-    for part in (rows[:2], rows[2:4], rows[4:]):
-        batch = articles(*part)
-        stored = spark.read.parquet(path) if found or part is not rows[:2] and (tmp_path / "history").exists() else None
-        dups = history.hold_against(batch, stored)
-        found |= {r.dup_id: r.first_id for r in dups.collect()}
-        history.append_history(batch, dups, path)
-    assert found == {3: 2, 4: 1, 5: 1} == {r.dup_id: r.first_id for r in history.repeated_items(articles(*rows)).collect()}
-
-
 # --- residue
 
 def test_residue(articles):
