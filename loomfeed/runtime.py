@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds more than this part of all rows is hot; fewer than 1 / HOT keys can be.
 HOT = 1e-4
+#: Rows up to which no key is hot.
+LEAST_HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,28 +122,48 @@ class Bucketed:
         remove(self.spark, self.path)
 
 
-def join_hot(rows: DataFrame, lookup: DataFrame, key: str, count: str = "n", *, how: str = "inner", total: int | None = None) -> DataFrame:
+def _rows_per_task(lookup: DataFrame, count: str, total: int | None) -> float:
+    """Rows of one key beyond which it is hot."""
+    total = (lookup.agg(F.sum(count)).first()[0] or 0) if total is None else total
+    return max(total * HOT, LEAST_HOT)
+
+
+def join_hot(rows: DataFrame, lookup: DataFrame, key: str | list[str], count: str = "n", *, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined to a ``lookup`` that has one row per key and the key's number of rows in ``count``.
 
     Keys that hold more than ``HOT`` of all rows are fewer than 1 / ``HOT``, so
     their lookup rows are broadcast; only the rest is shuffled, and no key of it
     can swamp a task. Rows with a null key are never shuffled: they meet
-    nothing, and stay (with nulls) in a left join only.
+    nothing, and stay (with nulls) in a left join only. For narrow lookups.
     """
-    if total is None:
-        total = lookup.agg(F.sum(count)).first()[0] or 0
-    least = max(total * HOT, 10_000)
-    payload = [c for c in lookup.columns if c != key]
+    keys = [key] if isinstance(key, str) else key
+    least = _rows_per_task(lookup, count, total)
+    payload = [c for c in lookup.columns if c not in keys]
+    absent = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
     hot = lookup.where(F.col(count) > least)
-    if not hot.limit(1).count():
-        if how == "inner":
-            return rows.join(lookup, key)
-        empty = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in payload))
-        return rows.where(F.col(key).isNotNull()).join(lookup, key, how).unionByName(empty)
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    near = marked.where("_hot").drop("_hot")
-    rest = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *payload).join(lookup.where(F.col(count) <= least), key, how)
-    out = near.unionByName(rest)
+    marked, parts = rows.where(~absent), []
+    if hot.limit(1).count():
+        marked = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+        parts.append(marked.where("_hot").drop("_hot"))
+        marked, lookup = marked.where(F.col("_hot").isNull()).drop("_hot", *payload), lookup.where(F.col(count) <= least)
+    parts.append(marked.join(lookup, keys, how))
     if how != "inner":
-        out = out.unionByName(marked.where(F.col(key).isNull()).drop("_hot"))
-    return out
+        parts.append(rows.where(absent).select("*", *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in payload)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def join_salted(rows: DataFrame, lookup: DataFrame, key: str, by: str, count: str = "n", *, total: int | None = None) -> DataFrame:
+    """``rows`` left-joined to a ``lookup`` whose rows may be wide, one per key, with the key's number of rows in ``count``.
+
+    Rows of a hot key are dealt by a hash of the column ``by``, and its lookup
+    row is repeated for each share; only the number of shares is broadcast,
+    for fewer than 1 / ``HOT`` keys.
+    """
+    per = _rows_per_task(lookup, count, total)
+    shares = lookup.withColumn("_shares", F.greatest(F.ceil(F.col(count) / per), F.lit(1)).cast("int"))
+    hot = shares.where("_shares > 1").select(key, "_shares")
+    if not hot.limit(1).count():
+        return rows.join(lookup, key, "left")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(by), "_shares").cast("int"), F.lit(0))).drop("_shares")
+    repeated = shares.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return dealt.join(repeated, [key, "_share"], "left").drop("_share")

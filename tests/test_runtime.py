@@ -51,3 +51,21 @@ def test_hot_keys_are_looked_up_by_broadcast(spark, how):
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_hot_keys_are_dealt_to_shares(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "LEAST_HOT", 100)
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 10 = 0 THEN null WHEN id % 2 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k", "id")
+    lookup = rows.where("k IS NOT NULL AND k <> 'k3'").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.concat("k", F.lit("!")))
+    got = runtime.join_salted(rows, lookup, "k", "id")
+    cols = ["id", "k", "n", "wide"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, rows.join(lookup, "k", "left").select(cols).collect()))
+    spread_out = runtime.join_salted(rows, lookup, "k", "id").where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(16))).count()
+    assert spread_out.count() > 8 and "_share" not in got.columns
+
+
+def test_two_column_keys(spark):
+    rows = spark.range(30_000).selectExpr("'a' AS s", "CASE WHEN id % 2 = 0 THEN 1 WHEN id % 7 = 0 THEN null ELSE id END AS l", "id")
+    lookup = rows.groupBy("s", "l").agg(F.count(F.lit(1)).alias("n")).where("l < 9")
+    got = runtime.join_hot(rows, lookup, ["s", "l"])
+    assert got.count() == rows.where("l < 9").count() and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
