@@ -45,7 +45,7 @@ CROWDED = 64
 #: Lengths of parts are multiples of this.
 GRID = 4
 #: Batches of the one-table query are held against history in so many groups.
-ROUNDS = 4
+ROUNDS = 3
 
 KEYS = ["page", "external", "headline"]
 
@@ -125,7 +125,7 @@ def _size(n: Column) -> Column:
 def _cut(r: Column, at: Column, size: Column, name: str) -> Column:
     """A part of ``r`` and what is left without it."""
     left = F.concat(F.substring(r, F.lit(1), at), F.substring(r, at + size + 1, F.length(r)))
-    return F.struct(F.lit(name).alias("name"), size.alias("size"), F.substring(r, at + 1, size).alias("part"), left.alias("left"))
+    return F.struct(F.xxhash64(F.lit(name), size, F.substring(r, at + 1, size)).alias("part"), left.alias("left"))
 
 
 def _stored(r: Column) -> Column:
@@ -154,14 +154,14 @@ def _variants(r: Column) -> Column:
     steps = [F.array(r)]
     for _ in range(EDITS):
         steps.append(less(steps[-1]))
-    rest = lambda t: F.struct(F.lit("rest").alias("name"), F.lit(0).alias("size"), t.alias("part"), F.lit("").alias("left"))
+    rest = lambda t: F.struct(F.xxhash64(F.lit("rest"), F.lit(0), t).alias("part"), F.lit("").alias("left"))
     return F.transform(F.array_distinct(F.flatten(F.array(*steps))), rest)
 
 
 def _expand(rows: DataFrame, parts: Column) -> DataFrame:
     """Each row once for each of the given parts of its ``r``: ``k`` names the parts so far, ``r`` is what is left."""
-    made = rows.select("*", F.explode(parts).alias("_e"))
-    return made.withColumns({"k": F.xxhash64("k", "_e.name", "_e.size", "_e.part"), "r": F.col("_e.left")}).drop("_e").distinct()
+    made = rows.select("*", F.explode(F.array_distinct(parts)).alias("_e"))
+    return made.withColumns({"k": F.xxhash64("k", "_e.part"), "r": F.col("_e.left")}).drop("_e")
 
 
 def _split(rows: DataFrame, parts: Column, slack: int = 0) -> DataFrame:
@@ -202,7 +202,7 @@ def _whole_links(keys: DataFrame, history: History) -> tuple[DataFrame, DataFram
     long = keys.select("id", "_nums", F.explode(F.filter(F.array(*each), lambda x: x["k"].isNotNull())).alias("e")).select("id", "e.k", "e.t", F.when(F.col("e.t").isNotNull(), F.col("_nums")).alias("nums"))
     firsts = long.groupBy("k").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.max("nums").alias("nums"))
     if history.whole.exists():
-        firsts = firsts.join(history.whole.read().withColumnRenamed("id", "h"), "k", "left").groupBy("k").agg(*(F.first(c).alias(c) for c in ("a", "n", "t", "nums")), F.min("h").alias("h"))
+        firsts = firsts.join(history.whole.read().withColumnRenamed("id", "h"), "k", "left")  # one row per key
     else:
         firsts = firsts.withColumn("h", F.lit(None).cast("long"))
     known = checkpoint(firsts)
@@ -214,43 +214,49 @@ def _whole_links(keys: DataFrame, history: History) -> tuple[DataFrame, DataFram
 def _near_links(titles: DataFrame, history: History) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links ``a, b`` of new headlines (``id, t, nums``) with near-copies, and the rows to store, level by level.
 
-    At each level the parts in use are few enough to compare what shares one;
-    the headlines of crowded parts go on to the next level.
+    Only hashes and ids are joined; the texts of what meets follow. At each
+    level the parts in use are few enough to compare what shares one; the
+    headlines of crowded parts go on to the next level.
     """
-    base = titles.where(F.length("t") >= ONE_EDIT).select(F.xxhash64("nums").alias("k"), "id", "t", "nums", F.col("t").alias("r"))
-    stored = _expand(base.withColumn("old", F.lit(False)), _stored(F.col("r")))
-    asked = _expand(base, _asked(F.col("r")))
+    titles = checkpoint(titles.where(F.length("t") >= ONE_EDIT))
+    base = titles.select(F.xxhash64("nums").alias("k"), "id", "t", "nums", F.col("t").alias("r"))
+    stored, asked = _expand(base.withColumn("old", F.lit(False)), _stored(F.col("r"))), _expand(base, _asked(F.col("r")))
     links, appended = [], []
     while True:
-        stored, asked = checkpoint(stored), checkpoint(asked)
         counts = stored.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        there = stored
+        had = stored.limit(0)
         if history.parts.exists():
-            wanted = counts.select("k").unionAll(asked.select("k")).distinct()
-            had = checkpoint(history.parts.read().join(wanted, "k", "left_semi").distinct().withColumn("old", F.lit(True)))
-            counts = counts.join(had.groupBy("k").agg(F.count(F.lit(1)).alias("h")), "k", "full").select("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit(0)).alias("h"))
-            there = stored.unionByName(had.select(*stored.columns))
+            wanted = stored.select("k").unionAll(asked.select("k")).distinct()
+            had = checkpoint(history.parts.read().join(wanted, "k", "left_semi").distinct().withColumn("old", F.lit(True))).select(*stored.columns)
+            counts = counts.join(had.groupBy("k").agg(F.count(F.lit(1)).alias("h")), "k", "full")
         else:
-            counts = counts.withColumn("h", F.lit(0).cast("long"))
-        crowded = checkpoint(counts.where(F.col("n") + F.col("h") > CROWDED).select("k", (F.col("h") > CROWDED).alias("split")))
+            counts = counts.withColumn("h", F.lit(0))
+        n, h = F.coalesce("n", F.lit(0)), F.coalesce("h", F.lit(0))
+        crowded = checkpoint(counts.where(n + h > CROWDED).select("k", (h > CROWDED).alias("split")))
         last = not crowded.limit(1).count()
+        there = stored.unionByName(had)
         few = (lambda rows: rows) if last else (lambda rows: rows.join(crowded, "k", "left_anti"))
-        many = lambda rows: rows.join(crowded, "k")
-        x, y = few(there).alias("x"), few(asked).alias("y")
-        pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
-        links.append(pairs.where((F.col("x.nums") == F.col("y.nums")) & is_near(F.col("x.t"), F.col("y.t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        keep = stored if last else stored.join(crowded.where("split"), "k", "left_anti")
-        appended.append(keep.where("NOT old OR r <> t").select("k", "id", "t", "nums", "r"))
+        links.append(_verified(few(there.select("k", "id", "old")), few(asked.select("k", "id")), titles, had))
+        kept = stored if last else stored.join(crowded.where("split"), "k", "left_anti")
+        appended.append(kept.select("k", "id", "t", "nums", "r"))
         if last:
             return links, appended
-        onward = many(there).where("NOT old OR NOT split").drop("split")
-        ending = onward.where(F.length("r") == 0), many(asked).drop("split").where(F.length("r") == 0)
-        # Nothing is left that tells them apart: at most EDITS letters each, so they are few; all are compared.
-        x, y = (rows.alias(n) for rows, n in zip(ending, "xy", strict=True))
-        rest = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
-        links.append(rest.where((F.col("x.nums") == F.col("y.nums")) & is_near(F.col("x.t"), F.col("y.t"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        stored = _split(onward, _stored(F.col("r")))
-        asked = _split(many(asked).drop("split"), _asked(F.col("r")), EDITS)
+        onward = checkpoint(there.join(crowded, "k").where("NOT old OR NOT split").drop("split"))
+        asking = checkpoint(asked.join(crowded.select("k"), "k"))
+        # Where nothing is left that tells headlines apart, they differ by at most EDITS letters each and are few: all are compared.
+        done = F.length("r") == 0
+        links.append(_verified(onward.where(done).select("k", "id", "old"), asking.where(done).select("k", "id"), titles, had))
+        stored, asked = _split(onward, _stored(F.col("r"))), _split(asking, _asked(F.col("r")), EDITS)
+
+
+def _verified(there: DataFrame, asked: DataFrame, titles: DataFrame, had: DataFrame) -> DataFrame:
+    """Links ``a, b`` between stored (``k, id, old``) and asking (``k, id``) headlines that share a hash and are near."""
+    x, y = there.alias("x"), asked.alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    one = titles.unionByName(had.select("id", "t", "nums").distinct()).select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("nums").alias("na"))
+    two = titles.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("nums").alias("nb"))
+    return pairs.join(one, "a").join(two, "b").where((F.col("na") == F.col("nb")) & is_near(F.col("ta"), F.col("tb"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,8 +304,8 @@ def _items_of(ids: DataFrame, history: History) -> DataFrame:
 def accept(batch: DataFrame, history: History) -> DataFrame:
     """``first_id, dup_id`` of the batch's records whose item history or an earlier record of the batch had brought; the batch's keys are appended.
 
-    A batch that was appended and is held again, such as after a failure
-    between two appends, gives the same links; its keys are not stored twice.
+    A batch that is held again, such as after a failure between two appends,
+    gives the same rows; its whole keys are not stored twice.
     """
     keys = checkpoint(keyed(batch.select("article_id", "source_id", "source_name", "title", "url", "external_id")))
     whole, fresh = _whole_links(keys, history)
@@ -310,9 +316,10 @@ def accept(batch: DataFrame, history: History) -> DataFrame:
     by = lambda c: items.select(F.col("id").alias(c), F.col("item").alias(f"_{c}"))
     contracted = links.join(by("a"), "a", "left").join(by("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     labels = checkpoint(components(contracted))
-    history.whole.append(fresh.select("k", "id"))
-    history.parts.append(reduce(DataFrame.unionAll, parts))
+    # The whole keys last: until they are there, a batch that failed counts as new.
     history.labels.append(labels)
+    history.parts.append(reduce(DataFrame.unionAll, parts))
+    history.whole.append(fresh.select("k", "id"))
     again = items.join(labels.select(F.col("id").alias("item"), "first"), "item", "left").select("id", F.coalesce("first", "item").alias("first"))
     told = labels.unionByName(again).join(keys.select("id").distinct(), "id", "left_semi")
     return told.select(F.col("first").alias("first_id"), F.col("id").alias("dup_id"))
