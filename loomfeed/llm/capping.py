@@ -25,8 +25,8 @@ from ..runtime import checkpoint
 
 #: Ids per bucket of the finer histogram: the most rows that one task ranks for a group.
 ID_BLOCK = 1 << 13
-#: Buckets of the coarse and the finer histogram over random keys.
-KEY_LEVELS = 1 << 12
+#: Parts of a power of two that the coarse and the finer histogram over random keys tell apart.
+COARSE, FINE = 1 << 10, 1 << 16
 
 
 def quality_key(priority: Column, summary: Column) -> Column:
@@ -65,9 +65,12 @@ def cap_contributors(keyed: DataFrame, group: list[str], record_id: str, key: st
     group without a row there keeps nothing.
     """
     if random:
-        scaled = 1.0 - F.exp(F.greatest(F.col(key), F.lit(-700.0)))
-        level = F.floor((1.0 - scaled) * KEY_LEVELS * KEY_LEVELS)
-        first, second = F.floor(level / KEY_LEVELS), level % KEY_LEVELS
+        # By powers of two and parts of them: however the weights stretch or press the keys, a level has a small part of any contributor's.
+        size = F.greatest(-F.col(key), F.lit(1e-300))
+        power = F.floor(F.log2(size))
+        part = (size / F.pow(F.lit(2.0), power) - 1) * COARSE
+        first = -(power * COARSE + F.floor(part))
+        second = -F.floor((part - F.floor(part)) * FINE)
     else:
         first, second = F.col(key), -F.floor(F.col(record_id) / ID_BLOCK)
     rows = keyed.withColumns({"_d1": first, "_d2": second})

@@ -32,10 +32,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capping.excess_articles(table(spark, sf_dir, "article"))
 
 
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same limit, but the rows that stay are drawn at random, weighted by priority."""
+    return capping.excess_articles(table(spark, sf_dir, "article"), sharpness=1.0)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.found_lines(table(spark, sf_dir, "article"))
 
 
+def p7_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that recur in at least three differing texts and on at least three days: republished articles make no line recur."""
+    clock = table(spark, sf_dir, "source_clock")
+    return site_lines.found_lines(table(spark, sf_dir, "article"), least_clusters=3, least_days=3, clock=clock)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -49,7 +60,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_sample, p7_found, p7_clusters, p8_ids, p9_found, p10_found)}
 
 _P6 = """
 WITH a AS (
