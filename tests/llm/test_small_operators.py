@@ -45,6 +45,22 @@ def test_weighted_sample(spark, articles):
     assert sum(i % 2 for i in kept) > 380  # heavier records are likelier to stay
 
 
+@pytest.mark.parametrize("sharpness", [0.5, 8.0, 40.0])
+def test_levels_of_random_keys_stay_small(spark, sharpness):
+    """However large the weights, no level holds more than a small part of one contributor."""
+    from pyspark.sql import functions as F
+
+    keyed = spark.range(50_000).withColumn("_key", capping.reservoir_key(F.lit(11), F.col("id"), sharpness)).withColumn("g", F.lit("hot")).withColumn("_id", F.col("id"))
+    room = spark.createDataFrame([("hot", 20_000)], "g string, _room long")
+    got = capping.cap_contributors(keyed, ["g"], "_id", "_key", room, random=True).where("_kept").select("id", "_key")
+    want = keyed.orderBy(F.col("_key").desc(), "_id").limit(20_000)
+    assert got.count() == 20_000 and got.agg(F.min("_key")).first() == want.agg(F.min("_key")).first()
+    size = F.greatest(-F.col("_key"), F.lit(1e-300))
+    power = F.floor(F.log2(size))
+    level = power * capping.COARSE + F.floor((size / F.pow(F.lit(2.0), power) - 1) * capping.COARSE)
+    assert keyed.groupBy(level.alias("l")).count().agg(F.max("count")).first()[0] < 300
+
+
 # --- site lines
 
 def test_site_lines_against_brute_force(spark, articles):
@@ -99,6 +115,19 @@ def test_days_are_counted_exactly(spark, articles):
     assert days(many, least_days=3000) == {3000: 3000}
 
 
+def test_more_lines_than_are_broadcast(articles, monkeypatch):
+    from loomfeed import runtime
+
+    rows = [{"article_id": i, "content_text": f"Foot of {'abc'[i % 3]}\nown line {'xyz'[i % 3] * (i + 1)}\n" + "{{ post.title }}\n<%= yield %>" * (i % 20 == 0), "source_id": "hot" if i % 3 else "b"} for i in range(120)]
+    df = articles(*rows)
+    lines = site_lines.recurring_lines(df)
+    few = [sorted(map(tuple, site_lines.found_lines(df).collect())), sorted(map(tuple, site_lines.without_lines(df, lines).select("article_id", "content_clean").collect())), ids(residue.residue_articles(df))]
+    monkeypatch.setattr(site_lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(runtime, "LEAST_HOT", 10)
+    assert few == [sorted(map(tuple, site_lines.found_lines(df).collect())), sorted(map(tuple, site_lines.without_lines(df, lines).select("article_id", "content_clean").collect())), ids(residue.residue_articles(df))]
+    assert len(few[0]) > 100
+
+
 # --- survivor
 
 def member(i, p, **x):
@@ -167,6 +196,19 @@ def test_residue(articles):
     assert residue.residue_articles(df.limit(0)).count() == 0
 
 
+def test_notices_in_other_languages():
+    for line in ("Страница не найдена, включите JavaScript.", "ページが見つかりません。JavaScriptを有効にしてください。", "Pagina non trovata. Abilita JavaScript per continuare.", "Página não encontrada, ative o JavaScript.", "페이지를 찾을 수 없습니다.", "页面未找到，请稍后再试。",
+                 "Pagina niet gevonden", "Nie znaleziono strony", "Sayfa bulunamadı", "504 Gateway Timeout", "Error 404: Not Found", "Request ID: 7f3a-22", "TODO: write the intro", "Uncaught TypeError: x is not a function"):
+        assert residue.covered(line) >= residue.LINE_SHARE, line
+
+
+def test_ordinary_short_texts_are_no_residue():
+    for line in ("Welcome to your draft for hello world.", "Sorry, the copy was gone.", "Hello from your server.", "Your ticket was posted by Ray.", "The words of this block.", "He was forbidden to enter.", "Nothing is null and none of it is undefined.",
+                 "A loading dock caught fire.", "The incident was not found to be his fault.", "Fehler machen alle Menschen einmal.", "Una página de error no es un artículo.", "Elle a fait une erreur de calcul.", "Ray 2 is out now, and it is faster.",
+                 "The new 404 Gallery opens on Monday.", "In {braces} we trust, says the author of a book on templates.", "They test and test again until the build is green.", "JavaScript is a language that runs in every browser.", "東京で新しい店が開きました。"):
+        assert residue.covered(line) < residue.LINE_SHARE, (line, residue.covered(line))
+
+
 def test_floods_of_residue(articles):
     foot = "Opinions on Alpha belong to their authors, not to those who pay for any of their work."
     notice = "Please enable JavaScript to continue."
@@ -251,6 +293,30 @@ def test_frames(articles):
     assert boilerplate.page_frames(df.limit(0)).count() == 0
 
 
+def test_table_rows_and_dom_edges():
+    import time
+
+    table = "".join(f"<tr><td>same</td><td>{i}</td><td>x <b>{i % 7}</b></td></tr>" for i in range(4000))
+    html = f"<html><body><nav><p>Menu</p></nav><article><h1>A fine headline</h1><p>{BODY}</p><table>{table}</table></article></body></html>"
+    lines = ["Menu", "A fine headline", BODY, *(f"same | {i} | x | {i % 7}" for i in range(4000))]
+    began = time.perf_counter()
+    features, containers = boilerplate.line_features(lines, html, "A fine headline", "Site", [False] * len(lines))
+    assert time.perf_counter() - began < 3 and all("structure" in f for f in features[3:]) and "outside" in features[0]
+    hubs, edges = boilerplate.dom_edges([(1,), (1, 2), (1, 2), ()])
+    assert hubs == 2 and sorted((u, v) for u, v, _ in edges) == [(0, 4), (1, 5), (2, 5), (4, 5)]
+
+
+def test_fit_moves_weights_by_evidence(articles):
+    assert boilerplate.fitted({}) == boilerplate.PRIOR
+    body, frame = frozenset(["bias", "inside", "prose"]), frozenset(["bias", "outside", "recurs"])
+    few, many = boilerplate.fitted({body: 10, frame: 10}), boilerplate.fitted({body: 100_000, frame: 100_000})
+    assert many["outside"] > few["outside"] > boilerplate.PRIOR["outside"] and many["prose"] < few["prose"] < boilerplate.PRIOR["prose"] and many["label"] == boilerplate.PRIOR["label"]
+    assert boilerplate.agreed_label(frozenset(["bias", "inside", "label"])) is None
+    flagged = boilerplate.recurring_flags(articles(*({"content_html": PAGE, "content_text": TEXT} for _ in range(30))), least=3, share=0.03)
+    assert boilerplate.fit_weights(flagged, 30, sample=5).keys() == boilerplate.PRIOR.keys()
+    assert boilerplate.fit_weights(flagged.limit(0), 0) == boilerplate.PRIOR
+
+
 def test_clashing_columns_and_repeated_rows(spark, articles):
     from pyspark.sql import functions as F
 
