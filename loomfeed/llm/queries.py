@@ -57,7 +57,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.stuffed_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return stuffing.stuffed_documents(spread(documents), ratios=stuffing.fit_ratios(documents))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_found, p6_sample, p7_found, p7_clusters, p8_ids, p9_found, p10_found)}

@@ -232,7 +232,7 @@ def test_stuffing(spark):
     cases = {
         "secret plugin " * 60: True, "\n".join(f"[cheap thing](https://x{i}.test/a)" for i in range(12)): True, "#oneTag #twoTag #threeTag #fourTag #fiveTag #sixTag": True,
         "Tags: alpha, beta, gamma, delta, epsilon, zeta, eta, theta, iota, kappa, lambda, mu": True, "\n".join(f"https://x{i}.test/buy/{i}" for i in range(9)): True, prose + "\n" + "best offer; cheap offer; buy now; " * 30: True,
-        long: False, long + "\nhttps://a.test/1\nhttps://a.test/2": False, "": False, None: False, "x" * 90: False, "1234567890": False,
+        long: False, long + "\nhttps://a.test/1\nhttps://a.test/2": False, "": False, None: False, "x" * 90: False, "1234567890": False, "http://a.test": False, "A heading": False, "Contact us": False, "x = 1; y = 2": False,
         "\n".join(f"- option{i}: sets the number of the retries that a client makes before it gives up." for i in range(12)): False,
     }
     df = spark.createDataFrame([(i, t, "en", "z") for i, t in enumerate(cases)], "doc_id long, text string, lang string, share string")
@@ -240,6 +240,23 @@ def test_stuffing(spark):
     assert stuffing.stuffed_documents(df.limit(0)).count() == 0
 
 
+def test_ratios_are_fitted(spark):
+    import math
+
+    rng = random.Random(1)
+    n, level, slope = 4000, 2.2, -0.2
+    x = [rng.uniform(5, 8) for _ in range(n)]
+    y = [math.log(level) + slope * a + rng.gauss(0, 0.03) for a in x]
+    sums = (n, sum(x), sum(y), sum(a * a for a in x), sum(a * b for a, b in zip(x, y, strict=True)))
+    made = stuffing.fitted_ratios({"en": sums, "xx": (1.0, 6.0, 5.0, 36.0, 30.0)})
+    assert abs(made["en"][0] - level) < 0.1 and abs(made["en"][1] - slope) < 0.01 and abs(made["xx"][0] / made[""][0] - 1) < 0.2
+    one = stuffing.fitted_ratios({})[""]
+    assert abs(one[0] - stuffing.LEVEL) < 1e-9 and abs(one[1] - stuffing.SLOPE) < 1e-9
+    assert [stuffing.language(x) for x in (None, " EN-us", "de", "x", "1234", "日本")] == ["", "en", "de", "", "", ""]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert abs(stuffing.fit_ratios(empty)[""][1] - stuffing.SLOPE) < 1e-9
+
+
 def test_long_runs_of_stuffing():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10)))
