@@ -15,6 +15,8 @@ from ..functions import dom
 from ..functions.text import is_blank, media_type
 from ..functions.urls import is_http_url
 
+#: The tag of records whose content was curated.
+CURATED = "learning_content:curated"
 CONTENT_SCHEMA = T.StructType([T.StructField(n, T.IntegerType() if n == "word_count" else T.StringType()) for n in ("content_html", "content_text", "status", "selector", "word_count")])
 
 
@@ -65,6 +67,17 @@ def content_outcome(preloaded: Column, curated: Column, url: Column, error: Colu
     return status, origin
 
 
+def enrichment_records(enriched: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The log of content retrieval of enriched articles: one record each, with what fetching its URL gave."""
+    pages = fetched.select("url", "http_status", "content_type", "duration_seconds", F.col("error").alias("fetch_error"))
+    own = F.col("content_origin").isin("feed", "curated")
+    told = lambda c: F.when(~own, F.col(c))
+    return enriched.join(pages, "url", "left").select(
+        *(c for c in ("rank_index", "section") if c in enriched.columns), "source_id", "title", "url", F.col("content_status").alias("status"), told("http_status").alias("http_status"), told("content_type").alias("content_type"), "selector",
+        F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce(told("duration_seconds"), F.lit(0.0)).alias("duration_seconds"), told("fetch_error").alias("error"), "content_origin",
+    )
+
+
 def enrich(articles: DataFrame, fetched: DataFrame, *, minimum: int = 400, maximum_bytes: int = 5_000_000) -> DataFrame:
     """Articles with the content of their fetched pages.
 
@@ -72,7 +85,7 @@ def enrich(articles: DataFrame, fetched: DataFrame, *, minimum: int = 400, maxim
     one row per URL. Only rows without content of their own are extracted.
     """
     preloaded = ~is_blank(F.col("content_html")) | ~is_blank(F.col("content_text"))
-    curated = F.coalesce(F.array_contains("source_tags", "curated"), F.lit(False))
+    curated = F.coalesce(F.array_contains("source_tags", CURATED), F.lit(False))
     df = articles.join(fetched.select("url", "body", "content_type", "error"), "url", "left").withColumn("_pre", preloaded)
     body = F.when(~F.col("_pre") & F.col("error").isNull(), F.col("body"))
     df = df.withColumn("_x", extract_content(minimum)(body, F.col("url")))

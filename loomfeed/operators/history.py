@@ -24,7 +24,7 @@ def _last(rows: DataFrame) -> DataFrame:
 
 
 def previous_lesson(history: DataFrame, lessons: DataFrame, date: str) -> DataFrame:
-    """The last known lesson strictly before ``date``; none, one row."""
+    """The last known lesson strictly before ``date``: one row, or none."""
     known = exploded_history(history).where(F.col("date") < date).join(lessons.select(F.col("id").alias("lesson_id")), "lesson_id", "left_semi")
     return _last(known)
 
@@ -34,6 +34,11 @@ def same_date_entry(history: DataFrame, date: str) -> DataFrame:
     return history.where(F.col("date") == date).orderBy(F.col("path").desc()).limit(1)
 
 
+def in_order_of(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of the ids (``lesson_id, pos``, one row each) with ``pos``, in order of the ids; unknown ids are dropped."""
+    return rows.join(ids.select(F.col("lesson_id").alias(key), "pos"), key).orderBy("pos")
+
+
 def rotate(lessons: DataFrame, previous: str | None, count: int) -> DataFrame:
     """The next ``count`` of the ordered enabled lessons after ``previous``, wrapping, with ``pick`` from 0 and ``cycle_reset``.
 
@@ -47,14 +52,24 @@ def rotate(lessons: DataFrame, previous: str | None, count: int) -> DataFrame:
     return picked.withColumn("cycle_reset", reset).drop("_pos", "_n", "_start", "_seen")
 
 
-def asof_previous(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out: str) -> DataFrame:
-    """Each left row with the last ``value`` of ``right`` for the same key strictly before it (one shuffle, no range join).
+def asof_previous(left: DataFrame, right: DataFrame, by: str, on: str, value: str, out: str, *, days: float = 7) -> DataFrame:
+    """Each left row with the last ``value`` of ``right`` for the same key strictly before it, without a range join.
 
-    Both sides are laid into one stream per key; ties at the same instant
-    aren't seen, as the window frame ends before the instant.
+    Both sides are laid into one stream per key and span of ``days``, so a hot
+    key is sorted span by span; what earlier spans end with is worked out from
+    one row per key and span. Ties at the same instant aren't seen, as the
+    window frame ends before the instant.
     """
-    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(True).alias("_left")).unionByName(
-        right.select(by, on, F.col(value).alias("_v"), F.lit(False).alias("_left")), allowMissingColumns=True
+    span = F.floor(F.col("_at") / int(days * 86_400_000_000))
+    at = F.unix_micros(F.col(on).cast("timestamp"))
+    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(True).alias("_left"), at.alias("_at")).unionByName(
+        right.select(by, on, F.col(value).alias("_v"), F.lit(False).alias("_left"), at.alias("_at")), allowMissingColumns=True
     )
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(on).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn(out, F.last(F.when(~F.col("_left"), F.col("_v")), ignorenulls=True).over(w)).where("_left").drop("_v", "_left")
+    both = both.withColumn("_span", span)
+    ends = both.groupBy(by, "_span").agg(F.max(F.when(~F.col("_left") & F.col("_v").isNotNull(), F.struct("_at", "_v"))).alias("_end"))
+    before = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(by).alias("_by"), F.col("_span").alias("_spanned"), F.last("_end._v", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy(by, "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_seen", F.last(F.when(~F.col("_left"), F.col("_v")), ignorenulls=True).over(w)).where("_left")
+    joined = seen.join(carried, (F.col(by) == F.col("_by")) & (F.col("_span") == F.col("_spanned")), "left")
+    return joined.withColumn(out, F.coalesce("_seen", "_carried")).drop("_v", "_left", "_at", "_span", "_seen", "_by", "_spanned", "_carried")

@@ -64,6 +64,7 @@ def public_checks(payload: DataFrame, expected_total: int) -> DataFrame:
     row = payload.agg(
         F.greatest(F.count(F.lit(1)) - expected_total, F.lit(0)).alias("article_count_within_limit"),
         F.count_if(~is_blank(F.col("content_html")) | ~is_blank(F.col("content_text"))).alias("no_content"),
+        F.count_if(~F.coalesce(F.col("content_status") == "not_requested", F.lit(True))).alias("status_reset"),
         (F.count("url") - F.count_distinct("url")).alias("urls_unique"),
     )
     checks = F.array(*(F.struct(F.lit(c).alias("check_name"), (F.col(c) == 0).alias("passed"), F.col(c).alias("failing")) for c in row.columns))

@@ -22,7 +22,7 @@ LESSON = (
     "summary string, why_it_matters string, enabled boolean, content_html string"
 )
 EDITION = "date string, generated_at string, article_count int, path string, title string"
-PAGE = "url string, http_status int, content_type string, body binary, final_url string, error string, retry_count int, request_profile string"
+PAGE = "url string, http_status int, content_type string, body binary, final_url string, error string, retry_count int, request_profile string, started_at string, completed_at string, duration_seconds double"
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -107,14 +107,23 @@ def _xml(text: str) -> str:
     return escape(_CONTROL.sub("", text))
 
 
+# Each article on pages of its own, long ones over as many as they need.
+STYLE = """article + article { break-before: page; page-break-before: always; }
+article { break-inside: auto; page-break-inside: auto; }
+"""
+
+
 def _body(a: dict) -> str:
     """Content as markup, else text in paragraphs, else the summary, else nothing."""
+    full = ""
     if (a.get("content_html") or "").strip():
-        return dom.to_html(dom.sanitise(dom.parse(_CONTROL.sub("", a["content_html"])), a["url"]))
-    if (a.get("content_text") or "").strip():
+        full = dom.to_html(dom.sanitise(dom.parse(_CONTROL.sub("", a["content_html"])), a["url"]))
+    elif (a.get("content_text") or "").strip():
         parts = re.split(r"\n[ \t]*\n", a["content_text"].replace("\r\n", "\n"))
-        return "".join(f"<p>{_xml(' '.join(p.split()))}</p>" for p in parts if p.strip())
-    return f"<p>{_xml(_summary(a))}</p>" if _summary(a) else ""
+        full = "".join(f"<p>{_xml(' '.join(p.split()))}</p>" for p in parts if p.strip())
+    if full:
+        return f'<div class="article-content full-content">{full}</div>'
+    return f'<div class="article-content"><p>{_xml(_summary(a))}</p></div>' if _summary(a) else ""
 
 
 def epub(articles: list[dict], categories: list[dict], *, generated_at: str, project: str, zone: str) -> bytes:
@@ -127,7 +136,7 @@ def epub(articles: list[dict], categories: list[dict], *, generated_at: str, pro
     page = lambda t, b: f'{head}<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en"><head><title>{_xml(t)}</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>{b}</body></html>'
     files: dict[str, str] = {
         "META-INF/container.xml": f'{head}<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
-        "OEBPS/style.css": "article { page-break-before: always; }\n",
+        "OEBPS/style.css": STYLE,
     }
     toc, ncx, order = [], [], 0
     for name, (label, rows) in zip(names, groups, strict=True):

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from ..operators.aggregates import report_status_counts
 from ..operators.editions import redact
 
 
@@ -48,6 +49,15 @@ def write_articles(articles: DataFrame, path: str) -> None:
     redact(articles).write.mode("overwrite").json(path)
 
 
+def write_source_report(reports: DataFrame, path: str | Path, project: dict, *, most: int = 100_000) -> dict:
+    """The report of a collection, one document: counts by status and a row per source, in order."""
+    columns = [c for c in reports.columns if c not in ("source_pos",)]
+    rows = rows_of(reports.orderBy(*(["source_pos"] if "source_pos" in reports.columns else ["source_id"])).select(*columns), most)
+    value = {"schema_version": 1, "project": project, "summary": report_status_counts(reports).first().asDict(), "sources": rows}
+    write_json(path, value)
+    return value
+
+
 def ranked_payload(selected: DataFrame, project: dict, generated_at: str, summary: dict, *, most: int, lesson_ids: list[str] | None = None) -> dict:
     """The nested document of an edition, in rank order."""
     public = redact(selected)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.text import strip
 from ..functions.times import path_date
 from ..operators.history import payload_ids
 
@@ -66,19 +68,46 @@ def read_payloads(spark: SparkSession, path: str, *, strict: bool = False, name:
     """Archived payloads with their path. Corrupt documents are dropped, or fail the read if ``strict``."""
     reader = spark.read.schema(PAYLOAD).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name)
     if strict:
-        return reader.option("mode", "FAILFAST").json(path).withColumn("path", F.col("_metadata.file_path"))
+        return reader.option("mode", "FAILFAST").json(path).withColumns({"path": F.col("_metadata.file_path"), "changed": F.col("_metadata.file_modification_time")})
     df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return df.withColumn("path", F.col("_metadata.file_path")).where("_corrupt IS NULL").drop("_corrupt")
+    return df.withColumns({"path": F.col("_metadata.file_path"), "changed": F.col("_metadata.file_modification_time")}).where("_corrupt IS NULL").drop("_corrupt")
+
+
+def archived_payloads(spark: SparkSession, archive: str, *, name: str = "ranked.json") -> DataFrame:
+    """The payloads of an archive, with ``path`` and ``entry_date``: those that its manifest lists, else all that are found below it.
+
+    Entries of the manifest without a file are left out, and files listed
+    twice come once, with their first date. A manifest that can't be read, or
+    that lists no file, is as none.
+    """
+    found = read_payloads(spark, archive, name=name).withColumn("_place", F.regexp_extract("path", f"^.*?/?([^/]+/[^/]+/[^/]+)/{re.escape(name)}$", 1))
+    entries = "struct<editions:array<struct<date:string,path:string>>>"
+    listed = (
+        spark.read.text(archive, wholetext=True, recursiveFileLookup=True, pathGlobFilter="index.json")
+        .select(F.from_json("value", entries)["editions"].alias("e")).select(F.posexplode("e").alias("_at", "e")).where("e.path IS NOT NULL")
+        .groupBy(F.regexp_replace(strip(F.col("e.path")), "^/+|/+$", "").alias("_place")).agg(F.min_by(F.nullif(strip(F.col("e.date")), F.lit("")), "_at").alias("entry_date"))
+    )
+    by_manifest = found.join(listed, "_place")
+    if by_manifest.first() is not None:
+        return by_manifest.drop("_place")
+    return found.withColumn("entry_date", F.lit(None).cast("string")).drop("_place")
+
+
+def latest_payload(payloads: DataFrame) -> DataFrame:
+    """The payload of the last folder by name; of several files in it, the one changed last. One row, or none."""
+    when = F.col("changed") if "changed" in payloads.columns else F.lit(0)
+    return payloads.orderBy(F.regexp_replace("path", "/[^/]*$", "").desc(), when.desc()).limit(1)
 
 
 def edition_history(payloads: DataFrame) -> DataFrame:
-    """``date, path, lesson_ids``: the date of the path, else the own-offset date of generated_at."""
+    """``date, path, lesson_ids``: the date of the manifest's entry or of the path, else the own-offset date of generated_at."""
     ids = payload_ids(
         F.col("lesson_ids"), F.col("learning.lesson_ids"),
         F.transform("learning.lessons", lambda x: F.coalesce(x["id"], x["lesson_id"])),
         F.transform("articles", lambda x: x["learning_lesson_id"]),
     )
-    date = F.coalesce(path_date(F.col("path")).cast("string"), F.substring("generated_at", 1, 10).try_cast("date").cast("string"))
+    given = F.col("entry_date").try_cast("date").cast("string") if "entry_date" in payloads.columns else F.lit(None).cast("string")
+    date = F.coalesce(given, path_date(F.col("path")).cast("string"), F.substring("generated_at", 1, 10).try_cast("date").cast("string"))
     return payloads.select(date.alias("date"), "path", ids.alias("lesson_ids")).where("date IS NOT NULL")
 
 

@@ -8,10 +8,12 @@ source: ``spark.read.format("web_pages").option("urls", "a\\nb").load()``.
 from __future__ import annotations
 
 import socket
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -22,10 +24,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .. import schemas
 from . import feeds, index_pages
 
+# What requests say, how long the second may wait, and who can be read.
 ACCEPT = "application/atom+xml, application/rss+xml, application/xml;q=0.9, text/html;q=0.8, */*;q=0.5"
 AGENT = "loomfeed/0.1"
 BROWSER = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/140.0 Safari/537.36"
 MOST_SECONDS, CHUNK = 60, 64 * 1024
+PROVIDERS = ("feed", "html_index")
 
 
 @dataclass(frozen=True)
@@ -85,13 +89,16 @@ def over_http(url: str, seconds: float, headers: dict[str, str], most_bytes: int
 
 
 def fetch(url: str, seconds: float = 20, most_bytes: int = 5_000_000, transport: Transport = over_http) -> dict:
-    """A row of ``schemas.PAGE``."""
+    """A row of ``schemas.PAGE``, with when it was fetched and how long that took."""
+    now = lambda: f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
+    started, clock = now(), time.perf_counter()
     answer, retries, profile = transport(url, seconds, default_headers(), most_bytes), 0, "default"
     if again := retry_of(answer, seconds):
         profile, timeout = again
         answer, retries = transport(url, timeout, browser_headers(url), most_bytes), 1
     error = answer.error or (f"HTTP {answer.status}" if answer.status is not None and answer.status >= 400 else None)
-    return {"url": url, "http_status": answer.status, "content_type": answer.content_type, "body": None if error else answer.body, "final_url": answer.final_url or url, "error": error, "retry_count": retries, "request_profile": profile}
+    return {"url": url, "http_status": answer.status, "content_type": answer.content_type, "body": None if error else answer.body, "final_url": answer.final_url or url, "error": error, "retry_count": retries, "request_profile": profile,
+            "started_at": started, "completed_at": now(), "duration_seconds": round(time.perf_counter() - clock, 3)}
 
 
 def fetch_pages(urls: DataFrame, *, seconds: float = 20, most_bytes: int = 5_000_000, transport: Transport = over_http) -> DataFrame:
@@ -106,25 +113,28 @@ def fetch_pages(urls: DataFrame, *, seconds: float = 20, most_bytes: int = 5_000
     return urls.select("url").where("url IS NOT NULL").distinct().mapInArrow(run, schemas.PAGE)
 
 
-def collect(sources: DataFrame, fetched_at: str, *, seconds: float = 20, max_summary: int = 2000, transport: Transport = over_http) -> tuple[DataFrame, DataFrame]:
-    """``(articles, reports)`` of a source table with ``source_pos``; a failing source is a failed report."""
+def collect(sources: DataFrame, fetched_at: str, *, seconds: float = 20, max_summary: int = 2000, transport: Transport = over_http, layouts: dict[str, index_pages.IndexLayout] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(articles, reports)`` of a source table with ``source_pos``; a failing source is a failed report, an unknown provider a ValueError."""
     src = sources.where("enabled")
+    unknown = src.where(~F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False))).select("id", "provider").limit(10).collect()
+    if unknown:
+        raise ValueError(f"unknown providers: {', '.join(f'{r.provider} of {r.id}' for r in unknown)}; there are {', '.join(PROVIDERS)}")
     pages = fetch_pages(src, seconds=seconds, transport=transport)
     staged = src.join(pages, "url")
     from ..runtime import checkpoint
 
     staged = checkpoint(staged)
-    good = staged.where("error IS NULL").drop("http_status", "content_type", "final_url", "error", "retry_count", "request_profile")
+    good = staged.where("error IS NULL").drop("http_status", "content_type", "final_url", "error", "retry_count", "request_profile", "started_at", "completed_at", "duration_seconds")
     parsed = feeds.feed_articles(good.where("provider = 'feed'"), fetched_at, max_summary=max_summary)
-    cards = index_pages.index_articles(good.where("provider = 'html_index'"), fetched_at, max_summary=max_summary)
+    cards = index_pages.index_articles(good.where("provider = 'html_index'"), fetched_at, max_summary=max_summary, layouts=layouts)
     everything = checkpoint(parsed.unionByName(cards, allowMissingColumns=True))
     articles = everything.where("error IS NULL").drop("error", "feed_format", "feed_title")
     found = everything.groupBy("source_pos").agg(F.count_if(F.col("error").isNull()).cast("int").alias("article_count"), F.first("feed_title", ignorenulls=True).alias("feed_title"), F.max("error").alias("parse_error"))
     r = staged.join(found, "source_pos", "left").withColumn("error", F.coalesce("error", "parse_error"))
     status = F.when(F.col("error").isNotNull(), "failed").when(F.coalesce("article_count", F.lit(0)) == 0, "warning").otherwise("success")
     reports = r.select(
-        F.col("id").alias("source_id"), F.col("name").alias("source_name"), "category", "url", status.alias("status"), F.lit(fetched_at).alias("started_at"), F.lit(fetched_at).alias("completed_at"),
-        F.lit(None).cast("double").alias("duration_seconds"), F.coalesce("article_count", F.lit(0)).alias("article_count"), "http_status", "final_url", "feed_title",
+        F.col("id").alias("source_id"), F.col("name").alias("source_name"), "category", "url", status.alias("status"), "started_at", "completed_at",
+        "duration_seconds", F.coalesce("article_count", F.lit(0)).alias("article_count"), "http_status", "final_url", "feed_title",
         F.when(status == "warning", "no entries").alias("warning"), "error", "retry_count", "request_profile",
     )
     return articles, reports

@@ -46,14 +46,23 @@ def test_collect_with_retries(spark):
             return web.Answer(403) if headers["User-Agent"] == web.AGENT else web.Answer(200, "text/xml", RSS, url)
         return web.Answer(200, "text/html", index, url) if url.startswith("https://i") else web.Answer(timed_out=True, error="timed out")
 
-    articles, reports = web.collect(src, "2026-01-01T00:00:00Z", transport=transport)
+    layouts = {"i": index_pages.IndexLayout("Technical Articles", "Projects")}
+    articles, reports = web.collect(src, "2026-01-01T00:00:00Z", transport=transport, layouts=layouts)
     assert sorted(r.url for r in articles.collect()) == ["https://i.example/p", "https://x.example/1", "https://x.example/2"]
     assert {r.source_id: (r.status, r.retry_count, r.article_count) for r in reports.collect()} == {"a": ("success", 1, 2), "b": ("failed", 1, 0), "i": ("success", 0, 1)}
+    assert all(r.duration_seconds >= 0 and r.started_at <= r.completed_at for r in reports.collect())
+    none = web.collect(src.where("id = 'i'"), "2026-01-01T00:00:00Z", transport=transport)[1].first()
+    assert none.status == "failed" and "no layout" in none.error
+    with pytest.raises(ValueError, match="gopher of g"):
+        web.collect(sources(spark, ("g", "gopher", "x")), "2026-01-01T00:00:00Z", transport=transport)
     assert web.longer_timeout(20) == 40 and web.longer_timeout(5) == 15 and web.longer_timeout(50) == 60
 
 
 def test_index_cards():
-    cards = index_pages.read_index('<main><div><i>Technical Articles</i><h2><a href="x">One</a></h2><p>by A May 2, 2025</p></div><div><i>Technical Articles</i><h2><a href="x">Two</a></h2><p>May 2, 2025</p></div></main>', "https://s.example/")
+    layout = index_pages.IndexLayout("Technical Articles", "Projects")
+    assert [index_pages.card_author(t) for t in ("Technical Articles Jan 5, 2026 by Ann Lee", "by Bo May 2, 2025 and more", "no one", "by ")] == ["Ann Lee", "Bo", None, None]
+    assert [index_pages.card_date(t) for t in ("Feb 31, 2026", "Feb 28, 2026", "sep 3, 2025 or May 1, 2020", "5 May 2020")] == [None, "2026-02-28T00:00:00Z", "2025-09-03T00:00:00Z", None]
+    cards = index_pages.read_index('<main><div><i>Technical Articles</i><h2><a href="x">One</a></h2><p>by A May 2, 2025</p></div><div><i>Technical Articles</i><h2><a href="x">Two</a></h2><p>May 2, 2025</p></div></main>', "https://s.example/", layout)
     assert [(c["title"], c["author"], c["published_at"]) for c in cards] == [("One", "A", "2025-05-02T00:00:00Z")]
 
 
