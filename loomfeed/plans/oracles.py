@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import LOOKBACK_HOURS, MAX_ARTICLES, NOW, SCORING
+from .queries import LATER_DAY, LOOKBACK_HOURS, MAX_ARTICLES, NOW, SAME_DAY, SCORING
 
 _ISO = r"^(\d{4})(-?)(\d{2})(-?)(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(?:[+-]\d{2}(?::?\d{2})?|[Zz])?)?$"
 _OFFSET = r"([+-])(\d{2}):?(\d{2})?$"
@@ -120,6 +120,32 @@ eo AS (SELECT *, CASE WHEN og IN ('feed','web','curated','summary','none','unkno
   WHEN st = 'extracted' THEN CASE WHEN http_status IS NULL THEN 'feed' ELSE 'web' END WHEN st = 'summary_fallback' THEN 'summary' WHEN st = 'fetch_failed' THEN 'none' ELSE 'unknown' END AS origin FROM e)
 """
 
+_HIST = """
+l AS (SELECT id, priority AS ord, enabled, row_number() OVER (ORDER BY priority, id) - 1 AS seat, count(*) OVER () AS n FROM feed_source WHERE enabled),
+h AS (SELECT substr(started_at, 1, 10) AS date, 'editions/' || lpad(CAST(batch_no AS VARCHAR), 6, '0') AS path, list_sort(list(DISTINCT source_id)) AS ids FROM source_report GROUP BY substr(started_at, 1, 10), batch_no),
+x AS (SELECT date, path, unnest(ids) AS lesson_id, generate_subscripts(ids, 1) - 1 AS pos FROM h)
+"""
+
+
+def _chosen(day: str, count: int) -> str:
+    return f"""WITH {_HIST},
+today AS (SELECT x.lesson_id AS id, row_number() OVER (ORDER BY pos) - 1 AS pick, count(*) OVER () AS known FROM x JOIN l ON l.id = x.lesson_id WHERE path = (SELECT max(path) FROM h WHERE date = '{day}')),
+prev AS (SELECT arg_max(lesson_id, date || path || lpad(CAST(pos AS VARCHAR), 6, '0')) AS id FROM x WHERE date < '{day}' AND lesson_id IN (SELECT id FROM l)),
+start AS (SELECT coalesce((SELECT (seat + 1) % n FROM l WHERE id = (SELECT id FROM prev)), 0) AS s),
+turn AS (SELECT id, (seat - s + n) % n AS pick, (SELECT id FROM prev) IS NOT NULL AND (s = 0 OR s + {count} > n) AS cycle_reset FROM l, start WHERE (seat - s + n) % n < {count}),
+c AS (SELECT id, CAST(pick AS INT) AS pick, (SELECT id FROM prev) AS previous, true AS reused, false AS cycle_reset FROM today WHERE known >= {count} AND pick < {count}
+  UNION ALL SELECT id, CAST(pick AS INT), (SELECT id FROM prev), false, cycle_reset FROM turn WHERE NOT EXISTS (SELECT 1 FROM today WHERE known >= {count}))
+"""
+
+
+def _checks(relation: str, names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, coalesce({n}, 0) = 0 AS passed, CAST(coalesce({n}, 0) AS BIGINT) AS failing FROM {relation}" for n in names)
+
+
+_ONCE = """r1 AS (SELECT DISTINCT * FROM enrichment_record),
+st AS (SELECT count(*) AS requested, count(*) FILTER (WHERE lower(trim(status)) = 'extracted') AS extracted, count(*) FILTER (WHERE lower(trim(status)) = 'summary_fallback') AS summary_fallback,
+  count(*) FILTER (WHERE lower(trim(status)) = 'fetch_failed') AS fetch_failed FROM r1)"""
+
 ORACLES: dict[str, str] = {
     "time_window_status": f"WITH {_T} SELECT article_id, {_STATUS} AS time_status FROM t",
     "time_window_counts": f"WITH {_T}, c AS (SELECT {_STATUS} AS s FROM t) SELECT "
@@ -150,7 +176,7 @@ ORACLES: dict[str, str] = {
     "enrichment_problems": f"WITH {_ENR} SELECT st AS status, count(*) AS n FROM eo WHERE coalesce(st <> 'extracted', true) GROUP BY 1",
     "group_sorted_list": "SELECT category, count(*) AS source_count, string_agg(name, '|' ORDER BY priority DESC, name) AS sources FROM feed_source WHERE enabled GROUP BY 1",
     "duplicate_keys": "SELECT external_id, count(*) AS n FROM article WHERE external_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "unknown_category_anti": "SELECT id, category FROM feed_source f WHERE NOT EXISTS (SELECT 1 FROM category_profile c WHERE c.category_id = f.category AND c.weight >= 5)",
+    "unknown_category_anti": "SELECT id, category FROM feed_source f WHERE NOT EXISTS (SELECT 1 FROM category_profile c WHERE c.category_id = f.category AND c.weight >= 10)",
     "source_violations": r"""WITH s AS (SELECT * REPLACE (priority + 2 AS priority) FROM feed_source), v AS (
       SELECT id, CASE WHEN NOT regexp_matches(id, '^[a-z0-9_]+$') THEN 'id' END AS violation FROM s
       UNION ALL SELECT id, CASE WHEN trim(coalesce(name, '')) = '' THEN 'name' END FROM s
@@ -188,4 +214,50 @@ ORACLES: dict[str, str] = {
     "category_labels": "SELECT array_to_string(list_transform(string_split(replace(category, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label, count(*) AS n FROM article GROUP BY 1",
     "props_json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "tag_membership": "SELECT article_id, list_contains(source_tags, 'compiler') AS has_compiler, CAST(len(list_filter(source_tags, lambda t: starts_with(t, 'c'))) AS INT) AS c_tags, array_to_string(source_tags, ' ') AS tags FROM article",
+    "lessons_reused": f"{_chosen(SAME_DAY, 5)} SELECT * FROM c",
+    "lessons_wrapped": f"{_chosen(LATER_DAY, 20)} SELECT * FROM c",
+    "lesson_ids_in_order": f"WITH {_HIST} SELECT path, CAST(pos AS INT) AS pos, lesson_id, ord AS \"order\" FROM x JOIN l ON l.id = x.lesson_id",
+    "ranked_lessons": f"{_chosen(LATER_DAY, 20)} SELECT 'learning:' || c.id AS external_id, f.url, c.pick, f.priority * 2 AS score FROM c JOIN feed_source f ON f.id = c.id",
+    "previous_lesson_each_day": f"""WITH {_HIST}, k AS (SELECT date, arg_max(lesson_id, path || lpad(CAST(pos AS VARCHAR), 6, '0')) AS lesson_id FROM x WHERE lesson_id IN (SELECT id FROM l) GROUP BY 1)
+      SELECT DISTINCT h.date, (SELECT arg_max(lesson_id, k.date) FROM k WHERE k.date < h.date) AS previous FROM h""",
+    "uncurated_lessons": 'SELECT id, priority AS "order" FROM feed_source WHERE enabled AND NOT official',
+    "coverage_counts": """SELECT count(*) AS lesson_count, count(*) FILTER (WHERE enabled) AS enabled_count, count(*) FILTER (WHERE enabled AND official) AS curated_count, CAST(coalesce(sum(priority * 3) FILTER (WHERE enabled), 0) AS BIGINT) AS enabled_minutes,
+      CAST(coalesce(sum(priority * 3) FILTER (WHERE enabled AND official), 0) AS BIGINT) AS curated_minutes, arg_min(id, lpad(CAST(priority AS VARCHAR), 3, '0') || id) FILTER (WHERE enabled AND NOT official) AS next_uncurated,
+      count(*) FILTER (WHERE enabled AND official) / count(*) FILTER (WHERE enabled) AS coverage_rate FROM feed_source""",
+    "report_index": "SELECT id, CAST(row_number() OVER (ORDER BY name, id) AS INT) AS index FROM feed_source",
+    "counter_checks": f"""WITH {_ENR}, {_ONCE}, dv AS (SELECT count(*) AS requested, count(*) FILTER (WHERE st = 'extracted') AS extracted, count(*) FILTER (WHERE st = 'summary_fallback') AS summary_fallback, count(*) FILTER (WHERE st = 'fetch_failed') AS fetch_failed,
+        count(*) FILTER (WHERE NOT coalesce(st IN ('extracted', 'summary_fallback', 'fetch_failed'), false)) AS bad_status, count(*) FILTER (WHERE origin = 'unknown') AS bad_origin,
+        count(*) FILTER (WHERE (st = 'extracted' AND origin NOT IN ('feed', 'web', 'curated')) OR (st = 'summary_fallback' AND origin <> 'summary') OR (st = 'fetch_failed' AND origin <> 'none')) AS bad_pair FROM eo),
+      v AS (SELECT abs(st.requested - st.extracted - st.summary_fallback - st.fetch_failed) AS counters_add_up, abs(st.requested - dv.requested) AS requested_as_stated, abs(st.extracted - dv.extracted) AS extracted_as_stated,
+        abs(st.summary_fallback - dv.summary_fallback) AS summary_fallback_as_stated, abs(st.fetch_failed - dv.fetch_failed) AS fetch_failed_as_stated, bad_status AS status_known, bad_origin AS origin_known, bad_pair AS origin_allowed FROM st, dv)
+      {_checks('v', ['counters_add_up', 'requested_as_stated', 'extracted_as_stated', 'summary_fallback_as_stated', 'fetch_failed_as_stated', 'status_known', 'origin_known', 'origin_allowed'])}""",
+    "lesson_content_checks": f"""WITH {_ENR}, m AS (SELECT title, bool_or(coalesce(list_contains(source_tags, 'compiler'), false)) AS cur FROM article WHERE title IS NOT NULL GROUP BY 1),
+      j AS (SELECT eo.*, m.cur FROM eo JOIN m ON m.title = eo.title),
+      v AS (SELECT count(*) FILTER (WHERE cur AND NOT coalesce(st = 'extracted', false)) AS curated_extracted, count(*) FILTER (WHERE cur AND origin <> 'curated') AS curated_origin, count(*) FILTER (WHERE NOT cur AND origin = 'curated') AS others_not_curated,
+        count(*) FILTER (WHERE NOT cur AND st = 'fetch_failed') AS others_not_failed FROM j),
+      w AS (SELECT (SELECT count(*) FROM (SELECT title FROM enrichment_record EXCEPT SELECT title FROM article)) AS records_have_articles, (SELECT count(*) FROM (SELECT title FROM article EXCEPT SELECT title FROM enrichment_record)) AS articles_have_records)
+      {_checks('v', ['curated_extracted', 'curated_origin', 'others_not_curated', 'others_not_failed'])} UNION ALL {_checks('w', ['records_have_articles', 'articles_have_records'])}""",
+    "titles_on_one_side": "SELECT title, 'left' AS side FROM (SELECT title FROM enrichment_record EXCEPT SELECT title FROM article) UNION ALL SELECT title, 'right' FROM (SELECT title FROM article EXCEPT SELECT title FROM enrichment_record)",
+    "lesson_id_checks": f"""WITH a AS (SELECT row_number() OVER (ORDER BY id) AS n, id FROM feed_source), b AS (SELECT row_number() OVER (ORDER BY CAST(priority AS VARCHAR) || id) AS n, id FROM feed_source WHERE enabled),
+      v AS (SELECT (SELECT count(*) FROM a FULL JOIN b USING (n) WHERE a.id IS DISTINCT FROM b.id) AS ids_as_stated, count(id) - count(DISTINCT id) AS ids_unique, count(*) FILTER (WHERE trim(coalesce(id, '')) = '') AS ids_given,
+        count(*) FILTER (WHERE NOT official AND category <> 'technical_learning') AS category_of_lessons, abs(count(*) - 50) AS lessons_expected FROM feed_source WHERE enabled)
+      {_checks('v', ['ids_as_stated', 'ids_unique', 'ids_given', 'category_of_lessons', 'lessons_expected'])}""",
+    "counts_as_archived": """WITH a AS (SELECT source_id, count(*) AS n, sum(word_count) AS w, min(http_status) AS m FROM enrichment_record GROUP BY 1), b AS (SELECT source_id, count(*) AS n, sum(word_count) AS w, min(http_status) AS m FROM (SELECT DISTINCT * FROM enrichment_record) GROUP BY 1)
+      SELECT coalesce(a.source_id, b.source_id) AS source_id FROM a FULL JOIN b ON a.source_id = b.source_id WHERE (a.n, a.w, a.m) IS DISTINCT FROM (b.n, b.w, b.m)""",
+    "copy_checks": f"""WITH g AS (SELECT '/' || source || '/' || doc_id AS path, sha256(text) AS digest FROM documents), w AS (SELECT min(digest) AS d FROM g WHERE ends_with(path, '/100')),
+      v AS (SELECT count(*) FILTER (WHERE NOT coalesce(digest = d, false)) AS copies_equal, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS copy_found FROM g, w WHERE ends_with(path, '7') OR ends_with(path, '9')) {_checks('v', ['copies_equal', 'copy_found'])}""",
+    "content_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "latest_report": f"WITH {_HIST} SELECT path || '/ranked.json' AS path, date FROM h ORDER BY path DESC LIMIT 1",
+    "nested_ids": r"""WITH e AS (SELECT group_id, list_concat([kept_article.external_id], list_transform(coalesce(duplicate_articles, []), lambda m: m.external_id), list_transform(coalesce(duplicate_articles, []), lambda m: m.category), [kept_article.category]) AS ids FROM duplicate_group),
+      t AS (SELECT group_id, list_filter(list_transform(ids, lambda i: regexp_replace(i, '^\s+|\s+$', '', 'g')), lambda i: i IS NOT NULL AND i <> '') AS ids FROM e)
+      SELECT group_id, coalesce(array_to_string(list_filter(ids, lambda i, k: list_position(ids, i) = k), '|'), '') AS ids FROM t""",
+    "ranking_summary": f"{_RANK} SELECT count(*) AS ranked_count, max(score) AS top_score FROM r",
+    "public_checks": f"""WITH v AS (SELECT greatest(count(*) - 1000, 0) AS article_count_within_limit, count(*) FILTER (WHERE NOT {_blank('content_html')} OR NOT {_blank('content_text')}) AS no_content,
+      count(*) FILTER (WHERE coalesce(content_status <> 'not_requested', false)) AS status_reset, count(url) - count(DISTINCT url) AS urls_unique FROM article) {_checks('v', ['article_count_within_limit', 'no_content', 'status_reset', 'urls_unique'])}""",
+    "text_forms": r"""SELECT article_id, nullif(trim(regexp_replace(author, '[\s\x{a0}]+', ' ', 'g')), '') AS author, regexp_replace(regexp_replace(summary, '[ \t\f\x0b]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS inline,
+      CAST(length(title) AS VARCHAR) || ' letter' || CASE WHEN length(title) = 1 THEN '' ELSE 's' END AS letters,
+      CASE WHEN regexp_matches(url, '(?i)^\s*https?://[^/?#\s]+') THEN regexp_extract(trim(url), '^([^/]+//[^/?#]+)', 1) || '/' END AS origin,
+      coalesce(nullif(regexp_replace(regexp_replace(lower(category), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug, replace(url, ')', '%29') AS link,
+      regexp_replace(replace(replace(summary, '\', '\\'), '|', '\|'), '\r\n?|\n', ' ', 'g') AS cell FROM article""",
+    "media_types": "SELECT DISTINCT record_id, nullif(lower(coalesce(content_type, '')), '') AS kind, nullif(lower(trim(content_type)), '') AS plain FROM enrichment_record",
 }

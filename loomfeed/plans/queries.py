@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times, urls
-from ..operators import aggregates, content, dedup, editions, history, quality, ranking, selection, timewindow
+from ..operators import aggregates, content, curriculum, dedup, editions, history, quality, ranking, selection, timewindow, verification
+from ..operators.lessons import SOURCE as LESSON_SOURCE
+from ..sinks import reports
+from ..sources.documents import latest_payload
 from ..operators.timestamps import restated_timestamps
 from ..runtime import spread, table
 
@@ -18,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = "2026-02-01 00:00:00"
 LOOKBACK_HOURS = 24 * 60
 MAX_ARTICLES = 40
+SAME_DAY, LATER_DAY = "2025-12-05", "2026-01-20"
 SCORING = ranking.Scoring(
     high_keywords=ranking.keyword_list(["compiler", "kernel", "firmware", "tokenizer", "notes", "brings", "inside", "Übersetzer", "câble"]),
     low_keywords=ranking.keyword_list(["weekly", "workshop", "roundup"]),
@@ -183,7 +187,7 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unknown_category_anti(spark: SparkSession, d: str) -> DataFrame:
-    profile = table(spark, d, "category_profile").where("weight >= 5")
+    profile = table(spark, d, "category_profile").where("weight >= 10")
     return ranking.unknown_categories(table(spark, d, "feed_source"), profile).select("id", "category")
 
 
@@ -291,4 +295,154 @@ def html_visible_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("article_id", F.length(content.clean_html(F.col("content_html"))).alias("visible_chars"))
 
 
+def _lessons(spark: SparkSession, d: str) -> DataFrame:
+    """The sources as a curriculum."""
+    s = table(spark, d, "feed_source")
+    return s.select("id", F.col("priority").alias("order"), "enabled", F.col("official").alias("curated"), (F.col("priority") * 3).alias("estimated_minutes"))
+
+
+def _history(spark: SparkSession, d: str) -> DataFrame:
+    """The batches of the source reports as editions, their sources as lessons."""
+    r = table(spark, d, "source_report")
+    made = r.groupBy(F.substring("started_at", 1, 10).alias("date"), "batch_no").agg(F.sort_array(F.collect_set("source_id")).alias("lesson_ids"))
+    return made.select("date", F.format_string("editions/%06d", F.col("batch_no")).alias("path"), "lesson_ids")
+
+
+@query
+def lessons_reused(spark: SparkSession, d: str) -> DataFrame:
+    return curriculum.choose_lessons(_lessons(spark, d), _history(spark, d), SAME_DAY, 5).select("id", F.col("pick").cast("int").alias("pick"), "previous", "reused", "cycle_reset")
+
+
+@query
+def lessons_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    return curriculum.choose_lessons(_lessons(spark, d), _history(spark, d), LATER_DAY, 20).select("id", F.col("pick").cast("int").alias("pick"), "previous", "reused", "cycle_reset")
+
+
+@query
+def lesson_ids_in_order(spark: SparkSession, d: str) -> DataFrame:
+    ids = history.exploded_history(_history(spark, d)).select("path", "pos", "lesson_id")
+    known = _lessons(spark, d).where("enabled")
+    return ids.join(known.select(F.col("id").alias("lesson_id"), "order"), "lesson_id").select("path", F.col("pos").cast("int").alias("pos"), "lesson_id", "order")
+
+
+@query
+def ranked_lessons(spark: SparkSession, d: str) -> DataFrame:
+    chosen = curriculum.choose_lessons(_lessons(spark, d), _history(spark, d), LATER_DAY, 20)
+    s = table(spark, d, "feed_source")
+    ranked = s.select(F.concat(F.lit("learning:"), "id").alias("external_id"), F.array(F.concat(F.lit("learning_lesson_id:"), "id")).alias("source_tags"), "url", (F.col("priority") * 2).alias("score"))
+    return curriculum.ranked_in_order(chosen, ranked).select("external_id", "url", F.col("pick").cast("int").alias("pick"), "score")
+
+
+@query
+def previous_lesson_each_day(spark: SparkSession, d: str) -> DataFrame:
+    days = _history(spark, d).select("date").distinct().select(F.to_timestamp("date").alias("t"), "date", F.lit("site").alias("site"))
+    known = history.exploded_history(_history(spark, d)).join(_lessons(spark, d).where("enabled").select(F.col("id").alias("lesson_id")), "lesson_id", "left_semi")
+    last = known.groupBy("date").agg(F.max(F.struct("path", "pos", "lesson_id"))["lesson_id"].alias("lesson_id")).select(F.to_timestamp("date").alias("t"), F.lit("site").alias("site"), "lesson_id")
+    return history.asof_previous(days, last, "site", "t", "lesson_id", "previous").select("date", "previous")
+
+
+@query
+def uncurated_lessons(spark: SparkSession, d: str) -> DataFrame:
+    return reports.uncurated(_lessons(spark, d)).select("id", "order")
+
+
+@query
+def coverage_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.coverage(_lessons(spark, d))
+
+
+@query
+def report_index(spark: SparkSession, d: str) -> DataFrame:
+    return reports.numbered(table(spark, d, "feed_source"), "name", "id").select("id", "index")
+
+
+def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Counters of the records without their repetitions, and all records."""
+    records = table(spark, d, "enrichment_record")
+    once = aggregates.enrichment_counts(records.distinct())
+    named = dict(zip(verification.STATED, ("requested_count", "extracted_count", "fallback_count", "failed_count"), strict=True))
+    return once.select(*(F.col(v).alias(k) for k, v in named.items())), records
+
+
+@query
+def counter_checks(spark: SparkSession, d: str) -> DataFrame:
+    return verification.counter_checks(*_stated(spark, d))
+
+
+@query
+def lesson_content_checks(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article").select("title", F.when(F.array_contains("source_tags", "compiler"), F.array(F.lit(content.CURATED))).alias("source_tags"))
+    return verification.lesson_content_checks(table(spark, d, "enrichment_record"), a)
+
+
+@query
+def titles_on_one_side(spark: SparkSession, d: str) -> DataFrame:
+    return verification.one_sided(table(spark, d, "enrichment_record"), table(spark, d, "article"), "title")
+
+
+@query
+def lesson_id_checks(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "feed_source")
+    stated = s.select(F.col("id").alias("pos"), F.col("id").alias("lesson_id"))
+    articles = s.where("enabled").select(F.concat(F.col("priority").cast("string"), "id").alias("pos"), F.col("id").alias("lesson_id"), F.when(F.col("official"), LESSON_SOURCE).otherwise(F.col("category")).alias("category"))
+    return verification.lesson_id_checks(stated, articles, expected=50)
+
+
+@query
+def counts_as_archived(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "enrichment_record")
+    per = lambda df: df.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"), F.min("http_status").alias("least"))
+    return verification.same_values(per(r), per(r.distinct()), "source_id")
+
+
+@query
+def copy_checks(spark: SparkSession, d: str) -> DataFrame:
+    digests = table(spark, d, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"))
+    return verification.copy_checks(digests, "/100", ["7", "9"])
+
+
+@query
+def content_digests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query
+def latest_report(spark: SparkSession, d: str) -> DataFrame:
+    r = _history(spark, d).select(F.concat("path", F.lit("/ranked.json")).alias("path"), "date")
+    return latest_payload(r).select("path", "date")
+
+
+@query
+def nested_ids(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "duplicate_group")
+    each = lambda c: F.transform("duplicate_articles", lambda m: m[c])
+    return g.select("group_id", F.array_join(history.payload_ids(F.array("kept_article.external_id"), each("external_id"), each("category"), F.array("kept_article.category")), "|").alias("ids"))
+
+
+@query
+def ranking_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.ranking_summary(_scored(spark, d))
+
+
+@query
+def public_checks(spark: SparkSession, d: str) -> DataFrame:
+    return quality.public_checks(table(spark, d, "article"), 1000)
+
+
+@query
+def text_forms(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "article")
+    return a.select(
+        "article_id", text.optional(F.col("author")).alias("author"), text.inline_spaces(F.col("summary")).alias("inline"), text.pluralise(F.length("title"), "letter").alias("letters"),
+        urls.origin(F.col("url")).alias("origin"), text.slug(F.col("category")).alias("slug"), text.escape_markdown_link(F.col("url")).alias("link"), text.escape_markdown_cell(F.col("summary")).alias("cell"),
+    )
+
+
+@query
+def media_types(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "enrichment_record")
+    given = F.concat(F.initcap(F.coalesce("content_type", F.lit(""))), F.lit(" ; charset=utf-8"))
+    return r.select("record_id", text.media_type(given).alias("kind"), text.media_type(F.col("content_type")).alias("plain")).distinct()
+
+
 FLAGSHIP = quota_select

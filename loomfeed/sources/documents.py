@@ -95,7 +95,7 @@ def archived_payloads(spark: SparkSession, archive: str, *, name: str = "ranked.
 
 def latest_payload(payloads: DataFrame) -> DataFrame:
     """The payload of the last folder by name; of several files in it, the one changed last. One row, or none."""
-    when = F.col("changed") if "changed" in payloads.columns else F.lit(0)
+    when = F.col("changed") if "changed" in payloads.columns else F.lit(None).cast("timestamp")
     return payloads.orderBy(F.regexp_replace("path", "/[^/]*$", "").desc(), when.desc()).limit(1)
 
 
