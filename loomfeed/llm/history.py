@@ -117,58 +117,68 @@ def is_near(x: Column, y: Column) -> Column:
     return (d == 0) | ((n >= ONE_EDIT) & (d > 0) & small)
 
 
-def _size(n: Column) -> Column:
-    """Length of each of the three parts of a text of ``n`` letters."""
-    return (F.floor(n / (3 * GRID)) * GRID).cast("int")
+#: A part of a text: its name, where it begins, its length, and whether there is one.
+Cut = tuple[str, Column, Column, Column]
 
 
-def _cut(r: Column, at: Column, size: Column, name: str) -> Column:
-    """A part of ``r`` and what is left without it."""
-    left = F.concat(F.substring(r, F.lit(1), at), F.substring(r, at + size + 1, F.length(r)))
-    return F.struct(F.xxhash64(F.lit(name), size, F.substring(r, at + 1, size)).alias("part"), left.alias("left"))
-
-
-def _stored(r: Column) -> Column:
-    """The three parts of a text."""
-    n, size = F.length(r), _size(F.length(r))
-    return F.array(_cut(r, F.lit(0), size, "front"), _cut(r, size, size, "middle"), _cut(r, n - size, size, "back"))
+def _stored(r: Column) -> list[Cut]:
+    """The three parts of a text. Their length is a third of it, to a grid."""
+    n = F.length(r)
+    size = (F.floor(n / (3 * GRID)) * GRID).cast("int")
+    return [("front", F.lit(0), size, size > 0), ("middle", size, size, size > 0), ("back", n - size, size, size > 0)]
 
 
-def _asked(r: Column) -> Column:
+def _asked(r: Column) -> list[Cut]:
     """The parts that near-copies of a text may have in its place.
 
-    Their length is up to ``EDITS`` more or less. The front stays at the
+    Near-copies are up to ``EDITS`` letters longer or shorter, so their parts
+    may be one step of the grid longer or shorter. The front stays at the
     front and the back at the back; the middle is asked for only if both have
     an edit, and one edit before it moves it by one letter.
     """
     n = F.length(r)
-    sizes = F.filter(F.array_distinct(F.array(_size(n - EDITS), _size(n), _size(n + EDITS))), lambda s: s > 0)
-    return F.flatten(F.transform(sizes, lambda s: F.array(
-        _cut(r, F.lit(0), s, "front"), _cut(r, n - s, s, "back"), *(_cut(r, s + move, s, "middle") for move in (-1, 0, 1)),
-    )))
+    size = (F.floor(n / (3 * GRID)) * GRID).cast("int")
+    beyond = n % (3 * GRID)
+    other = F.when(beyond < EDITS, size - GRID).when(beyond >= 3 * GRID - EDITS, size + GRID).otherwise(0)
+    out = []
+    for s in (size, other):
+        out += [("front", F.lit(0), s, s > 0), ("back", n - s, s, s > 0), *(("middle", s + move, s, s > 0) for move in (-1, 0, 1))]
+    return out
+
+
+def _key(k: Column, r: Column, cut: Cut) -> Column:
+    name, at, size, _ = cut
+    return F.xxhash64(k, F.lit(name), size, F.substring(r, at + 1, size))
+
 
+def _keys(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """``k, id`` of the parts of each row's ``r``; ``k`` names the parts so far."""
+    each = F.array(*(F.when(cut[3], _key(F.col("k"), F.col("r"), cut)) for cut in cuts))
+    return rows.select("id", F.explode(each).alias("k")).where("k IS NOT NULL").select("k", "id")
 
-def _variants(r: Column) -> Column:
-    """A short text and all that is left of it without one, two and so on up to ``EDITS`` letters."""
+
+def _expand(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
+    """Each row once for each of the parts of its ``r``, with what is left without the part as ``r``."""
+    left = lambda at, size: F.concat(F.substring("r", F.lit(1), at), F.substring("r", at + size + 1, F.length("r")))
+    each = F.array(*(F.when(cut[3], F.struct(_key(F.col("k"), F.col("r"), cut).alias("k"), left(cut[1], cut[2]).alias("r"))) for cut in cuts))
+    return rows.withColumn("_e", F.explode(each)).where("_e IS NOT NULL").withColumns({"k": F.col("_e.k"), "r": F.col("_e.r")}).drop("_e")
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    """Each row once for its short ``r``, and for all that is left of it without one, two and so on up to ``EDITS`` letters; nothing is left as ``r``."""
     less = lambda texts: F.array_distinct(F.flatten(F.transform(texts, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))))))
-    steps = [F.array(r)]
+    steps = [F.array("r")]
     for _ in range(EDITS):
         steps.append(less(steps[-1]))
-    rest = lambda t: F.struct(F.xxhash64(F.lit("rest"), F.lit(0), t).alias("part"), F.lit("").alias("left"))
-    return F.transform(F.array_distinct(F.flatten(F.array(*steps))), rest)
-
-
-def _expand(rows: DataFrame, parts: Column) -> DataFrame:
-    """Each row once for each of the given parts of its ``r``: ``k`` names the parts so far, ``r`` is what is left."""
-    made = rows.select("*", F.explode(F.array_distinct(parts)).alias("_e"))
-    return made.withColumns({"k": F.xxhash64("k", "_e.part"), "r": F.col("_e.left")}).drop("_e")
+    made = rows.withColumn("_e", F.explode(F.array_distinct(F.flatten(F.array(*steps)))))
+    return made.withColumns({"k": F.xxhash64("k", F.lit("rest"), "_e"), "r": F.lit("")}).drop("_e")
 
 
-def _split(rows: DataFrame, parts: Column, slack: int = 0) -> DataFrame:
+def _split(rows: DataFrame, cuts: list[Cut], slack: int = 0) -> DataFrame:
     """``_expand`` by parts, or by variants where too little is left for parts; who asks (with ``slack``) asks for what a text of another length has, too."""
     n, least = F.length("r"), 3 * GRID
     by_parts, by_variants = rows.where(n >= least - slack), rows.where((n > 0) & (n < least + slack))
-    return _expand(by_parts, parts).unionByName(_expand(by_variants, _variants(F.col("r"))))
+    return _expand(by_parts, cuts).unionByName(_variants(by_variants))
 
 
 class History:
@@ -216,45 +226,60 @@ def _near_links(titles: DataFrame, history: History) -> tuple[list[DataFrame], l
 
     Only hashes and ids are joined; the texts of what meets follow. At each
     level the parts in use are few enough to compare what shares one; the
-    headlines of crowded parts go on to the next level.
+    headlines of crowded parts go on to the next level, with what is left of
+    them (``r``; of the first level it isn't stored, but worked out again).
     """
     titles = checkpoint(titles.where(F.length("t") >= ONE_EDIT))
-    base = titles.select(F.xxhash64("nums").alias("k"), "id", "t", "nums", F.col("t").alias("r"))
-    stored, asked = _expand(base.withColumn("old", F.lit(False)), _stored(F.col("r"))), _expand(base, _asked(F.col("r")))
+    seeds = lambda rows: rows.select(F.xxhash64("nums").alias("k"), "id", "t", "nums", F.col("t").alias("r"))
+    stored_cuts, asked_cuts = _stored(F.col("r")), _asked(F.col("r"))
+    stored, asked = checkpoint(_keys(seeds(titles), stored_cuts)), checkpoint(_keys(seeds(titles), asked_cuts))
+    wide: DataFrame | None = None  # of the levels after the first: new rows, and rows of history that a part just split has
     links, appended = [], []
     while True:
         counts = stored.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-        had = stored.limit(0)
+        had = None
+        there = stored.withColumn("old", F.lit(False)) if wide is None else wide.select("k", "id", "old")
         if history.parts.exists():
             wanted = stored.select("k").unionAll(asked.select("k")).distinct()
-            had = checkpoint(history.parts.read().join(wanted, "k", "left_semi").distinct().withColumn("old", F.lit(True))).select(*stored.columns)
+            had = checkpoint(history.parts.read().join(wanted, "k", "left_semi").distinct())
             counts = counts.join(had.groupBy("k").agg(F.count(F.lit(1)).alias("h")), "k", "full")
+            there = there.unionByName(had.select("k", "id", F.lit(True).alias("old")))
         else:
             counts = counts.withColumn("h", F.lit(0))
         n, h = F.coalesce("n", F.lit(0)), F.coalesce("h", F.lit(0))
         crowded = checkpoint(counts.where(n + h > CROWDED).select("k", (h > CROWDED).alias("split")))
         last = not crowded.limit(1).count()
-        there = stored.unionByName(had)
         few = (lambda rows: rows) if last else (lambda rows: rows.join(crowded, "k", "left_anti"))
-        links.append(_verified(few(there.select("k", "id", "old")), few(asked.select("k", "id")), titles, had))
-        kept = stored if last else stored.join(crowded.where("split"), "k", "left_anti")
+        texts = titles if had is None else titles.unionByName(had.select("id", "t", "nums").distinct())
+        texts = texts if wide is None else texts.unionByName(wide.where("old").select("id", "t", "nums")).distinct()
+        links.append(_verified(few(there), few(asked.select("k", "id")), texts, titles))
+        fresh = _expand(seeds(titles), stored_cuts).withColumn("r", F.lit(None).cast("string")) if wide is None else wide
+        kept = fresh if last else fresh.join(crowded.where("split"), "k", "left_anti")
         appended.append(kept.select("k", "id", "t", "nums", "r"))
         if last:
             return links, appended
-        onward = checkpoint(there.join(crowded, "k").where("NOT old OR NOT split").drop("split"))
-        asking = checkpoint(asked.join(crowded.select("k"), "k"))
+        new = (_expand(seeds(titles), stored_cuts).withColumn("old", F.lit(False)) if wide is None else wide).join(crowded.select("k"), "k")
+        if had is not None:
+            split_now = had.join(crowded.where("NOT split").select("k"), "k")
+            if wide is None:
+                again = _expand(seeds(split_now.select("id", "t", "nums").distinct()), stored_cuts)
+                split_now = again.join(split_now.select("k", "id"), ["k", "id"], "left_semi")
+            new = new.unionByName(split_now.withColumn("old", F.lit(True)).select(*new.columns))
+        onward = checkpoint(new)
+        asking = checkpoint((_expand(seeds(titles), asked_cuts) if wide is None else asked).join(crowded.select("k"), "k"))
         # Where nothing is left that tells headlines apart, they differ by at most EDITS letters each and are few: all are compared.
         done = F.length("r") == 0
-        links.append(_verified(onward.where(done).select("k", "id", "old"), asking.where(done).select("k", "id"), titles, had))
-        stored, asked = _split(onward, _stored(F.col("r"))), _split(asking, _asked(F.col("r")), EDITS)
+        links.append(_verified(onward.where(done).select("k", "id", "old").unionByName(there.where("old").join(onward.where(done).select("k").distinct(), "k").select("k", "id", "old")), asking.where(done).select("k", "id"), texts, titles))
+        wide = checkpoint(_split(onward, stored_cuts))
+        stored, asked = wide, checkpoint(_split(asking, asked_cuts, EDITS))
 
 
-def _verified(there: DataFrame, asked: DataFrame, titles: DataFrame, had: DataFrame) -> DataFrame:
-    """Links ``a, b`` between stored (``k, id, old``) and asking (``k, id``) headlines that share a hash and are near."""
+def _verified(there: DataFrame, asked: DataFrame, texts: DataFrame, titles: DataFrame) -> DataFrame:
+    """Links ``a, b`` between stored (``k, id, old``) and asking (``k, id``) headlines that share a hash and are near; ``texts`` has the stored ones', ``titles`` the asking ones'."""
     x, y = there.alias("x"), asked.alias("y")
     met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") != F.col("y.id")) & (F.col("x.old") | (F.col("x.id") < F.col("y.id"))))
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    one = titles.unionByName(had.select("id", "t", "nums").distinct()).select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("nums").alias("na"))
+    one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("nums").alias("na"))
     two = titles.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("nums").alias("nb"))
     return pairs.join(one, "a").join(two, "b").where((F.col("na") == F.col("nb")) & is_near(F.col("ta"), F.col("tb"))).select("a", "b")
 
