@@ -167,3 +167,35 @@ def test_lessons(spark):
     ids = spark.createDataFrame([("learning:l1", ["learning_lesson_id:l1"]), (None, ["learning_lesson_id: l2 "]), ("x", None), ("learning:" + "i" * 20_000, None)], "e string, t array<string>")
     assert [r[0] for r in ids.select(lessons.lesson_id(F.col("e"), F.col("t"))).collect()] == ["l1", "l2", None, "i" * 20_000]
     assert lessons.news_capacity(3, 3, True) == 0
+
+
+def test_one_url_with_half_of_all_rows(spark, articles, monkeypatch):
+    from loomfeed import runtime
+
+    monkeypatch.setattr(runtime, "LEAST_HOT", 20)
+    rows = [{"article_id": i, "url": "https://hot.example/" if i % 2 else None if i % 4 == 0 else f"https://a.example/{i % 30}", "summary": "s" * (i % 17)} for i in range(400)]
+    df = dedup.deduplicate(articles(*rows), "article_id")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    got = {r.article_id: (r.dedup_status, r.group_ordinal) for r in df.collect()}
+    assert len(got) == 400 and sum(s == "invalid_url" for s, _ in got.values()) == 100
+    groups = {}
+    for r in rows:
+        if r["url"]:
+            groups.setdefault(r["url"], []).append(r)
+    for g in groups.values():
+        best = max(g, key=lambda r: (len(r["summary"]) > 0, len(r["summary"]), -r["article_id"]))["article_id"]
+        first = min(r["article_id"] for r in g)
+        assert {r["article_id"]: got[r["article_id"]] for r in g} == {r["article_id"]: ("kept" if r["article_id"] == best else "duplicate", first) for r in g}
+
+
+def test_asof_over_spans_of_a_hot_key(spark):
+    import bisect
+    import random
+
+    rng = random.Random(3)
+    right = sorted(rng.sample(range(0, 3_000_000), 300))
+    left = [rng.randrange(0, 3_000_000) for _ in range(500)]
+    make = lambda ts, c: spark.createDataFrame([("hot", t, i) for i, t in enumerate(ts)], f"k string, s long, {c} long").withColumn("t", F.timestamp_seconds("s")).drop("s")
+    got = {r.id: r.prev for r in history.asof_previous(make(left, "id"), make(right, "val"), "k", "t", "val", "prev", days=2).collect()}
+    assert got == {i: (bisect.bisect_left(right, t) - 1 if bisect.bisect_left(right, t) else None) for i, t in enumerate(left)}
