@@ -74,9 +74,9 @@ def cap_contributors(keyed: DataFrame, group: list[str], record_id: str, key: st
     else:
         first, second = F.col(key), -F.floor(F.col(record_id) / ID_BLOCK)
     rows = keyed.withColumns({"_d1": first, "_d2": second})
-    c1 = _cut(rows, group, "_d1", room)
+    c1 = checkpoint(_cut(rows, group, "_d1", room))  # a row per group, read three times
     at1 = rows.join(c1, group).where(F.col("_d1") == F.col("_edge")).drop("_edge")
-    c2 = _cut(at1.drop("_left"), group, "_d2", c1.select(*group, F.col("_left").alias("_room")))
+    c2 = checkpoint(_cut(at1.drop("_left"), group, "_d2", c1.select(*group, F.col("_left").alias("_room"))))
     at2 = at1.drop("_left").join(c2, group).where(F.col("_d2") == F.col("_edge"))
     w = Window.partitionBy(*group).orderBy(F.col(key).desc(), F.col(record_id))
     last = at2.withColumn("_rank", F.row_number().over(w)).withColumn("_kept", F.col("_rank") <= F.col("_left"))
