@@ -44,8 +44,8 @@ ONE_EDIT, TWO_EDITS = 12, 32
 CROWDED = 64
 #: Lengths of parts are multiples of this.
 GRID = 4
-#: Batches of the one-table query are held against history in so many groups.
-ROUNDS = 3
+#: Batches of the one-table query are held against history in so many groups (each costs some sixty small jobs).
+ROUNDS = 2
 
 KEYS = ["page", "external", "headline"]
 
