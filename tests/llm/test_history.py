@@ -163,3 +163,11 @@ def test_history_is_joined_without_an_exchange(spark, articles, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         store.drop()
+
+
+def test_nulls_repeats_and_clashing_columns(spark, articles):
+    names = ["k", "id", "t", "nums", "r", "old", "a", "b", "h", "n", "u", "v", "m", "e", "first", "item", "split", "_t", "_nums", "page", "external", "headline", "first_id", "dup_id"]
+    row = {"article_id": 1, "title": BASE, "url": "https://a.example/x", "external_id": "e"}
+    none = {c: None for c in ("title", "url", "external_id", "source_id", "source_name", "batch_no")}
+    df = articles(row, row, {**row, "article_id": 2, "batch_no": 3}, {**none, "article_id": 3}, {**none, "article_id": None}, {**none, "article_id": 4, "title": ""}, {**none, "article_id": 5, "title": "long " * 30_000}).withColumns({n: F.lit("x") for n in names})
+    assert found(history.repeated_items(df)) == {2: 1}

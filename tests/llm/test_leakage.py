@@ -174,3 +174,14 @@ def test_the_same_word_over_and_over(spark):
     df = spark.createDataFrame([(1, "tick " * 3000), (2, "tick tock " * 30)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "tick " * 50), (2, "tock tick " * 20)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in leakage.leaked(df, items).collect()) == [(1, 1), (2, 2)]
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(WORDS[:30])
+    names = ["words", "item_id", "_asked", "bands", "passage", "term", "part", "postings", "segment", "doc", "head", "rest", "_head", "_n"]
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (None, text), (3, ""), (4, "x " * 50_000 + text)], "doc_id long, text string").withColumns({n: F.lit(None).cast("string") for n in names})
+    items = spark.createDataFrame([(7, text), (7, text), (8, None), (None, text), (9, " \n ")], "item_id long, text string").withColumns({n: F.lit("x") for n in names if n != "item_id"} | {"doc_id": F.lit(1)})
+    assert sorted(map(tuple, leakage.leaked(df, items).collect())) == [(1, 7, 30, True), (1, 7, 30, True), (4, 7, 30, True)]
+    assert leakage.leaked(df.where("false"), items.where("false")).columns == ["doc_id", "item_id", "words", "exact"]
