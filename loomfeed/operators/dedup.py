@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound, is_blank, strip
 from ..functions.urls import canonical_url
-from ..runtime import join_hot
+from ..runtime import checkpoint, join_hot
 
 QUALITY = ["_has_published", "_has_updated", "_has_summary", "_summary_length", "_has_author", "_priority"]
 
@@ -29,26 +29,29 @@ def deduplicate(articles: DataFrame, ordinal: str) -> DataFrame:
     first by ``ordinal``. ``group_ordinal`` is the first ordinal of the group.
     Quality and ordinal are compared as one struct, so the best record of a
     group comes from a map-side combined aggregation instead of a sort of the
-    group. Hot URLs meet their best record by broadcast, and records without a
-    URL aren't moved at all.
+    group. Only the groups of more than one record are stored and joined back,
+    hot ones by broadcast; records without a URL are spread evenly.
     """
     df = bound(articles, canonical_url=canonical_url(F.col("url")), **quality_columns())
     rank = F.struct(*QUALITY, (-F.col(ordinal)).alias("_first"))
-    best = df.where(F.col("canonical_url").isNotNull()).groupBy("canonical_url").agg(F.max(rank).alias("_best"), F.min(ordinal).alias("group_ordinal"), F.count(F.lit(1)).alias("_members"))
-    status = F.when(F.col("canonical_url").isNull(), "invalid_url").when(F.col("_best._first") == -F.col(ordinal), "kept").otherwise("duplicate")
-    joined = join_hot(df, best, "canonical_url", "_members", how="left").withColumn("dedup_status", status)
+    best = df.where(F.col("canonical_url").isNotNull()).groupBy("canonical_url").agg(F.max(rank).alias("_best"), F.min(ordinal).alias("_group"), F.count(F.lit(1)).alias("_members"))
+    status = F.when(F.col("canonical_url").isNull(), "invalid_url").when(F.col("_members").isNull() | (F.col("_best._first") == -F.col(ordinal)), "kept").otherwise("duplicate")
+    groups = checkpoint(best.where("_members > 1"))
+    first = F.when(F.col("canonical_url").isNotNull(), F.coalesce("_group", F.col(ordinal)))
+    joined = join_hot(df, groups, "canonical_url", "_members", how="left").withColumns({"dedup_status": status, "group_ordinal": first})
     return joined.select(*articles.columns, "canonical_url", "dedup_status", "group_ordinal")
 
 
 def duplicate_groups(deduplicated: DataFrame, ordinal: str) -> DataFrame:
     """A row per duplicate: its group, the kept ordinal and its own; groups in order of ``group_ordinal``, members of ``duplicate_ordinal``.
 
-    No group is gathered: the kept record of a group is looked up.
+    No group is gathered: the kept record of a group is looked up, hot groups by broadcast.
     """
     kept = deduplicated.where("dedup_status = 'kept'").select("group_ordinal", F.col(ordinal).alias("kept_ordinal"))
     rows = deduplicated.where("dedup_status = 'duplicate'").select("canonical_url", "group_ordinal", F.col(ordinal).alias("duplicate_ordinal"))
     sizes = rows.groupBy("group_ordinal").agg(F.count(F.lit(1)).alias("_members"))
-    return join_hot(rows, kept.join(sizes, "group_ordinal"), "group_ordinal", "_members").select("canonical_url", "group_ordinal", "kept_ordinal", "duplicate_ordinal")
+    looked_up = join_hot(rows, checkpoint(kept.join(sizes, "group_ordinal")), "group_ordinal", "_members")
+    return looked_up.select("canonical_url", "group_ordinal", "kept_ordinal", "duplicate_ordinal")
 
 
 def dedup_summary(deduplicated: DataFrame) -> DataFrame:

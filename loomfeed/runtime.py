@@ -132,24 +132,29 @@ def join_hot(rows: DataFrame, lookup: DataFrame, key: str | list[str], count: st
     """``rows`` joined to a ``lookup`` that has one row per key and the key's number of rows in ``count``.
 
     Keys that hold more than ``HOT`` of all rows are fewer than 1 / ``HOT``, so
-    their lookup rows are broadcast; only the rest is shuffled, and no key of it
-    can swamp a task. Rows with a null key are never shuffled: they meet
-    nothing, and stay (with nulls) in a left join only. For narrow lookups.
+    their lookup rows are broadcast; the others meet theirs by a shuffle, in
+    which no key can swamp a task: rows that are done, and rows with a null
+    key, which meet nothing, are spread evenly. ``rows`` is read once;
+    ``lookup`` is read several times, so it should be stored. For narrow
+    lookups.
     """
     keys = [key] if isinstance(key, str) else key
     least = _rows_per_task(lookup, count, total)
     payload = [c for c in lookup.columns if c not in keys]
     absent = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
     hot = lookup.where(F.col(count) > least)
-    marked, parts = rows.where(~absent), []
-    if hot.limit(1).count():
-        marked = marked.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-        parts.append(marked.where("_hot").drop("_hot"))
-        marked, lookup = marked.where(F.col("_hot").isNull()).drop("_hot", *payload), lookup.where(F.col(count) <= least)
-    parts.append(marked.join(lookup, keys, how))
-    if how != "inner":
-        parts.append(rows.where(absent).select("*", *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in payload)))
-    return reduce(DataFrame.unionByName, parts)
+    some = hot.limit(1).count() > 0
+    marked, rest = rows, lookup
+    if some:
+        marked = rows.join(F.broadcast(hot.select(*keys, F.struct(*payload).alias("_hot"))), keys, "left")
+        rest, absent = lookup.where(F.col(count) <= least), absent | F.col("_hot").isNotNull()
+    spread_out = F.when(absent, F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int") + 1).otherwise(0)
+    joined = marked.withColumn("_spread", spread_out).join(rest.select(*keys, F.struct(*payload).alias("_met"), F.lit(0).alias("_spread")), [*keys, "_spread"], "left")
+    met = F.coalesce("_hot", "_met") if some else F.col("_met")
+    joined = joined.withColumn("_met", met)
+    if how == "inner":
+        joined = joined.where(F.col("_met").isNotNull())
+    return joined.select(*rows.columns, *(F.col("_met")[c].alias(c) for c in payload))
 
 
 def join_salted(rows: DataFrame, lookup: DataFrame, key: str, by: str, count: str = "n", *, total: int | None = None) -> DataFrame:
