@@ -171,18 +171,22 @@ def _matches(node: Node, rule: tuple[str | None, str, str] | str) -> bool:
     return above is None or any(a.tag == above for a in node.above())
 
 
+# What an element adds to a candidate's score, and what a character of link text takes.
+TAG_SCORES = {"p": 120, "h2": 40, "h3": 40, "h4": 40, "h5": 40, "h6": 40, "li": 20, "pre": 100, "tr": 15}
+LINK_COST = 0.8
+
+
 def candidate_score(node: Node) -> float:
     """Text and structure for, share of link text against."""
     size = len(node.inline())
     if not size:
         return float("-inf")
-    weight = {"p": 120, "h2": 40, "h3": 40, "h4": 40, "h5": 40, "h6": 40, "li": 20, "pre": 100, "tr": 15}
     structure = links = 0
     for n in node.walk():
-        structure += weight.get(n.tag, 0)
+        structure += TAG_SCORES.get(n.tag, 0)
         if n.tag == "a":
             links += len(n.inline())
-    return size + structure - 0.8 * links
+    return size + structure - LINK_COST * links
 
 
 def choose(root: Node, least: int) -> tuple[Node | None, str | None]:

@@ -122,7 +122,8 @@ def copy_checks(digests: DataFrame, original: str, copies: list[str]) -> DataFra
     return as_checks(row)
 
 
-# Rules of the style sheet that keep each article on pages of its own.
+# The link to each article's original, the mark of a full text, the text of links that a book mustn't hold, and the rules of the style sheet that keep each article on pages of its own.
+ORIGINAL, FULL_TEXT, LEFTOVER = ">Original source</a>", 'class="article-content full-content', "Read the original article"
 PAGE_RULES = ["article + article", "break-before: page;", "page-break-before: always;", "break-inside: auto;", "page-break-inside: auto;"]
 
 
@@ -134,9 +135,9 @@ def epub_checks(members: DataFrame, *, articles: int, full_content: int, chapter
     lost = lambda needles, text: sum((F.when(F.coalesce(text.contains(n), F.lit(False)), 0).otherwise(1) for n in needles), F.lit(0))
     counted = members.agg(
         F.count_if(F.col("error").isNotNull()).alias("sound"),
-        F.abs(many(">Original source</a>") - articles).alias("links_to_originals"),
-        F.abs(many('class="article-content full-content') - full_content).alias("full_texts"),
-        many("Read the original article").alias("no_leftover_link"),
+        F.abs(many(ORIGINAL) - articles).alias("links_to_originals"),
+        F.abs(many(FULL_TEXT) - full_content).alias("full_texts"),
+        many(LEFTOVER).alias("no_leftover_link"),
         style.alias("_style"),
         F.max(F.when(F.col("member").endswith(f"/{chapter}.xhtml"), F.col("text"))).alias("_chapter"),
     )

@@ -17,6 +17,10 @@ from zoneinfo import ZoneInfo
 from ..functions import dom
 from .files import grouped
 
+# Labels of the digests.
+GENERATED, SOURCE, PUBLISHED, SCORE, INTERESTS = "Generated at", "Source:", "Published:", "Score:", "Matched interests:"
+READ, ORIGINAL, NOTHING = "Read the original article", "Original source", "No articles were selected for this edition."
+
 _MARK = re.compile(r"([\\\[\]*_`#])")
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
@@ -51,22 +55,22 @@ def _md(text: str) -> str:
 
 
 def markdown(articles: list[dict], categories: list[dict], *, generated_at: str, project: str, zone: str, scores: bool = True) -> str:
-    lines = [f"# {_md(project.strip())} — {day_label(generated_at, zone)}", "", f"> Generated at {local_label(generated_at, zone)}", ""]
+    lines = [f"# {_md(project.strip())} — {day_label(generated_at, zone)}", "", f"> {GENERATED} {local_label(generated_at, zone)}", ""]
     if not articles:
-        return "\n".join([*lines, "No articles were selected for this edition.", ""])
+        return "\n".join([*lines, NOTHING, ""])
     for label, group in grouped(articles, categories):
         lines += [f"## {_md(label)}", ""]
         for a in group:
-            facts = [f"**Source:** {_md(a['source_name'])}"]
+            facts = [f"**{SOURCE}** {_md(a['source_name'])}"]
             if when := local_label(a.get("published_at") or a.get("updated_at"), zone):
-                facts.append(f"**Published:** {when}")
+                facts.append(f"**{PUBLISHED}** {when}")
             if scores and a.get("score") is not None:
-                facts.append(f"**Score:** {a['score']}")
+                facts.append(f"**{SCORE}** {a['score']}")
             lines += [f"### [{_md(a['title'].strip())}](<{a['url'].strip()}>)", "", " · ".join(facts), ""]
             lines += [_summary(a), ""] if _summary(a) else []
             if hits := a.get("matched_high_priority_keywords"):
-                lines += ["**Matched interests:** " + ", ".join(f"`{k}`" for k in hits), ""]
-            lines += [f"[Read the original article](<{a['url'].strip()}>)", ""]
+                lines += [f"**{INTERESTS}** " + ", ".join(f"`{k}`" for k in hits), ""]
+            lines += [f"[{READ}](<{a['url'].strip()}>)", ""]
     return "\n".join(lines).rstrip() + "\n"
 
 
@@ -98,7 +102,7 @@ def html(articles: list[dict], categories: list[dict], *, generated_at: str, pro
         body.append("</section>")
     count = f"{len(articles)} article{'' if len(articles) == 1 else 's'}"
     book = f'<p><a href="{escape(epub_href)}">EPUB</a></p>' if epub_href else ""
-    inner = "".join(body) or "<p>No articles were selected for this edition.</p>"
+    inner = "".join(body) or f"<p>{NOTHING}</p>"
     title = f"{escape(project.strip())} — {day_label(generated_at, zone)}"
     return f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"/><meta name="viewport" content="width=device-width, initial-scale=1"/><title>{title}</title></head><body><header><h1>{title}</h1><p>{count}, generated at {escape(local_label(generated_at, zone) or "")}</p>{book}</header><nav><ul>{nav}</ul></nav><main>{inner}</main></body></html>\n'
 
@@ -146,7 +150,7 @@ def epub(articles: list[dict], categories: list[dict], *, generated_at: str, pro
         for k, a in enumerate(rows, 1):
             order += 1
             facts = " · ".join(x for x in [_xml(a["source_name"]), local_label(a.get("published_at") or a.get("updated_at"), zone)] if x)
-            chapter.append(f'<article id="article-{k}"><h2>{_xml(a["title"].strip())}</h2><p>{facts}</p>{_body(a)}<p><a href="{_xml(a["url"].strip())}">Original source</a></p></article>')
+            chapter.append(f'<article id="article-{k}"><h2>{_xml(a["title"].strip())}</h2><p>{facts}</p>{_body(a)}<p><a href="{_xml(a["url"].strip())}">{ORIGINAL}</a></p></article>')
             links.append(f'<li><a href="{name}.xhtml#article-{k}">{_xml(a["title"].strip())}</a></li>')
             points.append(f'<navPoint id="n{order}" playOrder="{order}"><navLabel><text>{_xml(a["title"].strip())}</text></navLabel><content src="{name}.xhtml#article-{k}"/></navPoint>')
         files[f"OEBPS/{name}.xhtml"] = page(label, "".join(chapter))

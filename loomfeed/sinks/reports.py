@@ -23,7 +23,13 @@ CONTENT_TITLE = "Full-content EPUB"
 CONTENT_LINES = [("Requested", "requested_count", "Requested articles"), ("Extracted", "extracted_count", "Full content extracted"), ("Summary fallback", "fallback_count", "Summary fallbacks"), ("Fetch failed", "failed_count", "Fetch failures")]
 ORIGIN_LINES = [("From feed", "feed", "RSS or Atom feed"), ("From web", "web", "Web page extraction"), ("Curated lessons", "curated", "Curated learning"), ("Summary only", "summary", "Summary only"), ("No readable text", "none", "No readable text")]
 STATUS_LABELS = {"extracted": "Extracted", "summary_fallback": "Fallback", "fetch_failed": "Failed"}
+CONTENT_RATE, CONTENT_ORIGINS, UNKNOWN_ORIGIN = "Extraction rate", "Content origin", ("Unknown origin", "Unknown")
+CONTENT_SECTIONS = {False: ("Article details", "No article records."), True: ("Articles using fallback", "No articles require fallback.")}
+CONTENT_HEAD = ["#", "Status", "Origin", "Source", "Article", "Words", "HTTP", "Detail"]
 COVERAGE_TITLE = "Technical Learning"
+COVERAGE_HEAD = ["#", "Status", "Lesson", "Track", "Level", "Minutes", "Characters"]
+NEXT_LESSON, NO_LESSONS = "Next lesson to curate", "No matching lessons"
+SOURCE_HEAD = ("Source", "Status", "HTTP", "Articles", "Seconds", "Details")
 COVERAGE_LINES = [("Total lessons", "lesson_count", None), ("Enabled lessons", "enabled_count", "Enabled lessons"), ("Curated offline lessons", "curated_count", "Curated offline lessons"), ("Lessons needing web", "uncurated_count", "Lessons needing web"),
                   ("Curated coverage", "coverage_rate", "Curated coverage"), ("Curated reading time", "curated_minutes", "Curated reading time"), ("Web-dependent time", "uncurated_minutes", "Web-dependent reading time")]
 
@@ -87,10 +93,10 @@ def content_text(report: dict) -> str:
     """A content report as plain text."""
     origins = [(a, report["content_origins"][k]) for a, k, _ in ORIGIN_LINES]
     if report["content_origins"].get("unknown"):
-        origins.append(("Unknown origin", report["content_origins"]["unknown"]))
-    lines = [f"{CONTENT_TITLE} report", *_aligned([*((a, report[k]) for a, k, _ in CONTENT_LINES), ("Extraction rate", _percent(report["extraction_rate"])), *origins]), ""]
+        origins.append((UNKNOWN_ORIGIN[0], report["content_origins"]["unknown"]))
+    lines = [f"{CONTENT_TITLE} report", *_aligned([*((a, report[k]) for a, k, _ in CONTENT_LINES), (CONTENT_RATE, _percent(report["extraction_rate"])), *origins]), ""]
     if not report["records"]:
-        return "\n".join([*lines, "No matching article records." if report["problems_only"] else "No article records."])
+        return "\n".join([*lines, CONTENT_SECTIONS[report["problems_only"]][1]])
     for r in report["records"]:
         detail = r.get("error") or r.get("selector")
         lines += [f"[{r['index']:02d}] {STATUS_LABELS.get(r['status'], r['status'])} | {r['content_origin']} | {r['source_id']} | {r['word_count']} words | HTTP {r['http_status'] if r['http_status'] is not None else '-'}", f"     {r['title']}", f"     {r['url']}", *([f"     {detail}"] if detail else []), ""]
@@ -101,22 +107,22 @@ def content_markdown(report: dict) -> str:
     """A content report as Markdown."""
     origins = [[label, report["content_origins"][k]] for _, k, label in ORIGIN_LINES]
     if report["content_origins"].get("unknown"):
-        origins.append(["Unknown", report["content_origins"]["unknown"]])
-    lines = [f"## {CONTENT_TITLE}", "", *_table(["Metric", "Value"], [*([label, report[k]] for _, k, label in CONTENT_LINES), ["Extraction rate", _percent(report["extraction_rate"])]]), "", "### Content origin", "", *_table(["Origin", "Articles"], origins), ""]
-    lines += ["### Articles using fallback" if report["problems_only"] else "### Article details", ""]
+        origins.append([UNKNOWN_ORIGIN[1], report["content_origins"]["unknown"]])
+    lines = [f"## {CONTENT_TITLE}", "", *_table(["Metric", "Value"], [*([label, report[k]] for _, k, label in CONTENT_LINES), [CONTENT_RATE, _percent(report["extraction_rate"])]]), "", f"### {CONTENT_ORIGINS}", "", *_table(["Origin", "Articles"], origins), ""]
+    lines += [f"### {CONTENT_SECTIONS[report['problems_only']][0]}", ""]
     if not report["records"]:
-        return "\n".join([*lines, "No articles require fallback." if report["problems_only"] else "No article records."])
+        return "\n".join([*lines, CONTENT_SECTIONS[report["problems_only"]][1]])
     link = lambda r: f"[{(r['title'] or '').replace(']', chr(92) + ']')}]({(r['url'] or '').replace(')', '%29')})"
     rows = [[r["index"], STATUS_LABELS.get(r["status"], r["status"]), r["content_origin"], r["source_id"], link(r), r["word_count"], r["http_status"], r.get("error") or r.get("selector")] for r in report["records"]]
-    return "\n".join([*lines, *_table(["#", "Status", "Origin", "Source", "Article", "Words", "HTTP", "Detail"], rows)])
+    return "\n".join([*lines, *_table(CONTENT_HEAD, rows)])
 
 
 def coverage_text(report: dict) -> str:
     """A coverage report as plain text."""
     facts = [(a, _shown(report, k)) for a, k, _ in COVERAGE_LINES]
-    lines = [f"{COVERAGE_TITLE} curated coverage", *_aligned([*facts, ("Next lesson to curate", report["next_uncurated"] or "none")]), ""]
+    lines = [f"{COVERAGE_TITLE} curated coverage", *_aligned([*facts, (NEXT_LESSON, report["next_uncurated"] or "none")]), ""]
     if not report["records"]:
-        return "\n".join([*lines, "No matching lessons."])
+        return "\n".join([*lines, f"{NO_LESSONS}."])
     for r in report["records"]:
         lines += [f"[{r['index']:02d}] {_state(r).upper()} | {r['estimated_minutes']} min | {r['content_characters']} chars", f"     {r['title']}", f"     id:         {r['id']}", f"     track:      {r['track']}", f"     difficulty: {r['difficulty']}", ""]
     return "\n".join(lines).rstrip()
@@ -124,10 +130,9 @@ def coverage_text(report: dict) -> str:
 
 def coverage_markdown(report: dict) -> str:
     """A coverage report as Markdown."""
-    rows = [[r["index"], _state(r), r["title"], r["track"], r["difficulty"], r["estimated_minutes"], r["content_characters"]] for r in report["records"]] or [["-", "-", "No matching lessons", "-", "-", "-", "-"]]
+    rows = [[r["index"], _state(r), r["title"], r["track"], r["difficulty"], r["estimated_minutes"], r["content_characters"]] for r in report["records"]] or [["-", "-", NO_LESSONS, "-", "-", "-", "-"]]
     facts = [[label, _shown(report, k)] for _, k, label in COVERAGE_LINES if label]
-    head = ["#", "Status", "Lesson", "Track", "Level", "Minutes", "Characters"]
-    return "\n".join([f"## {COVERAGE_TITLE} coverage", "", *_table(["Metric", "Value"], facts), "", f"Next lesson to curate: `{report['next_uncurated'] or 'none'}`", "", *_table(head, rows)])
+    return "\n".join([f"## {COVERAGE_TITLE} coverage", "", *_table(["Metric", "Value"], facts), "", f"{NEXT_LESSON}: `{report['next_uncurated'] or 'none'}`", "", *_table(COVERAGE_HEAD, rows)])
 
 
 def _state(r: dict) -> str:
@@ -137,9 +142,8 @@ def _state(r: dict) -> str:
 def source_text(report: dict) -> str:
     """A source report as a table of plain text, with a line of counts."""
     show: Callable[[object], str] = lambda x: "-" if x is None or x == "" else str(x)
-    head = ("Source", "Status", "HTTP", "Articles", "Seconds", "Details")
-    rows = [head, *((r["source_id"], (r["status"] or "").upper(), show(r["http_status"]), show(r["article_count"]), show(r["duration_seconds"]), show(r["error"] or r["warning"] or r["feed_title"])) for r in report["sources"])]
-    widths = [max(len(str(r[i])) for r in rows) for i in range(len(head))]
+    rows = [SOURCE_HEAD, *((r["source_id"], (r["status"] or "").upper(), show(r["http_status"]), show(r["article_count"]), show(r["duration_seconds"]), show(r["error"] or r["warning"] or r["feed_title"])) for r in report["sources"])]
+    widths = [max(len(str(r[i])) for r in rows) for i in range(len(SOURCE_HEAD))]
     lines = [" | ".join(str(v).ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in rows]
     s = report["summary"]
     return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:], "", f"Summary: {s['success_count']} success, {s['warning_count']} warning, {s['failed_count']} failed, {s['article_count']} articles"])
