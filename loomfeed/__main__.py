@@ -60,7 +60,7 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--lookback-hours", type=float, default=48)
     one.add_argument("--max-articles", type=int, default=20)
     one.add_argument("--zone", default="UTC")
-    for name, about, flag, default in (("content-report", "contents of an edition", "--problems-only", "output/ranked.json"), ("coverage-report", "curated lessons", "--uncurated-only", "config/learning_library.yml")):
+    for name, about, flag, default in (("content-report", "contents of an edition", "--problems-only", "output/ranked_articles.json"), ("coverage-report", "curated lessons", "--uncurated-only", "config/learning_library.yml")):
         report = command(name, about)
         report.add_argument("--input", type=Path, default=Path(default))
         report.add_argument(flag, action="store_true", dest="part")
@@ -128,7 +128,7 @@ def run(a: argparse.Namespace, transport: web.Transport) -> int:
     output, place = a.output_dir or Path(runtime["output_dir"]), Path(runtime.get("site_dir", "site"))
     articles, collected = web.collect(sources, now, seconds=float(runtime["request_timeout_seconds"]), max_summary=int(runtime["max_summary_chars"]), transport=transport)
     collected = checkpoint(collected)
-    files.write_articles(articles, str(output / "articles"))
+    files.write_articles(articles, str(output / "raw_articles.json"))
     report = files.write_source_report(collected, output / "source_report.json", project.settings["project"])
     result: dict = {"sources": report["summary"]}
     if features.get("ranking"):
@@ -142,7 +142,7 @@ def run(a: argparse.Namespace, transport: web.Transport) -> int:
             library = config.read_library(path)
             archive = place / "archive"
             empty = spark.createDataFrame([], "date string, path string, lesson_ids array<string>")
-            history = documents.edition_history(documents.archived_payloads(spark, str(archive))) if any(archive.rglob("ranked.json")) else empty
+            history = documents.edition_history(documents.archived_payloads(spark, str(archive))) if any(archive.rglob("ranked_articles.json")) else empty
             tracks = {x["track"]: "technical_learning" for x in library.lessons}
             learning = pipeline.prepare_lessons(library, history, categories, now, settings, tracks)
         ordered = articles.withColumn("input_ordinal", F.col("source_pos").cast("long") * (1 << 32) + F.col("entry_pos")).drop("source_pos", "entry_pos")
@@ -175,13 +175,13 @@ RECORD = "source_id string, title string, url string, status string, http_status
 
 def content_report(a: argparse.Namespace, _: web.Transport) -> int:
     """The report of a payload's contents; counters that don't agree with the records are an error."""
-    log = pipeline.read_edition(a.input)["summary"].get("content_enrichment")
-    if not isinstance(log, dict) or not isinstance(log.get("records"), list):
+    log = pipeline.content_log(pipeline.read_edition(a.input))
+    if not isinstance(log.get("records"), list):
         raise ValueError(f"{a.input} has no log of contents")
     spark = session()
     names = [c.split(" ")[0] for c in RECORD.split(", ")]
     records = spark.createDataFrame([tuple({**r, "record_id": i}.get(n) for n in names) for i, r in enumerate(log["records"])], RECORD)
-    stated = spark.createDataFrame([tuple(log.get(k) for k in verification.STATED)], ", ".join(f"{k} int" for k in verification.STATED))
+    stated = spark.createDataFrame([tuple(log.get(k) for k in verification.LOGGED)], ", ".join(f"{k} int" for k in verification.STATED))
     wrong = [r.check_name for r in verification.counter_checks(stated, records).where("NOT passed AND check_name NOT LIKE 'origin%'").collect()]
     if wrong:
         raise ValueError(f"{a.input}: {', '.join(wrong)} failed")
@@ -232,7 +232,7 @@ def release(a: argparse.Namespace, transport: web.Transport) -> int:
     lessons = config.read_library(library).selection["daily_count"] if library.is_file() else 0
     steps.append(("verify", lambda: main(["verify", "--output-dir", str(output), "--site-dir", str(place), "--expected-total", str(runtime["max_articles"]), "--expected-learning", str(lessons)])))
     if project.settings["features"].get("full_content_epub"):
-        steps.append(("content-report", lambda: main(["content-report", "--input", str(output / "ranked.json"), "--problems-only"])))
+        steps.append(("content-report", lambda: main(["content-report", "--input", str(output / "ranked_articles.json"), "--problems-only"])))
     if library.is_file():
         steps.append(("coverage-report", lambda: main(["coverage-report", "--input", str(library)])))
     for name, step in steps:

@@ -23,6 +23,8 @@ ATOM_CATALOG = "application/atom+xml;profile=opds-catalog;kind=acquisition"
 EPUB_TYPE, ACQUISITION = "application/epub+zip", "http://opds-spec.org/acquisition"
 
 STATED = ["requested", "extracted", "summary_fallback", "fetch_failed"]
+#: The same counters in a payload's log of contents.
+LOGGED = ["requested_articles", "extracted_articles", "summary_fallback_articles", "failed_articles"]
 
 
 def as_checks(row: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ ORACLES: dict[str, str] = {
     "copy_checks": f"""WITH g AS (SELECT '/' || source || '/' || doc_id AS path, sha256(text) AS digest FROM documents), w AS (SELECT min(digest) AS d FROM g WHERE ends_with(path, '/100')),
       v AS (SELECT count(*) FILTER (WHERE NOT coalesce(digest = d, false)) AS copies_equal, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS copy_found FROM g, w WHERE ends_with(path, '7') OR ends_with(path, '9')) {_checks('v', ['copies_equal', 'copy_found'])}""",
     "content_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "latest_report": f"WITH {_HIST} SELECT path || '/ranked.json' AS path, date FROM h ORDER BY path DESC LIMIT 1",
+    "latest_report": f"WITH {_HIST} SELECT path || '/ranked_articles.json' AS path, date FROM h ORDER BY path DESC LIMIT 1",
     "nested_ids": r"""WITH e AS (SELECT group_id, list_concat([kept_article.external_id], list_transform(coalesce(duplicate_articles, []), lambda m: m.external_id), list_transform(coalesce(duplicate_articles, []), lambda m: m.category), [kept_article.category]) AS ids FROM duplicate_group),
       t AS (SELECT group_id, list_filter(list_transform(ids, lambda i: regexp_replace(i, '^\s+|\s+$', '', 'g')), lambda i: i IS NOT NULL AND i <> '') AS ids FROM e)
       SELECT group_id, coalesce(array_to_string(list_filter(ids, lambda i, k: list_position(ids, i) = k), '|'), '') AS ids FROM t""",

@@ -132,13 +132,13 @@ def write_edition(
     common = {"generated_at": generated_at, "project": settings.project, "zone": settings.zone}
     if full is not None:
         logged = reports.content_report(records.withColumn("_order", F.struct(*order)), order="_order", most=most)
-        named = dict(zip(verification.STATED, ("requested_count", "extracted_count", "fallback_count", "failed_count"), strict=True))
+        named = dict(zip(verification.LOGGED, ("requested_count", "extracted_count", "fallback_count", "failed_count"), strict=True))
         summary["content_enrichment"] = {k: logged[v] for k, v in named.items()} | {k: logged[k] for k in ("extraction_rate", "content_origins", "records")}
         files.write_bytes(out / "digest-full.epub", digest.epub(files.rows_of(full.orderBy(*order), most), dims, **common))
     if learning:
         summary["learning"] = learning.facts
     payload = files.ranked_payload(frames["combined"], {"name": settings.project}, generated_at, summary, most=most, lesson_ids=learning.ids if learning else None)
-    files.write_json(out / "ranked.json", payload)
+    files.write_json(out / "ranked_articles.json", payload)
     files.write_text(out / "digest.md", digest.markdown(rows, dims, scores=settings.scores, **common))
     files.write_text(out / "digest.html", digest.html(rows, dims, scores=settings.scores, epub_href="digest.epub", **common))
     files.write_bytes(out / "digest.epub", digest.epub(rows, dims, **common))
@@ -150,8 +150,8 @@ def verify_edition(spark: SparkSession, output: str, site_dir: str, *, expected_
     out, place = Path(output), Path(site_dir)
     if expected_lessons > expected_total or min(expected_lessons, expected_total) < 0:
         raise ValueError("expected lessons must be between 0 and the expected total")
-    current, archived = read_edition(out / "ranked.json"), None
-    archive = documents.latest_payload(documents.read_payloads(spark, str(place / "archive"), name="ranked.json")).first()
+    current, archived = read_edition(out / "ranked_articles.json"), None
+    archive = documents.latest_payload(documents.read_payloads(spark, str(place / "archive"), name="ranked_articles.json")).first()
     if archive is None:
         raise FileNotFoundError(f"{place / 'archive'} holds no payload")
     archived_at = Path(urlsplit(archive.path).path)
@@ -160,9 +160,9 @@ def verify_edition(spark: SparkSession, output: str, site_dir: str, *, expected_
                                      "pos int, url string, title string, category string, source_tags array<string>, external_id string, source_id string, content_html string, content_text string, content_status string")
     lessons = articles.where(F.col("source_id") == LESSON_SOURCE).withColumn("lesson_id", lesson_id(F.col("external_id"), F.col("source_tags")))
     ids = lambda p: spark.createDataFrame(list(enumerate((p.get("learning") or {}).get("lesson_ids") or [])), "pos int, lesson_id string")
-    log = current["summary"].get("content_enrichment") or {}
+    log = content_log(current)
     records = spark.createDataFrame([tuple(r.get(k) for k in ("source_id", "title", "status", "http_status", "content_origin")) for r in log.get("records") or []], "source_id string, title string, status string, http_status int, content_origin string")
-    stated = lambda p: spark.createDataFrame([tuple((p["summary"].get("content_enrichment") or {}).get(k) for k in verification.STATED)], ", ".join(f"{k} int" for k in verification.STATED)).withColumn("edition", F.lit(0))
+    stated = lambda p: spark.createDataFrame([tuple(content_log(p).get(k) for k in verification.LOGGED)], ", ".join(f"{k} int" for k in verification.STATED)).withColumn("edition", F.lit(0))
     day = "-".join(archived_at.parent.parts[-3:])
     digests = quality.file_digests(spark, str(out)).unionByName(quality.file_digests(spark, str(place)))
     titles = [r.title for r in lessons.select("title").collect()]  # an edition's lessons
@@ -180,13 +180,20 @@ def verify_edition(spark: SparkSession, output: str, site_dir: str, *, expected_
         named("contents", verification.lesson_content_checks(records.where(F.col("source_id") == LESSON_SOURCE), lessons)),
         named("archive", different(current, archived)),
         named("public book", book("digest.epub", 0)),
-        named("full book", book("digest-full.epub", int(log.get("extracted") or 0))),
+        named("full book", book("digest-full.epub", int(log.get("extracted_articles") or 0))),
         named("public book", verification.copy_checks(digests, f"{out.name}/digest.epub", [f"{place.name}/digest.epub", f"{place.name}/latest/digest.epub"])),
         named("full book", verification.copy_checks(digests, f"{out.name}/digest-full.epub", [f"{place.name}/digest-full.epub", f"{place.name}/opds/{site.BOOKS}/{day}.epub"])),
         named("catalog", verification.catalog_checks(catalog, f"{site.BOOKS}/{day}.epub", f"urn:edition:{day}")),
     )
 
 
+def content_log(payload: dict) -> dict:
+    """The log of contents of a payload, wherever its summary keeps it; empty if there is none."""
+    summary = payload["summary"]
+    found = (summary.get("processing") or summary).get("content_enrichment")
+    return found if isinstance(found, dict) else {}
+
+
 def read_edition(path: Path) -> dict:
     """A payload with a summary and a list of articles; ValueError if it is none."""
     data = json.loads(path.read_text("utf-8"))

@@ -408,7 +408,7 @@ def content_digests(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_report(spark: SparkSession, d: str) -> DataFrame:
-    r = _history(spark, d).select(F.concat("path", F.lit("/ranked.json")).alias("path"), "date")
+    r = _history(spark, d).select(F.concat("path", F.lit("/ranked_articles.json")).alias("path"), "date")
     return latest_payload(r).select("path", "date")
 
 

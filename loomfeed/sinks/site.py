@@ -13,9 +13,9 @@ from zoneinfo import ZoneInfo
 from .files import write_json, write_text
 
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
-REQUIRED = ["digest.html", "digest.md", "digest.epub", "ranked.json"]
-#: Published if they are there: the book with full contents (for the catalog), the source report and the collected articles.
-OPTIONAL = ["digest-full.epub", "source_report.json", "articles.json"]
+REQUIRED = ["digest.html", "digest.md", "digest.epub", "ranked_articles.json"]
+#: Published if they are there: the book with full contents (for the catalog), and the source report.
+OPTIONAL = ["digest-full.epub", "source_report.json"]
 BOOKS = "books"
 
 
@@ -113,7 +113,7 @@ def publish(output: str | Path, site: str | Path, *, zone: str, title: str) -> d
     output, site = Path(output), Path(site)
     if missing := [n for n in REQUIRED if not (output / n).is_file()]:
         raise FileNotFoundError(f"{output} lacks {', '.join(missing)}")
-    payload = json.loads((output / "ranked.json").read_text("utf-8"))
+    payload = json.loads((output / "ranked_articles.json").read_text("utf-8"))
     at = datetime.fromisoformat(payload["generated_at"].replace("Z", "+00:00"))
     at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
     date = at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d")

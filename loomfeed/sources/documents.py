@@ -73,7 +73,7 @@ def read_payloads(spark: SparkSession, path: str, *, strict: bool = False, name:
     return df.withColumns({"path": F.col("_metadata.file_path"), "changed": F.col("_metadata.file_modification_time")}).where("_corrupt IS NULL").drop("_corrupt")
 
 
-def archived_payloads(spark: SparkSession, archive: str, *, name: str = "ranked.json") -> DataFrame:
+def archived_payloads(spark: SparkSession, archive: str, *, name: str = "ranked_articles.json") -> DataFrame:
     """The payloads of an archive, with ``path`` and ``entry_date``: those that its manifest lists, else all that are found below it.
 
     Entries of the manifest without a file are left out, and files listed

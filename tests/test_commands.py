@@ -123,7 +123,7 @@ def test_archives_by_manifest_first(spark, tmp_path):
     for day in ("01", "02", "03"):
         place = tmp_path / "2026/01" / day
         place.mkdir(parents=True)
-        (place / "ranked.json").write_text(json.dumps({"generated_at": f"2026-01-{day}T00:00:00Z", "lesson_ids": [f"l{day}"]}))
+        (place / "ranked_articles.json").write_text(json.dumps({"generated_at": f"2026-01-{day}T00:00:00Z", "lesson_ids": [f"l{day}"]}))
     assert len(documents.edition_history(documents.archived_payloads(spark, str(tmp_path))).collect()) == 3
     assert documents.latest_payload(documents.read_payloads(spark, str(tmp_path))).first().lesson_ids == ["l03"]
     (tmp_path / "index.json").write_text(json.dumps(indent=1, obj={"editions": [{"date": "2026-02-02", "path": "2026/01/02"}, {"date": "2026-02-03", "path": "/2026/01/02/"}, {"date": " ", "path": "2026/01/01"}, {"path": "2020/01/01"}]}))
@@ -173,18 +173,18 @@ def test_commands_end_to_end(spark, folder, tmp_path, capsys, monkeypatch):
     code, said = call("run", "--config-dir", folder, "--now", "2026-01-10T12:00:00Z", "--json")
     result = json.loads(said.out)
     assert code == 0 and result["sources"]["failed_count"] == 1 and result["article_count"] == 3 and result["summary"]["learning"]["selected_lesson_ids"] == ["l1"]
-    payload = json.loads((tmp_path / "out/ranked.json").read_text())
+    payload = json.loads((tmp_path / "out/ranked_articles.json").read_text())
     assert [a["title"] for a in payload["articles"]] == ["One", "Three", "Lesson & 1"] and payload["learning"]["lesson_ids"] == ["l1"]
     log = payload["summary"]["content_enrichment"]
-    assert (log["requested"], log["extracted"], log["summary_fallback"], log["content_origins"]["curated"], log["content_origins"]["web"]) == (3, 2, 1, 1, 1)
+    assert (log["requested_articles"], log["extracted_articles"], log["summary_fallback_articles"], log["content_origins"]["curated"], log["content_origins"]["web"]) == (3, 2, 1, 1, 1)
     code, said = call("verify", "--output-dir", tmp_path / "out", "--site-dir", tmp_path / "site", "--expected-total", 3)
     assert code == 0, said.out
     assert call("run", "--config-dir", folder, "--now", "2026-01-10T15:00:00Z")[0] == 0  # the same day: the same lesson
-    assert json.loads((tmp_path / "out/ranked.json").read_text())["learning"]["lesson_ids"] == ["l1"]
+    assert json.loads((tmp_path / "out/ranked_articles.json").read_text())["learning"]["lesson_ids"] == ["l1"]
     assert call("run", "--config-dir", folder, "--now", "2026-01-11T09:00:00Z")[0] == 0  # the next day: the next one
-    assert json.loads((tmp_path / "out/ranked.json").read_text())["learning"]["lesson_ids"] == ["l2"]
+    assert json.loads((tmp_path / "out/ranked_articles.json").read_text())["learning"]["lesson_ids"] == ["l2"]
     assert call("release", "--config-dir", folder, "--skip-tests", "--skip-generate")[0] == 0
-    code, said = call("content-report", "--input", tmp_path / "out/ranked.json", "--problems-only", "--markdown")
+    code, said = call("content-report", "--input", tmp_path / "out/ranked_articles.json", "--problems-only", "--markdown")
     assert code == 0 and "### Articles using fallback" in said.out and "| Extraction rate | 33.3% |" in said.out
     code, said = call("coverage-report", "--input", folder / "learning_library.yml", "--uncurated-only")
     assert code == 0 and "Next lesson to curate:" in said.out and "id:         l2" in said.out and "l3" not in said.out
@@ -193,10 +193,10 @@ def test_commands_end_to_end(spark, folder, tmp_path, capsys, monkeypatch):
     shutil.copyfile(tmp_path / "out/digest.epub", tmp_path / "site/digest-full.epub")
     code, said = call("verify", "--output-dir", tmp_path / "out", "--site-dir", tmp_path / "site", "--json")
     assert code == 1 and [x["check_name"] for x in json.loads(said.out)["failed"]] == ["full book: copies_equal"]
-    payload = json.loads((tmp_path / "out/ranked.json").read_text())
-    payload["summary"]["content_enrichment"]["extracted"] = 9
-    (tmp_path / "out/ranked.json").write_text(json.dumps(payload))
-    assert call("content-report", "--input", tmp_path / "out/ranked.json")[0] == 1
+    payload = json.loads((tmp_path / "out/ranked_articles.json").read_text())
+    payload["summary"]["content_enrichment"]["extracted_articles"] = 9
+    (tmp_path / "out/ranked_articles.json").write_text(json.dumps(payload))
+    assert call("content-report", "--input", tmp_path / "out/ranked_articles.json")[0] == 1
     (tmp_path / "out/digest.md").unlink()
     with pytest.raises(FileNotFoundError):
         pipeline.site.publish(tmp_path / "out", tmp_path / "site", zone="UTC", title="x")

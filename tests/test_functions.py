@@ -53,7 +53,7 @@ def test_text_functions(spark):
     assert one(spark, "Notes by Ann Lee October 5, 2025", text.author_of(v), times.month_name_date(v).cast("string")) == ("Ann Lee", "2025-10-05")
     assert one(spark, "abc_1", text.is_slug_id(v)) == (True,) and one(spark, "Abc", text.is_slug_id(v)) == (False,)
     assert one(spark, 1, text.pluralise(v, "article"), kind="int") == ("1 article",) and one(spark, 3, text.pluralise(v, "article"), kind="int") == ("3 articles",)
-    assert one(spark, "/x/2025/10/05/ranked.json", times.path_date(v).cast("string")) == ("2025-10-05",)
+    assert one(spark, "/x/2025/10/05/ranked_articles.json", times.path_date(v).cast("string")) == ("2025-10-05",)
 
 
 def test_freshness_rounding(spark):

@@ -74,7 +74,7 @@ def test_page_source_registers(spark):
 def test_documents(spark, tmp_path):
     day = tmp_path / "archive/2026/01/02"
     day.mkdir(parents=True)
-    (day / "ranked.json").write_text(json.dumps({"generated_at": "x", "learning": {"lessons": [{"lesson_id": "b"}]}, "articles": [{"learning_lesson_id": "c"}], "lesson_ids": ["a"]}))
+    (day / "ranked_articles.json").write_text(json.dumps({"generated_at": "x", "learning": {"lessons": [{"lesson_id": "b"}]}, "articles": [{"learning_lesson_id": "c"}], "lesson_ids": ["a"]}))
     (tmp_path / "archive/broken.json").write_text("{nope")
     h = documents.edition_history(documents.read_payloads(spark, str(tmp_path / "archive")))
     assert [(r.date, r.lesson_ids) for r in h.collect()] == [("2026-01-02", ["a", "b", "c"])]
@@ -100,7 +100,7 @@ def test_edition_end_to_end(spark, articles, tmp_path):
     frames = edition(df, cats, "2026-01-10T12:00:00+00:00", s, ordinal="article_id")
     result = write_edition(frames, cats, "2026-01-10T12:00:00+00:00", str(tmp_path / "out"), s, site_dir=str(tmp_path / "site"))
     assert result["summary"]["time_filter"]["kept"] == 6 and result["summary"]["deduplication"]["unique_count"] == 4
-    payload = json.loads((tmp_path / "out/ranked.json").read_text())
+    payload = json.loads((tmp_path / "out/ranked_articles.json").read_text())
     assert [a["article_id"] for a in payload["articles"]] == [2, 3, 4] or len(payload["articles"]) == 3
     assert all(not a["content_html"] and not a["content_text"] for a in payload["articles"])
     assert 2 in [a["article_id"] for a in payload["articles"]]  # the longer summary wins over the priority
