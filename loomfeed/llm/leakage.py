@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +62,8 @@ SPAN = 64
 #: row of a segment without a term has its document ids (8 bytes each) in place of postings.
 INDEX = "term string, part int, segment long, documents int, postings binary"
 RECORD, WRAP, NONE, MOST_DOCS = 8, 1 << 24, 63, 1 << 16
+#: Characters of the texts that are inverted together, so that long texts don't fill a task's memory; a longer text is alone.
+SEGMENT_CHARS = 1 << 24
 
 
 def words_of(text: str | None) -> list[str]:
@@ -153,6 +156,19 @@ def postings(texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.nda
     return list(number), edge, np.add.reduceat(fresh.astype(np.int32), edge[:-1]) if len(number) else np.zeros(0, np.int32), records
 
 
+def _segments(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of successive rows with at most ``SEGMENT_CHARS`` characters and ``MOST_DOCS`` rows, one row at least."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and (total + size > SEGMENT_CHARS or i - first >= MOST_DOCS):
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += size
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def read_postings(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents (by their place in the segment), positions and neighbours of a list."""
     records = np.frombuffer(data, np.uint8).reshape(-1, RECORD).astype(np.int64)
@@ -177,8 +193,7 @@ def index_corpus(documents: DataFrame, path: str, buckets: int | None = None) ->
         part = context.partitionId() if context else 0
         number = 0
         for whole in batches:
-            for cut in range(0, whole.num_rows, MOST_DOCS):
-                b = whole.slice(cut, MOST_DOCS)
+            for b in _segments(whole):
                 segment = base << 41 | part << 20 | number
                 terms, edge, held, records = postings(b.column(1).to_pylist())
                 n = len(terms)

@@ -185,3 +185,15 @@ def test_nulls_repeats_and_clashing_columns(spark):
     items = spark.createDataFrame([(7, text), (7, text), (8, None), (None, text), (9, " \n ")], "item_id long, text string").withColumns({n: F.lit("x") for n in names if n != "item_id"} | {"doc_id": F.lit(1)})
     assert sorted(map(tuple, leakage.leaked(df, items).collect())) == [(1, 7, 30, True), (1, 7, 30, True), (4, 7, 30, True)]
     assert leakage.leaked(df.where("false"), items.where("false")).columns == ["doc_id", "item_id", "words", "exact"]
+
+
+def test_segments_by_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(leakage, "SEGMENT_CHARS", 10)
+    monkeypatch.setattr(leakage, "MOST_DOCS", 3)
+    texts = ["x" * 9, None, "y", "z", "x" * 40, "", "", "", "", "é" * 10]
+    b = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    got = [x.column(1).to_pylist() for x in leakage._segments(b)]
+    assert sum(got, []) == texts and got == [["x" * 9, None, "y"], ["z"], ["x" * 40], ["", "", ""], ["", "é" * 10]]
+    assert list(leakage._segments(b.slice(0, 0))) == []
