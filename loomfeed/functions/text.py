@@ -152,5 +152,6 @@ def is_slug_id(c: Column) -> Column:
 def author_of(c: Column) -> Column:
     """The name after "by", up to a date or the end; null if there is none."""
     months = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-    name = F.regexp_extract(collapse(c), f"(?i)\\bby\\s+(.+?)(?=\\s+(?:(?:{months})[a-z]*\\.?\\s+\\d{{1,2}},\\s*\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})|$)", 1)
+    rest = F.regexp_extract(collapse(c), "(?i)\\bby\\s+(.+)$", 1)
+    name = F.regexp_replace(rest, f"(?i)(?:^|\\s)(?:(?:{months})[a-z]*\\.?\\s+\\d{{1,2}},\\s*\\d{{4}}|\\d{{4}}-\\d{{2}}-\\d{{2}})\\b.*$", "")
     return F.nullif(F.regexp_replace(name, "^[\\s,|·–—-]+|[\\s,|·–—-]+$", ""), F.lit(""))

@@ -152,3 +152,14 @@ def test_stream_keeps_first_arrivals(spark, articles, tmp_path):
     q = stream.run_editions(stream.first_arrivals(stream.arriving(spark, str(tmp_path / "in"))), lambda df, _: seen.extend(r.canonical_url for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(seen) == ["https://a.example/1", "https://a.example/2"]
+
+
+def test_cards_and_expressions_agree(spark):
+    """The author and the date of a card, as read on the executors and as expressions."""
+    from loomfeed.functions import text, times
+
+    cards = ["Technical Articles Jan 5, 2026 by Ann Lee", "by Bo May 2, 2025 and more", "no one", "By  J. R.  Doe | March 31, 2024", "Feb 31, 2026 by X", "sep 3, 2025", "May 5, 2020 May 6, 2021 by A B", "Standby mode by Cy", "by December 1, 2020", "Abby Nov 9, 2019"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cards)], "i int, t string")
+    rows = df.select("t", text.author_of(F.col("t")).alias("a"), times.month_name_date(F.col("t")).alias("d")).orderBy("i").collect()
+    for r in rows:
+        assert (r.a, f"{r.d}T00:00:00Z" if r.d else None) == (index_pages.card_author(" ".join(r.t.split())), index_pages.card_date(r.t)), r
