@@ -127,18 +127,22 @@ MARK_SHARE = 1 / 3
 
 _TEMPLATE = re.compile(
     r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|[$#]\{[^{}]*\}|%%\w+%%|@@\w+@@|__[A-Z][A-Z_]*__|<<[^<>]+>>|\{\w*\}|%[A-Z_]{3,}%"
-    r"|\[(?:INSERT|ADD|BODY|YOUR|PLACE)\b[^\[\]]*\]|\[[A-Z ]+ (?:HERE|GOES HERE)\]|\?\?\?\w*\?\?\?"
+    r"|\[(?:INSERT|ADD|BODY|YOUR|PLACE)\b[^\[\]]*\]|\[[A-Z ]+ (?:HERE|GOES HERE)\]|\?\?\?\w*\?\?\?|\[object Object\]"
 )
 _CODE = re.compile(
     r"\b(?=[0-9a-f.\-]*\d)[0-9a-f]+(?:[.\-][0-9a-f]+)*\b|\b\w+/\d+(?:\.\d+)*\b|\b\d+(?:\.\d+)*\s*(?:seconds?|minutes?|ms)?\b|\bline \d+|\b[a-z]+_\w+\b|\b[a-z]+(?:error|exception)\b", re.I
 )
 #: Names of a report that stand before its code.
 _REPORT = re.compile(r"^\W*(?:(?:request|ray|event|trace|session|error|incident|support|reference|ticket|case)\s*(?:id|code|number|no\.?)?)\s*[:#]?\s*(?=[\w.\-]*\d)[\w.\-]+\W*$", re.I)
-_NOTE = re.compile(r"^\W*(?:todo|fixme|to do|tbd)\b\s*:", re.I)
+#: A line that is a note to its writer, holds another's place, or names a template.
+_NOTE = re.compile(r"^\W*(?:(?:todo|fixme|to do|tbd)\b\s*:|placeholder (?:text )?(?:for|of)\b|(?:\w+\s+){0,3}template\W+version\W*\d[\w.]*\W*$)", re.I)
+#: A note within a line, and words that stand where a value is missing; the latter count beside template marks only.
+_INNER_NOTE = re.compile(r"\b(?:TODO|FIXME|TBD):(?:\s+[\w'-]+){1,6}")
+_VALUES = re.compile(r"\b(?:undefined|null|NaN|TBD|TK|TODO)\b")
 _STATUS = re.compile(r"[^\w\s]|\b(?:http|error|status|code|fehler|erreur|errore|erro)\b(?=.*\d)|\b\d{3}\b", re.I)
 _SENTENCES = re.compile(r"[^.!?…。！？|;:]*(?:[.!?…。！？|;:]+|$)")
 _MARK = re.compile(r"[{%<@\[$]|__|\?\?\?")
-_WORDS = re.compile(r"\w+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _STOPS = str.maketrans(".,;:!?()", "        ")
 _BULLET = re.compile(r"^\s*(?:[•*»–-]|>(?=\s))\s*")
 
@@ -178,10 +182,13 @@ def covered(line: str) -> float:
         return 1.0
     hit = bytearray(len(line))
     marks = list(_TEMPLATE.finditer(line)) if _MARK.search(line) else []
-    for m in marks:
-        hit[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    marks += _INNER_NOTE.finditer(line)
     if marks:
-        if len(marks) >= MARK_SHARE * (len(marks) + len(_WORDS.findall(_TEMPLATE.sub(" ", line)))):
+        marks += _VALUES.finditer(line)
+        for m in marks:
+            hit[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        rest = "".join(" " if h else c for c, h in zip(line, hit, strict=True))
+        if len(marks) >= MARK_SHARE * (len(marks) + len(_WORDS.findall(rest))):
             return 1.0
     told = bytearray(len(line))
     for end, size in _AUTOMATON.iter(low):
