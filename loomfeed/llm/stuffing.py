@@ -10,11 +10,11 @@ alike, and likewise the blocks of a long line: expected ratios fall with the
 length, but zlib's don't beyond its window. A page is stuffed if such runs and
 blocks hold more than half of its characters.
 
-What ratio writing has is fitted in each run (``fit_ratios``) on the sentences
-of a bounded sample of documents: a power of the length, at a level for each
-language.
+What ratio writing has is fitted in each run (``fit_ratios``) on all sentences
+of all documents: a power of the length, at a level for each language.
 
-One narrow pass over the texts in Arrow batches; no shuffle of texts.
+Two narrow passes over the texts in Arrow batches, one to fit and one to judge;
+no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Frequent function words of the corpus's languages.
 FUNCTION_WORDS = {
@@ -39,8 +38,8 @@ _FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.spli
 
 #: Prior of the compression ratio of ordinary writing, level * bytes ** slope, and the blocks of a language that weigh as much as it.
 LEVEL, SLOPE, PRIOR_BLOCKS = 1.78, -0.165, 50.0
-#: Documents of the sample on which ratios are fitted, at most, and the characters of its blocks.
-SAMPLE, SIZES = 2000, (150, 400, 1000, 4000)
+#: Characters of the blocks on which ratios are fitted, and bytes under which zlib's header lifts them off any power of the length: such blocks aren't fitted.
+SIZES, LEAST_BYTES = (150, 400, 1000, 4000), 100
 #: (level, slope) by language (two letters); "" for all others.
 Ratios = dict[str, tuple[float, float]]
 #: Part of that ratio under which a block is extremely redundant.
@@ -200,20 +199,35 @@ def _repeats(line: str, lang: str | None, ratios: Ratios | None) -> bool:
     return len(line) >= 200 and compression(line, lang, ratios) < REDUNDANT
 
 
-def writing_blocks(text: str | None) -> Iterator[tuple[float, float]]:
-    """Logarithms of the bytes and of the compression ratio of blocks of a text's sentences."""
+def _sized(lines: list[str], least: int) -> list[list[str]]:
+    """All of the lines in blocks of ``least`` characters or somewhat more; longer lines are cut, and what is left over joins the last block."""
+    blocks: list[list[str]] = [[]]
+    size = 0
+    for line in lines:
+        for piece in [line] if len(line) <= least else [x for block in _cut([line], least) for x in block]:
+            if size >= least:
+                blocks.append([])
+                size = 0
+            blocks[-1].append(piece)
+            size += len(piece) + 1
+    if size < least and len(blocks) > 1:
+        blocks[-2:] = [blocks[-2] + blocks[-1]]
+    return blocks
+
+
+def writing_blocks(text: str | None) -> Iterator[tuple[float, float, float]]:
+    """Weight, and logarithms of the bytes and of the compression ratio, of the blocks into which all of a text's sentences are cut at each size.
+
+    The blocks of a size share a weight of 1, so that neither long texts nor short blocks decide alone.
+    """
     lines = [x.strip() for x in _BREAK.split(_without_tags(text or ""))]
     lines = [x for x in lines if is_sentence_line(x)]
+    known: dict[bytes, float] = {}  # a short text is the same block at several sizes
     for least in SIZES:
-        block, size = [], 0
-        for line in lines:
-            block.append(line)
-            size += len(line) + 1
-            if size >= least:
-                break
-        raw = "\n".join(block).encode()
-        if 100 <= len(raw) <= 2 * max(SIZES):
-            yield math.log(len(raw)), math.log(len(zlib.compress(raw, 6)) / len(raw))
+        raws = [raw for block in _sized(lines, least) if len(raw := "\n".join(block).encode()) >= LEAST_BYTES]
+        known = {raw: known[raw] if raw in known else math.log(len(zlib.compress(raw, 6)) / len(raw)) for raw in raws}
+        for raw in raws:
+            yield 1 / len(raws), math.log(len(raw)), known[raw]
 
 
 def fitted_ratios(sums: dict[str, tuple[float, float, float, float, float]]) -> Ratios:
@@ -233,22 +247,19 @@ def fitted_ratios(sums: dict[str, tuple[float, float, float, float, float]]) ->
     return {lang: (math.exp(level(n, x, y, all_)), slope) for lang, (n, x, y, _, _) in sums.items()} | {"": (math.exp(all_), slope)}
 
 
-def fit_ratios(documents: DataFrame, *, sample: int = SAMPLE, id_column: str = "doc_id") -> Ratios:
-    """Ratios fitted on at most ``sample`` documents, chosen by a hash of their id; only sums by language reach the driver."""
-    rows = documents.select(id_column).count()
-    kept = int(min(1.0, sample / max(rows, 1)) * (1 << 20))
-    chosen = documents.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 20)) < kept).select("text", "lang").limit(sample)
+def fit_ratios(documents: DataFrame) -> Ratios:
+    """Ratios fitted on all sentences of all documents (those with under ``LEAST_BYTES`` of them give no block); only sums by language reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[float]] = {}
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(language(lang), [0.0] * 5)
-                for x, y in writing_blocks(text):
-                    own[:] = (a + v for a, v in zip(own, (1.0, x, y, x * x, x * y), strict=True))
+                for w, x, y in writing_blocks(text):
+                    own[:] = (a + w * v for a, v in zip(own, (1.0, x, y, x * x, x * y), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[i] for v in sums.values()], pa.float64()) for i in range(5))], ["lang", *"abcde"])
 
-    totals = chosen.mapInArrow(run, "lang string, a double, b double, c double, d double, e double").groupBy("lang").sum().collect()
+    totals = documents.select("text", "lang").mapInArrow(run, "lang string, a double, b double, c double, d double, e double").groupBy("lang").sum().collect()
     return fitted_ratios({r[0]: tuple(r[1:]) for r in sorted(totals)})
 
 

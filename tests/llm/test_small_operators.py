@@ -257,6 +257,38 @@ def test_ratios_are_fitted(spark):
     assert abs(stuffing.fit_ratios(empty)[""][1] - stuffing.SLOPE) < 1e-9
 
 
+def test_ratios_are_fitted_on_all_documents(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    prose = lambda n: [f"The {word()} of the {word()} is not in a {word()}, because it {word()} with {word()} and {word()} to the {word()}." for _ in range(n)]
+    rows = [(i, "\n".join(prose(2)), "de" if i % 500 == 7 else "en") for i in range(2300)]
+    rows += [(None, None, "en"), (9, " ", None), (9, " ".join(prose(120)), "fr"), (9, " ".join(prose(120)), "fr")]
+    made = stuffing.fit_ratios(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    sums = defaultdict(lambda: [0.0] * 5)
+    for _, text, lang in rows:
+        own = sums[stuffing.language(lang)]
+        for w, x, y in stuffing.writing_blocks(text):
+            own[:] = (a + w * v for a, v in zip(own, (1.0, x, y, x * x, x * y), strict=True))
+    want = stuffing.fitted_ratios({k: tuple(v) for k, v in sums.items()})
+    assert made.keys() == want.keys() == {"en", "de", "fr", ""}
+    assert all(made[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_ratios_are_fitted_on_all_sentences():
+    plain = [f"The {i * 7919 % 10007} of the {i * 104729 % 9973} is not in a {i * 31 % 977}, because it was with {i} and {i * i}." for i in range(200)]
+    same = ["The cache of the host is not in a rack, because it was with one and two."] * 200
+    mean = lambda text: sum(w * y for w, _, y in stuffing.writing_blocks(text))
+    head, whole, line = "\n".join(plain[:80]), "\n".join(plain[:80] + same), " ".join(plain)
+    assert len(head) > 4000 and mean(whole) < mean(head) - 0.5  # what follows the first 4000 characters counts
+    assert max(x for _, x, _ in stuffing.writing_blocks(line)) < 9.5 and sum(w for w, _, _ in stuffing.writing_blocks(line)) == pytest.approx(4)  # as does one line of 18 000
+    for lines in (plain, [line], ["The " + "x" * 999], plain[:1]):
+        for least in stuffing.SIZES:
+            blocks = stuffing._sized(lines, least)
+            assert "".join(x for b in blocks for x in b) == "".join(lines) and all(sum(map(len, b)) + len(b) < 3 * least + 3 for b in blocks)
+            assert len(blocks) == 1 or min(sum(map(len, b)) + len(b) for b in blocks) >= least
+    assert not list(stuffing.writing_blocks(None)) and not list(stuffing.writing_blocks("The a of it."))
+
+
 def test_long_runs_of_stuffing():
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10)))
